@@ -61,3 +61,22 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], *, bounded_
     starts = dealt.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return dealt.join(starts, [*keys, "_chunk"]).withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_chunk", "_start")
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): for each end of a link, the smallest node that links lead to.
+
+    Labels go to neighbours as minima and jump to their label's label, round by round, until none changes; every round
+    is a written table. Joins are between plain shuffles, so that adaptive execution can split a hub's rows.
+    """
+    ends = [links.select(F.col(x).alias("node"), F.col(y).alias("near")) for x, y in ((a, b), (b, a))]
+    edges = materialize(ends[0].union(ends[1]).where("node <> near"))
+    labels = materialize(edges.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("component")))
+    while True:
+        heard = edges.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("component").alias("_heard"))
+        told = materialize(labels.join(heard, "node").select("node", F.least("component", "_heard").alias("component"), F.col("component").alias("_old")))
+        jump = told.select(F.col("node").alias("component"), F.col("component").alias("_next"))
+        moved = materialize(told.join(jump, "component").select("node", F.least("component", "_next").alias("component"), "_old"))
+        labels = moved.select("node", "component")
+        if moved.where("component <> _old").isEmpty():
+            return labels

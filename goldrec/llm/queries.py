@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import media, mixing, packing, secrets, sharding, topk
+from goldrec.llm import media, mixing, ngram_join, packing, secrets, sharding, substrings, topk
 
 SHARDS = 40
 
@@ -39,6 +39,14 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(_table(spark, sf_dir, "documents"), with_tile=False)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"))
 
@@ -48,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op5_media, op9_topk, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op5_media, op6_substrings, op8_ngram_join, op9_topk, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_topk": """
