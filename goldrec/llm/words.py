@@ -89,10 +89,6 @@ class Words:
         np.cumsum((self.flat.astype(np.uint64) + np.uint64(1)) * up[: len(self.flat)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
-    def text_of(self) -> np.ndarray:
-        """The row of each word."""
-        return np.repeat(np.arange(len(self.counts)), self.counts)
-
 
 class Sequences:
     """Hashes of any stretches of consecutive words."""

@@ -72,7 +72,7 @@ def test_encoder_equals_tokenizers():
     plain.encode_special_tokens = True
     texts = ["", " ", "a", " a b", "a  b", "a\n b", "a \nb", "a  b c", "don't stop 12 x's", "a   b c", "Ünï ☃ 𝄞 <|endoftext|> x", "x\n\n y z", "tail ", "a\x1c b", "a b c d"]
     texts += [" ".join(texts)] * 2
-    encode = packing.encoder(vocabulary()).ids
+    encode = packing.encoder(vocabulary()).of
     for text in texts:
         assert encode(text) == plain.encode(text, add_special_tokens=False).ids
 
