@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if a count has shown it to have no more rows than this.
 BROADCAST_ROWS = 50_000
 
+#: Spark's own switch that removes an execution's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a local one is set only where it is unset."""
@@ -27,11 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, so that lost executors cost no lineage.
 
-    The files go when the JVM ends.
+    The table's files go when the JVM ends; the shuffle files that made it go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/goldrec/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)

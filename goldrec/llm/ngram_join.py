@@ -214,7 +214,7 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     least = max(COMMON_LEAST, -(-(counted.agg(F.sum("n")).first()[0] or 0) // COMMON_MOST))
     common = np.sort(np.array([r[0] for r in counted.where(F.col("n") >= least).select("node").collect()], np.int64).view(np.uint64))  # at most COMMON_MOST
 
-    routed = prefixes(slim, common, "text")
+    routed = materialize(prefixes(slim, common, "text"))
     several = materialize(routed.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("token"))
     met = materialize(routed.join(several, "token"))
     known = documents.where("doc_id IS NOT NULL AND n > 0")
