@@ -140,9 +140,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 def copies(mixed: DataFrame) -> DataFrame:
     """One row per copy that the mix takes, shuffled within its shard: shard, and words, how many of the leading words
-    count (fewer than size only in the one cut copy of a source). A document without words is copied for none."""
+    count (fewer than its size only in the one cut copy of a source). A document without words is copied for none."""
     each = mixed.select("*", F.posexplode("shards").alias("_pass", "shard")).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size")))
-    return each.where("words > 0").drop("shards", "size", "source_size", "target", "taken", "_pass")
+    return each.where("words > 0").drop("shards", "source_size", "target", "taken", "_pass")
 
 
 def shuffled(rows: DataFrame, seed: int = 7, id_col: str = "doc_id") -> DataFrame:

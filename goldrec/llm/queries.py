@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import media, mixing, ngram_join, packing, secrets, sharding, substrings, topk
+from goldrec.llm import lines, media, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk
 
 SHARDS = 40
 
@@ -35,6 +35,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.keep_clean(_table(spark, sf_dir, "documents"), columns=("doc_id",))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(_table(spark, sf_dir, "documents"), with_tile=False)
 
@@ -43,6 +47,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(_table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -56,7 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op5_media, op6_substrings, op8_ngram_join, op9_topk, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op4_quality, op5_media, op6_substrings, op7_lines, op8_ngram_join, op9_topk, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_topk": """
