@@ -5,13 +5,16 @@ Equal sets form one class, so copies are never paired. Classes are searched with
 1. Routing. A class enters the trees of its first n - ceil(0.8 n) + 1 shingles in an order common to all; two classes
    that link share one of them, whatever the order. Shingles that recur within batches of documents come last in it,
    which keeps trees small; that set only orders the shingles and can lose no link.
-2. Stars. In each tree one class is the pivot; each class is verified with the pivot that it meets most often. Most
-   groups of near copies are one component after this, and pairs inside a component need no look.
-3. Trees. In those that still hold several components, shingles are hashed into groups and the groups' counts are the
-   points of a packed R-tree. The overlap of a class with a node is at most the sum over coordinates of the smaller of
-   its count and the node's maximum; with the sizes this bounds the similarity. A large tree is cut into blocks that
-   meet as a grid, so no task holds more than two blocks.
-4. Surviving pairs are verified on whole texts, and links become components.
+2. Points. Shingles are hashed into groups, more of them for larger sets, and the groups' counts are a class's point.
+   The overlap of two classes is at most the sum over coordinates of the smaller count; with the sizes this bounds the
+   similarity. Points fold into fewer groups by adding counts up, so classes of any two sizes can be compared.
+3. Stars. In each tree one class is the pivot; each class meets the pivot that it shares most trees with. If their
+   bound reaches the threshold, the pair is verified. Most groups of near copies are one component after this, and
+   pairs inside a component need no look.
+4. Trees. In those that still hold several components, points folded to GROUPS coordinates are packed into an R-tree,
+   whose nodes hold maxima. A tree of one node is scanned; a large tree is cut into blocks that meet as a grid, so no
+   task holds more than two blocks. Pairs that survive meet once more with their whole points.
+5. What is left is verified on whole texts, and links become components.
 
 Words are lower-cased in A to Z. A text with fewer than five words has its whole sequence as one shingle; one without
 words (or null) is linked with nothing. A row without an id is in no component (null). Rows that repeat an id are
@@ -29,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldrec.llm.common import components, materialize
+from goldrec.llm.common import broadcast_if_small, components, materialize
 from goldrec.llm.words import Sequences, Words, mix, runs, signed
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that a batch of documents holds this often are candidates for the common ones, of which there are at most
 #: COMMON_MOST (each is counted COMMON_LEAST times or more).
 BATCH_LEAST, COMMON_LEAST, COMMON_MOST = 4, 64, 500_000
-#: Groups that shingles are counted in, entries of an R-tree node, classes of a block.
-GROUPS, FANOUT, BLOCK = 128, 16, 512
+#: Groups that shingles are counted in at least, shingles of a group at most (larger sets get more groups, by doubling),
+#: entries of an R-tree node, classes of a block.
+GROUPS, PER_GROUP, FANOUT, BLOCK = 128, 4, 16, 512
+#: The largest count that a point's byte holds; it stands for itself and all that are larger.
+MANY = 255
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -64,22 +70,49 @@ def set_hashes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix((sums[at[1:]] - sums[at[:-1]]) ^ (at[1:] - at[:-1]).astype(np.uint64))
 
 
+def points(grams: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A byte per group and set: how many of its shingles fall into the group, MANY at most."""
+    sizes = np.diff(at)
+    groups = GROUPS << np.ceil(np.log2(np.maximum(sizes / (GROUPS * PER_GROUP), 1))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(groups)])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = begin[doc] + (grams & (groups[doc] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=begin[-1]), MANY).astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(counts)]).cast(pa.binary())
+
+
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point in fewer groups."""
+    if len(point) == groups:
+        return point
+    sums = point.reshape(-1, groups).astype(np.int64)
+    return np.minimum(np.where(sums == MANY, 1 << 32, sums).sum(0), MANY).astype(np.uint8)
+
+
+def may_link(least: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Do rows of smaller counts, with the sums of both sizes, reach the threshold? Where both are MANY, they may."""
+    return ((100 + PERCENT) * least.sum(1, dtype=np.int64) >= PERCENT * n) | (least == MANY).any(1)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (kind 0: id, text hash, set size, class) and per shingle that recurs (kind 1: it, its count)."""
-    names = ["kind", "doc_id", "text_hash", "n", "node"]
+    """A row per document (kind 0: id, text hash, set size, class, point) and per shingle that recurs (kind 1: it, its count)."""
+    names = ["kind", "doc_id", "text_hash", "n", "node", "point"]
     for batch in batches:
-        parts = list(shingle_sets(batch.column(2)))
-        sizes = np.concatenate([np.diff(at) for _, _, at in parts]) if parts else np.zeros(0, np.int64)
-        nodes = np.concatenate([set_hashes(g, at) for _, g, at in parts]) if parts else np.zeros(0, np.uint64)
-        kind = pa.array(np.zeros(len(sizes), np.int32))
-        yield pa.RecordBatch.from_arrays([kind, batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(signed(nodes))], names=names)
-        _, own = np.unique(nodes, return_index=True)  # copies count once
-        own = set(own.tolist())
-        grams = [g[at[i] : at[i + 1]] for first, g, at in parts for i in range(len(at) - 1) if first + i in own]
-        found, counts = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        first = 0
+        own: list[np.ndarray] = []
+        seen: set[int] = set()
+        for _, grams, at in shingle_sets(batch.column(2)):
+            size, sizes, nodes = len(at) - 1, np.diff(at), set_hashes(grams, at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int32)), *(batch.column(c).slice(first, size) for c in (0, 1)), pa.array(sizes.astype(np.int64)), pa.array(signed(nodes)), points(grams, at)], names=names)
+            for i, node in enumerate(nodes.tolist()):  # copies count once
+                if node not in seen:
+                    seen.add(node)
+                    own.append(grams[at[i] : at[i + 1]])
+            first += size
+        found, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         found, counts = found[counts >= BATCH_LEAST], counts[counts >= BATCH_LEAST]
         none = pa.nulls(len(found), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(counts.astype(np.int64)), pa.array(signed(found))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(counts.astype(np.int64)), pa.array(signed(found)), pa.nulls(len(found), pa.binary())], names=names)
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, text: str) -> DataFrame:
@@ -110,8 +143,30 @@ def prefixes(docs: DataFrame, common: np.ndarray, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(over, "token long, node long, n int, rare int")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity reaches the threshold, from their texts."""
+def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole points let them link; known has node, n and point."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            total = (batch.column(2).to_numpy() + batch.column(4).to_numpy()).astype(np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                groups = min(len(x), len(y))
+                good[k] = may_link(np.minimum(fold(x, groups), fold(y, groups))[None], total[k : k + 1])[0]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], names=["a", "b"])
+
+    sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("point").alias(f"_p{x}")) for x in "ab"]
+    near = "(100 * least(_na, _nb) >= %d * greatest(_na, _nb))" % PERCENT
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b", "_na", "_pa", "_nb", "_pb").mapInArrow(over, "a long, b long")
+
+
+def _verify(pairs: DataFrame, known: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose similarity reaches the threshold, from their texts.
+
+    `pairs` and `known` (node, doc_id, text_hash, ...) are written tables; of `hashed` (doc_id, text_hash, text) only
+    the texts of classes in a pair are kept.
+    """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,23 +176,21 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = pa.array(100 * both >= PERCENT * (total - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = materialize(known.select("node", "doc_id", "text_hash").join(ends, "node"))
+    texts = materialize(hashed.join(broadcast_if_small(asked), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
     first, second = texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("_tb"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "_ta", "_tb").mapInArrow(over, "a long, b long")
 
 
-def _points(texts: DataFrame) -> DataFrame:
-    """(node, point): counts of each class's shingles in GROUPS groups, as uint16."""
+def _folded(known: DataFrame) -> DataFrame:
+    """(node, point): the points in GROUPS groups."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = []
-            for _, grams, at in shingle_sets(batch.column(1)):
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                counts = np.bincount(doc * GROUPS + (grams % np.uint64(GROUPS)).astype(np.int64), minlength=(len(at) - 1) * GROUPS)
-                points += [row.tobytes() for row in np.minimum(counts, 65535).astype("<u2").reshape(-1, GROUPS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary())], names=["node", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold(np.frombuffer(p.as_py(), np.uint8), GROUPS).tobytes() for p in batch.column(1)], pa.binary())], names=["node", "point"])
 
-    return texts.select("node", "text").mapInArrow(over, "node long, point binary")
+    return known.select("node", "point").mapInArrow(over, "node long, point binary")
 
 
 class RTree:
@@ -165,8 +218,7 @@ class RTree:
 
     @staticmethod
     def _reach(high: np.ndarray, low: np.ndarray, point: np.ndarray, size: int) -> np.ndarray:
-        overlap = np.minimum(high, point).sum(1, dtype=np.int64)
-        return (100 + PERCENT) * overlap >= PERCENT * (low.astype(np.int64) + size)
+        return may_link(np.minimum(high, point), low.astype(np.int64) + size)
 
 
 def _tree_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,31 +237,52 @@ def _tree_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _groups(frame: pd.DataFrame, cuts: list[int]) -> Iterator[pd.DataFrame]:
-    left, right = [], []
     node, n, comp, chunk, i, j = (frame[c].to_numpy() for c in ("node", "n", "component", "chunk", "i", "j"))
-    points = np.frombuffer(b"".join(frame["point"]), "<u2").reshape(-1, GROUPS)
-    for low, high in zip(cuts, cuts[1:]):
+    counts = np.frombuffer(b"".join(frame["point"]), np.uint8).reshape(-1, GROUPS)
+    sizes = np.diff(cuts)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    # Trees of one node, many at a time: their entries are scanned.
+    left, right = [], []
+    for step in range(1, FANOUT):
+        x = np.flatnonzero((group[step:] == group[:-step]) & (sizes[group[step:]] <= FANOUT))
+        y = x + step
+        met = (comp[x] != comp[y]) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
+        left.append(x[met])
+        right.append(y[met])
+    x, y = np.concatenate(left), np.concatenate(right)
+    x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+    own = np.unique(np.stack([node[x], node[y]]), axis=1, return_index=True)[1]
+    x, y = x[own], y[own]
+    fits = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= PERCENT * np.maximum(n[x], n[y])
+    x, y = x[fits], y[fits]
+    left, right = [], []
+    for low in range(0, len(x), 1 << 14):
+        u, v = x[low : low + (1 << 14)], y[low : low + (1 << 14)]
+        good = may_link(np.minimum(counts[u], counts[v]), n[u].astype(np.int64) + n[v])
+        left.append(node[u[good]])
+        right.append(node[v[good]])
+    for k in np.flatnonzero(sizes > FANOUT):
+        low, high = cuts[k], cuts[k + 1]
         if (comp[low:high] == comp[low]).all():
             continue
-        own = slice(low, high)
-        tree = RTree(points[own], n[own])
+        tree = RTree(counts[low:high], n[low:high])
         for q in range(low, high):
             if chunk[q] != i[q]:  # in a cell of two blocks, the first asks the second
                 continue
-            hit = low + tree.search(points[q], int(n[q]))
+            hit = low + tree.search(counts[q], int(n[q]))
             hit = hit[(comp[hit] != comp[q]) & (chunk[hit] == j[q])]
-            left.append(np.full(len(hit), node[q]))
-            right.append(node[hit])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            left.append(np.minimum(node[q], node[hit]))
+            right.append(np.maximum(node[q], node[hit]))
+    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
+    yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
 
 def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: its id, n_shingles, component_id and text_hash (to tell rows of one id apart)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     hashed = slim.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    scanned = materialize(hashed.mapInArrow(_scan, "kind int, doc_id long, text_hash long, n long, node long"))
-    documents = scanned.where("kind = 0").drop("kind")
+    scanned = materialize(hashed.mapInArrow(_scan, "kind int, doc_id long, text_hash long, n long, node long, point binary"))
+    documents = scanned.where("kind = 0").drop("kind", "point")
     counted = materialize(scanned.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST))
     least = max(COMMON_LEAST, -(-(counted.agg(F.sum("n")).first()[0] or 0) // COMMON_MOST))
     common = np.sort(np.array([r[0] for r in counted.where(F.col("n") >= least).select("node").collect()], np.int64).view(np.uint64))  # at most COMMON_MOST
@@ -217,25 +290,25 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     routed = materialize(prefixes(slim, common, "text"))
     several = materialize(routed.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("token"))
     met = materialize(routed.join(several, "token"))
-    known = documents.where("doc_id IS NOT NULL AND n > 0")
-    classes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("text_hash", "doc_id").alias("text_hash")))
+    classes = materialize(documents.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("text_hash", "doc_id").alias("text_hash")))
     asked = classes.join(met.select("node").distinct(), "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
-    texts = materialize(hashed.join(asked, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+    known = materialize(scanned.where("kind = 0").drop("kind").join(asked, ["node", "doc_id", "text_hash"]).dropDuplicates(["node"]))
 
     pivots = materialize(met.groupBy("token").agg(F.min_by("node", F.col("rare").cast("long") * (1 << 32) + F.pmod(F.col("node"), F.lit(1 << 32))).alias("pivot")))
     stars = met.join(pivots, "token").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("_n"))
     stars = stars.groupBy("node").agg(F.max_by("pivot", "_n").alias("pivot"))
-    near = materialize(_verify(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), texts))
+    stars = materialize(_bounded(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), known))
+    near = materialize(_verify(stars, known, hashed))
     parts = components(near, "a", "b")
 
     placed = materialize(met.select("token", "node", "n").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_trees = materialize(placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows")).where("_lo <> _hi").drop("_lo", "_hi"))
     blocked = placed.join(open_trees, "token").withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_blocks")))
     cells = blocked.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)"))).select("token", "node", "n", "component", "chunk", F.least("chunk", "_other").alias("i"), F.greatest("chunk", "_other").alias("j"))
-    with_points = cells.join(materialize(_points(texts)), "node")
+    with_points = cells.join(materialize(_folded(known)), "node")
     sorted_trees = with_points.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    survivors = sorted_trees.mapInPandas(_tree_pairs, "a long, b long").distinct()
-    more = materialize(_verify(survivors, texts))
+    survivors = materialize(_bounded(sorted_trees.mapInPandas(_tree_pairs, "a long, b long").distinct(), known))
+    more = materialize(_verify(survivors, known, hashed))
 
     ids = classes.select("node", "first_id")
     links = near.union(more).join(ids.select(F.col("node").alias("a"), F.col("first_id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("first_id").alias("y")), "b").select("x", "y")
