@@ -45,9 +45,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table for broadcast if it has at most that many rows; else the join shuffles as usual."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """Marks a written table for broadcast if it has at most that many rows; else the join shuffles as usual.
+
+    items: an array column whose items are counted instead of the rows, which it may outgrow.
+    """
+    count = df.agg(F.sum(F.greatest(F.size(items), F.lit(1))).alias("n")).first()["n"] or 0 if items else df.count()
+    return F.broadcast(df) if count <= rows else df
 
 
 def key_of(*cols: str) -> Column:
