@@ -164,5 +164,5 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
                 cols[size_at] = pa.array([x if x is not None else y.as_py() for x, y in zip(lengths, old)], old.type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32())], names=[*columns, "n_lines", "n_dropped"])
 
-    out = kept.withColumn("_row_key", row_key).join(per_row, "_row_key", "left").select(*columns, "_gone")
+    out = kept.withColumn("_row_key", row_key).join(per_row.hint("merge"), "_row_key", "left").select(*columns, "_gone")
     return out.mapInArrow(over, StructType([*kept.schema.fields, StructField("n_lines", IntegerType()), StructField("n_dropped", IntegerType())]))
