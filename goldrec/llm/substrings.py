@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.llm.common import key_of, materialize
-from goldrec.llm.words import Sequences, Words, runs, signed
+from goldrec.llm.words import Sequences, Words, runs, signed, slices
 
 WINDOW, GRAM = 35, 8
 #: A place: 24 bits of a second text hash, 34 of the first window's first word, 6 of the number of further windows.
@@ -106,13 +106,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     per_row = materialize(roles.groupBy("row_key", second).agg(*(F.collect_set(F.when(c, F.col("place"))).alias(name) for name, c in (("sure", F.col("role") != 1), ("ask", F.col("role") == 1), ("show", F.col("role") == 2)))))
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value, sure, ask, show in zip(batch.column(3), *(batch.column(c).to_pylist() for c in (4, 5, 6))):
-                raw, pending = (value.as_py() or "").encode("utf-8", "surrogatepass"), bool(ask or show)
-                rows.append((*((None,) * 3 if pending and ask else _outcome(raw, window, sure or (), digest)), value.as_py() if pending else None))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 2, 4, 5, 6)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[*(batch.schema.names[c] for c in (0, 1, 2, 4, 5, 6)), "n_words", "n_removed", "kept", "text"])
+        for batch in (part for whole in batches for part in slices(whole, 3)):
+            rows, keep = [], []
+            for k, (value, sure, ask, show) in enumerate(zip(batch.column(3), *(batch.column(c).to_pylist() for c in (4, 5, 6)))):
+                rows.append((None,) * 3 if ask else _outcome((value.as_py() or "").encode("utf-8", "surrogatepass"), window, sure or (), digest))
+                keep.append(k if ask or show else None)
+            cols = list(zip(*rows))
+            text = batch.column(3).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 2, 4, 5, 6)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()))), text], names=[*(batch.schema.names[c] for c in (0, 1, 2, 4, 5, 6)), "n_words", "n_removed", "kept", "text"])
 
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     long_lists = "sure array<long>, ask array<long>, show array<long>"
@@ -147,7 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     more = compared.where("asked").join(repeated, ["w1", "w2"]).groupBy("row_key", second).agg(F.collect_set("place").alias("more"))
 
     def second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = [_outcome(t.as_py().encode("utf-8", "surrogatepass"), window, [*(s or ()), *(m or ())], digest) for t, s, m in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_words", "n_removed", "kept"])

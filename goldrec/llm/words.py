@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken in runs of about so many bytes, which bounds a worker's memory; a longer text is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SEQUENCE_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -36,7 +36,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below at least `size`."""
-    return _powers(base, 1 << max(21, int(size).bit_length()))
+    return _powers(base, 1 << max(20, int(size).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +68,17 @@ def runs(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, np.
         first = last
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 * RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about so many bytes of text, so that what is made from them stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(batch):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 class Words:
     """The words of some texts: byte spans, the number of the first word of each text, hashes."""
 
