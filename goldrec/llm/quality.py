@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.llm.common import key_of, materialize
-from goldrec.llm.words import Words, mix, powers, runs
+from goldrec.llm.words import Words, mix, powers, runs, slices
 
 #: Documents that the scorer is fitted to, at most about; size of its hashed feature space.
 SAMPLE, FEATURES = 20_000, 4096
@@ -178,18 +178,19 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at_text)):
             found = []
-            for _, flat, at in runs(batch.column(0)):
+            for _, flat, at in runs(batch.column(at_text)):
                 seen = Measures(flat, at)
                 z = np.bincount(seen.doc, w[seen.feature], len(seen.n)) / np.maximum(seen.n, 1) + w[-1]
                 found.append(np.where(seen.n > 0, 1 / (1 + np.exp(np.clip(z, -60, 60))), np.nan))
-            value = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(value, mask=np.isnan(value))], names=[*batch.schema.names[1:], out])
+            value = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, mask=np.isnan(value))], names=[*batch.schema.names, out])
 
     kept = docs.drop(out)
+    at_text = kept.columns.index(text)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields)
-    return kept.select(F.col(text).alias("_text"), "*").mapInArrow(over, f"{schema}`{out}` double")
+    return kept.mapInArrow(over, f"{schema}`{out}` double")
 
 
 def keep_clean(docs: DataFrame, text: str = "text", id_col: str = "doc_id", columns: tuple[str, ...] | None = None, out: str = "quality") -> DataFrame:
