@@ -17,7 +17,9 @@ def strict_date(c: Column) -> Column:
 def loose_date(c: Column) -> Column:
     """A month and year, or a year, as its first day; null for blank, present, current, now and anything else."""
     plain = F.regexp_replace(F.regexp_replace(strip(c), r"(?i)^sept\b", "Sep"), r"[.\-\s]+", " ")
-    return F.coalesce(strict_date(strip(c)), *(F.try_to_date(plain, f) for f in ("MMM yyyy", "MMMM yyyy", "M/yyyy", "yyyy")), F.try_to_date(plain, "MMMM d, yyyy"))
+    # A format is tried only on its own shape: a failed parse costs far more than a pattern.
+    shapes = {r"^[A-Za-z]{3} \d{4}$": "MMM yyyy", r"^[A-Za-z]{4,9} \d{4}$": "MMMM yyyy", r"^\d{1,2}/\d{4}$": "M/yyyy", r"^\d{4}$": "yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$": "MMMM d, yyyy"}
+    return F.coalesce(strict_date(strip(c)), *(F.when(plain.rlike(shape), F.try_to_date(plain, f)) for shape, f in shapes.items()))
 
 
 def date_ranges(c: Column) -> Column:
