@@ -5,9 +5,11 @@ from the start. In a leaf, a place where no token holds at least half of the lin
 template is its tokens with all variable fields masked, provided that at least half of them stay; else its tokens with
 only those with digits masked. Every rule is counted over all documents.
 
-A template recurs if at least `min_docs` different texts hold it (copies of a document count once). A document that
-would lose more than `most` of its words keeps all its lines: it is a copy, not a carrier of boilerplate, and
-near-duplicate removal is to decide on it. What stays of a text is its other lines, as they were.
+A template recurs if at least `min_docs` different texts hold it (copies of a document count once). With `by_group`,
+near copies count once too: holders are counted by the components of the n-gram join, over all texts that hold a
+template of `min_docs` texts, and recurring lines go in every document, however many of its words they make up. Without
+it, a document that would lose more than `most` of its words keeps all its lines. What stays of a text is its other
+lines, as they were.
 
 Lines travel as 64-bit hashes of their tokens, leaves and masked forms. A leaf can have variable fields only if it holds
 several kinds of lines and enough documents; of those leaves, one line of each kind is read again for its tokens.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from goldrec.llm.common import broadcast_if_small, key_of, materialize
+from goldrec.llm.ngram_join import near_components
 from goldrec.llm.words import Sequences, Words, mix, runs, signed
 
 MIN_DOCS, DEPTH, HALF, MOST = 10, 3, 0.5, 0.5
@@ -127,18 +130,31 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, hal
     return materialize(merged.union(single)), lines
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, half: float = HALF, most: float = MOST, text: str = "text", id_col: str = "doc_id", length: str | None = None) -> DataFrame:
+def _of_groups(docs: DataFrame, recurring: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """The recurring kinds whose template at least min_docs groups of near copies hold."""
+    held = materialize(lines.join(broadcast_if_small(recurring.select("leaf", "masked", "template_key")), ["leaf", "masked"]).select("template_key", "text_key").distinct())
+    holders = materialize(docs.select("text_key", "text").join(held.select("text_key").distinct().hint("merge"), "text_key").dropDuplicates(["text_key"]))
+    groups = near_components(holders, id_col="text_key").select("text_key", "component_id")
+    counted = held.join(groups.hint("merge"), "text_key").select("template_key", "component_id").distinct().groupBy("template_key").agg(F.count(F.lit(1)).alias("_groups"))
+    return materialize(recurring.join(counted.where(F.col("_groups") >= min_docs), "template_key", "left_semi"))
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, half: float = HALF, most: float = MOST, text: str = "text", id_col: str = "doc_id", length: str | None = None, by_group: bool = False) -> DataFrame:
     """docs with recurring lines taken out of the text, and n_lines and n_dropped added.
 
     length: a column of docs that holds the text's number of characters, to be kept up to date.
+    by_group: count near copies as one holder, and drop recurring lines in every document.
     """
     row_key, text_key = key_of(id_col, text), F.xxhash64(text)
     slim = docs.select(row_key.alias("row_key"), text_key.alias("text_key"), F.col(text).alias("text"))
     recurring, lines = templates(slim, min_docs, depth, half)
+    if by_group:
+        recurring = _of_groups(slim, recurring, lines, min_docs)
     gone = lines.join(broadcast_if_small(recurring.select("leaf", "masked")), ["leaf", "masked"])
     # Repeated rows have equal lines: they are one here.
     per_row = gone.groupBy("row_key", "words", "line_no").agg(F.max("n_tokens").alias("n_tokens")).groupBy("row_key", "words").agg(F.collect_list("line_no").alias("_gone"), F.sum("n_tokens").alias("_lost"))
-    per_row = materialize(per_row.where(F.col("_lost") <= most * F.col("words")).select(F.col("row_key").alias("_row_key"), "_gone"))
+    spared = F.lit(False) if by_group else F.col("_lost") > most * F.col("words")
+    per_row = materialize(per_row.where(~spared).select(F.col("row_key").alias("_row_key"), "_gone"))
 
     kept = docs.drop("n_lines", "n_dropped")
     columns = kept.columns

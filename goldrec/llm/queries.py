@@ -48,7 +48,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = lines.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"), by_group=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 

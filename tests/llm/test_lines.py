@@ -76,3 +76,57 @@ def test_odd_rows(spark, odd, nothing):
     out = lines.drop_recurring(odd.withColumn("n_lines", F.lit("x")), 2, length="n_chars")
     assert out.count() == odd.count() and set(out.columns) == {*odd.columns, "n_lines", "n_dropped"}
     assert lines.drop_recurring(nothing).collect() == []
+
+
+def shingles(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_short_carriers_lose_lines_and_near_copies_count_once(spark):
+    notice = "This work is free to use for all who ask"
+    word = lambda k, i: f"{'abcdefghij'[k]}{'klmnopqrst'[i % 10]}{'uvwxyz'[i // 10 % 6]}"
+    carriers = [f"{' '.join(word(k, i) for i in range(5))}\n{notice}" for k in range(4)]
+    body = [" ".join(f"{w}{'abcdefghijkl'[i]}" for w in ("lorem", "ipsum", "dolor", "sit", "amet", "quid", "nunc", "erat")) for i in range(12)]
+    copies = ["\n".join([*body, f"end {word(k, 7)}"]) for k in range(5)]
+    assert all(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for a in copies for b in copies)
+    texts = [*carriers, *copies, notice]
+    got = {r["doc_id"]: r for r in lines.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, by_group=True).collect()}
+    for i, t in enumerate(carriers):  # ten of fifteen words recur
+        assert (got[i]["text"], got[i]["n_dropped"]) == (t.split("\n")[0], 1)
+    for i, t in enumerate(copies, len(carriers)):
+        assert (got[i]["text"], got[i]["n_dropped"]) == (t, 0)
+    assert (got[9]["text"], got[9]["n_dropped"], got[9]["n_lines"]) == ("", 1, 1)
+
+
+def test_query_spares_no_document(spark):
+    from goldrec.llm.queries import op7_lines
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r["doc_id"]: r["n_dropped"] for r in op7_lines(spark, SF).collect()}
+    texts = sorted({t for _, t in rows if t is not None and t.split()})
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    by_shingle = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by_shingle[x].append(i)
+    for j, s in enumerate(sets):
+        for i, both in collections.Counter(i for x in s for i in by_shingle[x] if i < j).items():
+            if both >= 0.8 * (len(sets[i]) + len(s) - both):
+                up[top(j)] = top(i)
+    held = collections.defaultdict(set)
+    plain = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            held[plain(line)].add(top(i))
+    for doc, t in rows:  # a kind that recurs by itself recurs whatever else its template holds
+        sure = sum(bool(plain(x)) and len(held[plain(x)]) >= 10 for x in (t or "").split("\n"))
+        assert got[doc] >= sure
+    alone = sum(bool(plain(x)) and len(held[plain(x)]) >= 10 for _, t in rows for x in (t or "").split("\n"))
+    assert alone and sum(got.values()) >= alone
