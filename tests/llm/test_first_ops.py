@@ -77,6 +77,21 @@ def test_encoder_equals_tokenizers():
         assert encode(text) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "tail \n<|endoftext|>", "<|endoftext|", "Ünï ☃ 𝄞 <|endoftext|> x", "", "no token here", "w <|endoftext|> " * 1500]
+    assert packing.encoder(vocabulary()).ids(texts[0]) == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((r["doc_id"], k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 2048)))
+    rows = packing.pack(packing.pieces(docs, vocabulary())).collect()
+    assert want == collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+
+
 def check_packed(rows, docs, capacity=2048):
     from tokenizers import Tokenizer
 
