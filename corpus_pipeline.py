@@ -34,8 +34,8 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Documents stay whole: the one copy of a source that the mix would cut is there if at least half of it is taken.
     """
     others = tuple(c for c in docs.columns if c != "doc_id")
-    taken = mixing.copies(mixing.mix(docs, keep=others))
-    return mixing.shuffled(taken.where("2 * words >= size")).select(docs.columns)
+    taken = mixing.copies(mixing.mix(docs, keep=others, packed=True))
+    return mixing.shuffled(taken.where("2 * words >= size")).select("doc_id", "_kept.*").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

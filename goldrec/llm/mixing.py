@@ -30,6 +30,8 @@ MOST = 3
 BLOCK_WORDS, BLOCK_DOCS, BLOCKS = 65_536, 512, 64
 #: Draws of an output shard.
 SHARD_DRAWS = 32
+#: Columns that mix and copies add; a kept column of such a name comes out as kept_ and its name.
+OWN = {"size", "source_size", "target", "taken", "shards", "shard", "words", "_pass"}
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
@@ -123,19 +125,25 @@ def _block_plan(docs: DataFrame, seed: int, per_shard: int) -> DataFrame:
     return drawn.select("_source", "_block", "_passes", "_rest").join(given, ["_source", "_block"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0, seed: int = 7, per_shard: int = SHARD_DRAWS, keep: tuple[str, ...] = (), text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0, seed: int = 7, per_shard: int = SHARD_DRAWS, keep: tuple[str, ...] = (), packed: bool = False, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: id, the `keep` columns, size, source_size, target (of its source), taken (words the
-    mix takes, repeats counted) and shards (the output shard of each of its copies; the last may be cut)."""
-    sized = docs.select(id_col, *keep, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source).alias("_name"), key_of(source).alias("_source"), key_of(id_col, text).alias("_row"))
+    mix takes, repeats counted) and shards (the output shard of each of its copies; the last may be cut).
+
+    packed: the `keep` columns come as one struct `_kept`, with the names that they have.
+    """
+    kept = [F.struct(*(F.col(c) for c in keep)).alias("_kept")] if keep else []
+    sized = docs.select(id_col, *kept, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source).alias("_name"), key_of(source).alias("_source"), key_of(id_col, text).alias("_row"))
     known = materialize(targets(sized.groupBy("_source", F.col("_name").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, most, share).drop("source"))
     blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS), F.ceil(F.col("docs") / BLOCK_DOCS))
     dealt = sized.drop("_name").join(broadcast_if_small(known), "_source").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(seed)), F.col("_blocks")))
-    slim = materialize(dealt.drop(*keep)) if not keep else dealt
+    slim = materialize(dealt) if not keep else dealt
     plan = _block_plan(slim.select("_source", "_block", "size", "_passes", "_rest", "_blocks"), seed, per_shard)
     inside = Window.partitionBy("_source", "_block").orderBy("_row", id_col).rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.col("_passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.coalesce(F.sum("size").over(inside), F.lit(0)))), F.lit(0))
     joined = slim.drop("_passes", "_rest").join(plan, ["_source", "_block"], "left").withColumn("taken", taken)
-    return joined.select(id_col, *keep, "size", "source_size", "target", "taken", F.coalesce("shards", F.array().cast("array<long>")).alias("shards"))
+    if keep and not packed:
+        kept = [F.col("_kept")[c].alias(f"kept_{c}" if c.lower() in OWN else c) for c in keep]
+    return joined.select(id_col, *(["_kept"] if keep and packed else kept), "size", "source_size", "target", "taken", F.coalesce("shards", F.array().cast("array<long>")).alias("shards"))
 
 
 def copies(mixed: DataFrame) -> DataFrame:

@@ -54,6 +54,23 @@ def test_mix(spark, odd, name):
     assert {r[0]: r[1] for r in copies} == {s: n for s, n in taken.items() if n}
 
 
+def test_mix_keeps_columns_of_clashing_names(spark, odd):
+    from corpus_pipeline import mixing_to_weights
+
+    docs = odd
+    for name in ("source_size", "target", "weight", "docs", "shards", "shard", "words", "taken", "_name", "_source", "_row", "_block", "_passes", "_rest"):
+        docs = docs.withColumn(name, F.lit("own " + name))
+    out = mixing_to_weights(spark, docs, SF)
+    assert out.columns == docs.columns
+    plain = odd.drop("size")
+    want = collections.Counter(str(r) for r in mixing_to_weights(spark, plain, SF).collect())
+    rows = out.collect()
+    assert rows and want == collections.Counter(str(r) for r in out.select(plain.columns).collect())
+    assert all(r["size"] == "clash" and r["words"] == "own words" and r["_rest"] == "own _rest" for r in rows)
+    flat = mixing.mix(odd, keep=("size", "text")).collect()
+    assert all(r["kept_size"] == "clash" and r["size"] == size(r["text"]) for r in flat)
+
+
 def test_splitting_tree_is_exact():
     quotas = [100, 0, 7, 1000]
     leaves = dict(mixing.split_quotas(3, quotas, 9))
