@@ -11,10 +11,15 @@ Equal sets form one class, so copies are never paired. Classes are searched with
 3. Stars. In each tree one class is the pivot; each class meets the pivot that it shares most trees with. If their
    bound reaches the threshold, the pair is verified. Most groups of near copies are one component after this, and
    pairs inside a component need no look.
-4. Trees. In those that still hold several components, points folded to GROUPS coordinates are packed into an R-tree,
-   whose nodes hold maxima. A tree of one node is scanned; a large tree is cut into blocks that meet as a grid, so no
-   task holds more than two blocks. Pairs that survive meet once more with their whole points.
-5. What is left is verified on whole texts, and links become components.
+4. Trees. Of the trees that still hold several components, those with equal members count once. Points folded to GROUPS
+   coordinates are packed into an R-tree, whose nodes hold maxima. A tree of one node is scanned; a large tree is cut
+   into blocks that meet as a grid, so no task holds more than two blocks. The pairs that survive stay in the task: it
+   tells of each class with a partner only which group of survivors it belongs to, at most a row a class and tree.
+5. Verification. Classes that survivors join, over all trees, form a cluster; every link lies inside one. A cluster's
+   sets come together once (a large one's in blocks that meet as a grid), their overlaps are counted from an inverted
+   index, and the links that join different components are told, fewer than there are classes in the task. A cluster
+   of near misses thus costs time in a task but no rows.
+6. Links become components.
 
 Words are lower-cased in A to Z. A text with fewer than five words has its whole sequence as one shingle; one without
 words (or null) is linked with nothing. A row without an id is in no component (null). Rows that repeat an id are
@@ -33,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.llm.common import broadcast_if_small, components, materialize
-from goldrec.llm.words import Sequences, Words, mix, runs, signed
+from goldrec.llm.words import Sequences, Words, mix, runs, signed, slices
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that a batch of documents holds this often are candidates for the common ones, of which there are at most
 #: COMMON_MOST (each is counted COMMON_LEAST times or more).
 BATCH_LEAST, COMMON_LEAST, COMMON_MOST = 4, 64, 500_000
 #: Groups that shingles are counted in at least, shingles of a group at most (larger sets get more groups, by doubling),
-#: entries of an R-tree node, classes of a block.
-GROUPS, PER_GROUP, FANOUT, BLOCK = 128, 4, 16, 512
+#: entries of an R-tree node, classes of a tree's block, shingles of a cluster's block.
+GROUPS, PER_GROUP, FANOUT, BLOCK, CLUSTER_SHINGLES = 128, 4, 16, 1024, 1 << 19
 #: The largest count that a point's byte holds; it stands for itself and all that are larger.
 MANY = 255
 
@@ -161,26 +166,95 @@ def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b", "_na", "_pa", "_nb", "_pb").mapInArrow(over, "a long, b long")
 
 
-def _verify(pairs: DataFrame, known: DataFrame, hashed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity reaches the threshold, from their texts.
+CELL = ["cluster", "i", "j"]
 
-    `pairs` and `known` (node, doc_id, text_hash, ...) are written tables; of `hashed` (doc_id, text_hash, text) only
-    the texts of classes in a pair are kept.
+
+def _verified(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between classes of different components, as many as join what links in a cell join, and
+    (node, null, n) with the number of a class's links in a cell if its component is null (then all pairs are told of).
+
+    `cells` (cluster, i, j, node, chunk, component): in a cell, the classes of chunk i meet those of chunk j. A cell's
+    sets must fit a task.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[g[at[i] : at[i + 1]] for _, g, at in shingle_sets(batch.column(c)) for i in range(len(at) - 1)] for c in (2, 3)]
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)], np.int64)
-            total = np.array([len(x) + len(y) for x, y in zip(*sides)], np.int64)
-            good = pa.array(100 * both >= PERCENT * (total - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = materialize(known.select("node", "doc_id", "text_hash").join(ends, "node"))
-    texts = materialize(hashed.join(broadcast_if_small(asked), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
-    first, second = texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("_tb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "_ta", "_tb").mapInArrow(over, "a long, b long")
+        last, held = None, []
+        for batch in (part for whole in batches for part in slices(whole, 6)):
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            node, chunk, component = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_pylist()
+            for first, grams, at in shingle_sets(batch.column(6)):
+                for k in range(len(at) - 1):
+                    key = tuple(keys[first + k].tolist())
+                    if key != last and held:
+                        yield from _cell_links(last, held)
+                        held = []
+                    last = key
+                    held.append((node[first + k], chunk[first + k], component[first + k], grams[at[k] : at[k + 1]].copy()))
+        if held:
+            yield from _cell_links(last, held)
+
+    met = cells.join(texts, "node").select(*CELL, "node", "chunk", "component", "text")
+    return met.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(over, "a long, b long, n long")
+
+
+def _cell_links(key: tuple[int, int, int], held: list[tuple[int, int, int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    _, i, j = key
+    node, chunk = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+    counting = held[0][2] is None
+    label = node.copy() if counting else np.array([h[2] for h in held], np.int64)
+    sizes = np.array([len(h[3]) for h in held], np.int64)
+    _, gram, times = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    docs = np.repeat(np.arange(len(held)), sizes)[np.argsort(gram, kind="stable")]  # the sets that hold each shingle
+    begin = np.concatenate([[0], np.cumsum(times)])
+    told: list[tuple[int, int | None, int]] = []
+    number = np.zeros(len(held), np.int64)
+    for q in np.flatnonzero(chunk == i).tolist():
+        if not counting and (label == label[q]).all():
+            break
+        own = gram[at[q] : at[q + 1]]
+        own = own[times[own] > 1]
+        much = times[own]
+        places = np.arange(int(much.sum())) + np.repeat(begin[own] - (np.cumsum(much) - much), much)
+        both = np.bincount(docs[places], minlength=len(held))
+        good = (100 * both >= PERCENT * (sizes[q] + sizes - both)) & (chunk == j)
+        if counting:
+            good[: q + 1] &= i != j
+            number[q] += good.sum()
+            number += good
+        hits = np.flatnonzero(good & (label != label[q]))
+        if len(hits):
+            found, first = np.unique(label[hits], return_index=True)
+            told += [(int(node[q]), int(node[hits[f]]), 0) for f in first]
+            label[np.isin(label, found)] = label[q]
+    told += [(int(node[k]), None, int(number[k])) for k in np.flatnonzero(number)]
+    if told:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*told)], names=["a", "b", "n"])
+
+
+def _texts(nodes: DataFrame, known: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(node, text) of some classes; known (node, doc_id, text_hash, ...) is a written table."""
+    asked = materialize(known.select("node", "doc_id", "text_hash").join(nodes, "node", "left_semi"))
+    return materialize(hashed.join(broadcast_if_small(asked), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+
+
+def _star_links(stars: DataFrame, known: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The pairs (node, pivot) that link: each pivot meets its classes block by block."""
+    sizes = stars.join(known.select("node", "n"), "node")
+    blocks = sizes.groupBy("pivot").agg(F.ceil(F.sum("n") / CLUSTER_SHINGLES).alias("_blocks"))
+    members = materialize(sizes.join(blocks, "pivot").select(F.col("pivot").alias("cluster"), "node", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("chunk")))
+    pivots = members.select("cluster", F.col("cluster").alias("node"), F.lit(-1).cast("long").alias("chunk"), F.col("chunk").alias("j")).distinct()
+    cells = members.withColumn("j", F.col("chunk")).unionByName(pivots).select("cluster", F.lit(-1).cast("long").alias("i"), "j", "node", "chunk", F.col("node").alias("component"))
+    texts = _texts(members.select("node").union(members.select("cluster")).distinct(), known, hashed)
+    return materialize(_verified(materialize(cells), texts).select("a", "b"))
+
+
+def _grid(rows: DataFrame) -> DataFrame:
+    """rows (with _blocks, the number of blocks that their group is cut into) with chunk, i and j: in each cell that two
+    blocks share, or one has to itself."""
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    met = dealt.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
+    return met.withColumn("i", F.least("chunk", "_other")).withColumn("j", F.greatest("chunk", "_other")).drop("_other", "_blocks")
 
 
 def _folded(known: DataFrame) -> DataFrame:
@@ -221,8 +295,9 @@ class RTree:
         return may_link(np.minimum(high, point), low.astype(np.int64) + size)
 
 
-def _tree_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of classes in different components whose bound reaches the threshold; rows come sorted by their tree."""
+def _survivors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, root): each class with a partner of another component whose bound reaches the threshold, and the first
+    class of its group of survivors in the tree; rows come sorted by their tree."""
     keys, rest = ["token", "i", "j"], None
     for frame in frames:
         frame = pd.concat([rest, frame], ignore_index=True) if rest is not None and len(rest) else frame
@@ -231,36 +306,29 @@ def _tree_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values = frame[keys].to_numpy()
         cuts = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
         rest = frame.iloc[cuts[-1] if len(cuts) else 0 :]
-        yield from _groups(frame, [0, *cuts.tolist()])
-    if rest is not None:
-        yield from _groups(rest, [0, len(rest)])
+        if len(cuts):
+            yield _groups(frame.iloc[: cuts[-1]], [0, *cuts.tolist()])
+    if rest is not None and len(rest):
+        yield _groups(rest, [0, len(rest)])
 
 
-def _groups(frame: pd.DataFrame, cuts: list[int]) -> Iterator[pd.DataFrame]:
+def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
     node, n, comp, chunk, i, j = (frame[c].to_numpy() for c in ("node", "n", "component", "chunk", "i", "j"))
     counts = np.frombuffer(b"".join(frame["point"]), np.uint8).reshape(-1, GROUPS)
     sizes = np.diff(cuts)
     group = np.repeat(np.arange(len(sizes)), sizes)
+    root = np.arange(len(frame))
     # Trees of one node, many at a time: their entries are scanned.
-    left, right = [], []
     for step in range(1, FANOUT):
         x = np.flatnonzero((group[step:] == group[:-step]) & (sizes[group[step:]] <= FANOUT))
         y = x + step
         met = (comp[x] != comp[y]) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
-        left.append(x[met])
-        right.append(y[met])
-    x, y = np.concatenate(left), np.concatenate(right)
-    x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
-    own = np.unique(np.stack([node[x], node[y]]), axis=1, return_index=True)[1]
-    x, y = x[own], y[own]
-    fits = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= PERCENT * np.maximum(n[x], n[y])
-    x, y = x[fits], y[fits]
-    left, right = [], []
-    for low in range(0, len(x), 1 << 14):
-        u, v = x[low : low + (1 << 14)], y[low : low + (1 << 14)]
-        good = may_link(np.minimum(counts[u], counts[v]), n[u].astype(np.int64) + n[v])
-        left.append(node[u[good]])
-        right.append(node[v[good]])
+        met &= 100 * np.minimum(n[x], n[y]).astype(np.int64) >= PERCENT * np.maximum(n[x], n[y])
+        x, y = x[met], y[met]
+        for low in range(0, len(x), 1 << 14):
+            u, v = x[low : low + (1 << 14)], y[low : low + (1 << 14)]
+            good = may_link(np.minimum(counts[u], counts[v]), n[u].astype(np.int64) + n[v])
+            _join(root, u[good], v[good])
     for k in np.flatnonzero(sizes > FANOUT):
         low, high = cuts[k], cuts[k + 1]
         if (comp[low:high] == comp[low]).all():
@@ -271,14 +339,32 @@ def _groups(frame: pd.DataFrame, cuts: list[int]) -> Iterator[pd.DataFrame]:
                 continue
             hit = low + tree.search(counts[q], int(n[q]))
             hit = hit[(comp[hit] != comp[q]) & (chunk[hit] == j[q])]
-            left.append(np.minimum(node[q], node[hit]))
-            right.append(np.maximum(node[q], node[hit]))
-    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-    yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-
-def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of docs: its id, n_shingles, component_id and text_hash (to tell rows of one id apart)."""
+            if len(hit):
+                _join(root, np.full(len(hit), q), hit)
+    while (root != root[root]).any():
+        root = root[root]
+    alive = root != np.arange(len(root))
+    return pd.DataFrame({"node": node[alive], "root": node[root[alive]]}).drop_duplicates()
+
+
+def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Brings x and y under one root, pair by pair; roots are never larger than what they stand for."""
+    while len(x):
+        while True:
+            x, y = root[x], root[y]
+            if (root[x] == x).all() and (root[y] == y).all():
+                break
+        apart = x != y
+        x, y = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+        np.minimum.at(root, y, x)
+
+
+def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", links: bool = False) -> DataFrame:
+    """One row per row of docs: its id, n_shingles, component_id and text_hash (to tell rows of one id apart).
+
+    links: also class_id (the smallest id of an equal set) and n_links, the number of other classes that the class
+    links with. All links are then counted, so that no pair is passed over for being in one component already.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     hashed = slim.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     scanned = materialize(hashed.mapInArrow(_scan, "kind int, doc_id long, text_hash long, n long, node long, point binary"))
@@ -289,32 +375,47 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
     routed = materialize(prefixes(slim, common, "text"))
     several = materialize(routed.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("token"))
-    met = materialize(routed.join(several, "token"))
+    met = materialize(routed.join(several, "token").distinct())
     classes = materialize(documents.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("text_hash", "doc_id").alias("text_hash")))
     asked = classes.join(met.select("node").distinct(), "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
     known = materialize(scanned.where("kind = 0").drop("kind").join(asked, ["node", "doc_id", "text_hash"]).dropDuplicates(["node"]))
 
-    pivots = materialize(met.groupBy("token").agg(F.min_by("node", F.col("rare").cast("long") * (1 << 32) + F.pmod(F.col("node"), F.lit(1 << 32))).alias("pivot")))
-    stars = met.join(pivots, "token").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("_n"))
-    stars = stars.groupBy("node").agg(F.max_by("pivot", "_n").alias("pivot"))
-    stars = materialize(_bounded(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), known))
-    near = materialize(_verify(stars, known, hashed))
-    parts = components(near, "a", "b")
-
-    placed = materialize(met.select("token", "node", "n").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_trees = materialize(placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows")).where("_lo <> _hi").drop("_lo", "_hi"))
-    blocked = placed.join(open_trees, "token").withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_blocks")))
-    cells = blocked.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)"))).select("token", "node", "n", "component", "chunk", F.least("chunk", "_other").alias("i"), F.greatest("chunk", "_other").alias("j"))
-    with_points = cells.join(materialize(_folded(known)), "node")
-    sorted_trees = with_points.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    survivors = materialize(_bounded(sorted_trees.mapInPandas(_tree_pairs, "a long, b long").distinct(), known))
-    more = materialize(_verify(survivors, known, hashed))
+    own = F.col("node")
+    near, parts = None, None
+    if not links:
+        pivots = met.groupBy("token").agg(F.min_by("node", F.col("rare").cast("long") * (1 << 32) + F.pmod(own, F.lit(1 << 32))).alias("pivot"))
+        stars = met.join(materialize(pivots), "token").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("_n"))
+        stars = materialize(stars.groupBy(own.alias("a")).agg(F.max_by("pivot", F.struct("_n", "pivot")).alias("b")))
+        near = _star_links(materialize(_bounded(stars, known)).toDF("node", "pivot"), known, hashed)
+        parts = components(near, "a", "b")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows with the component of their class; one of its own until stars have found another."""
+        return rows.withColumn("component", own) if links else rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", own))
+
+    placings = materialize(placed(met.select("token", "node", "n")))
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"_s{k}") for k in (0, 1)]
+    trees = placings.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows"), *members).where("_lo <> _hi")
+    trees = materialize(trees.groupBy("_rows", "_s0", "_s1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("_rows") / BLOCK).alias("_blocks")))
+    cells = _grid(placings.join(trees, "token")).join(materialize(_folded(known)), "node")
+    sorted_trees = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    survivors = materialize(sorted_trees.mapInPandas(_survivors, "node long, root long").distinct())
+
+    clusters = components(survivors, "node", "root").withColumnRenamed("component", "cluster").join(known.select("node", "n"), "node")
+    clusters = materialize(clusters.withColumn("component", F.lit(None).cast("long")) if links else placed(clusters))
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_SHINGLES).alias("_blocks"))
+    found = materialize(_verified(materialize(_grid(clusters.join(blocks, "cluster"))), _texts(clusters.select("node"), known, hashed)))
+    more = found.where("b IS NOT NULL").select("a", "b")
 
     ids = classes.select("node", "first_id")
-    links = near.union(more).join(ids.select(F.col("node").alias("a"), F.col("first_id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("first_id").alias("y")), "b").select("x", "y")
-    grouped = components(links, "x", "y").withColumnRenamed("node", "first_id")
-    of_class = materialize(ids.join(grouped, "first_id", "left").select("node", F.coalesce("component", "first_id").alias("component_id")))
-    return documents.join(of_class, "node", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash")
+    joined = (more if near is None else near.union(more)).join(ids.select(F.col("node").alias("a"), F.col("first_id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("first_id").alias("y")), "b").select("x", "y")
+    grouped = components(joined, "x", "y").withColumnRenamed("node", "first_id")
+    of_class = ids.join(grouped, "first_id", "left").select("node", F.col("first_id").alias("class_id"), F.coalesce("component", "first_id").alias("component_id"))
+    if links:
+        of_class = of_class.join(found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links")), "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    more = [F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return documents.join(materialize(of_class), "node", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component, *more, "text_hash")
 
 
 def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
