@@ -22,9 +22,12 @@ WRITING = {SHUFFLE_CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one is set only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a session that is one
+    process (master local) gets a folder of its machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='goldrec-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -50,6 +53,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables from materialize that nothing reads any more, before the JVM ends."""
+    for table in tables:
+        for name in table.inputFiles()[:1]:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
     """Marks a written table for broadcast if it has at most that many rows; else the join shuffles as usual.
 
@@ -59,6 +70,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | N
     return F.broadcast(df) if count <= rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def aside(df: DataFrame, *outputs: str) -> DataFrame:
+    """df with each column that is named like an output renamed to kept_ and its name."""
+    clash = {c for c in df.columns if c.lower() in {o.lower() for o in outputs}}
+    return df.withColumnsRenamed(dict(zip(clash, fresh(df, *(f"kept_{c}" for c in clash))))) if clash else df
+
+
 def key_of(*cols: str) -> Column:
     """A 64-bit key of columns in which nulls count as values of their own."""
     return F.xxhash64(*(x for c in cols for x in (F.col(c).isNull(), F.col(c))))
@@ -72,12 +100,13 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], *, bounded_
     must be cheap to read twice (a written table). bounded_groups: the number of groups has a bound that doesn't grow
     with the data, so that the table of group sizes may be broadcast. Keys must not be null.
     """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_chunks"))
-    dealt = df.join(F.broadcast(sizes) if bounded_groups else sizes, keys).withColumn("_chunk", F.pmod(key_of(*order), F.col("_chunks"))).drop("_chunks")
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return dealt.join(starts, [*keys, "_chunk"]).withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_chunk", "_start")
+    chunk, chunks, start, n = fresh(df, "chunk", "chunks", "start", "n")
+    sizes = df.groupBy(*keys).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias(chunks))
+    dealt = df.join(F.broadcast(sizes) if bounded_groups else sizes, keys).withColumn(chunk, F.pmod(key_of(*order), F.col(chunks))).drop(chunks)
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias(n)).withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    within = Window.partitionBy(*keys, chunk).orderBy(*order)
+    return dealt.join(starts, [*keys, chunk]).withColumn(name, F.col(start) + F.row_number().over(within) - 1).drop(chunk, start)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -13,8 +13,9 @@ Equal sets form one class, so copies are never paired. Classes are searched with
    pairs inside a component need no look.
 4. Trees. Of the trees that still hold several components, those with equal members count once. Points folded to GROUPS
    coordinates are packed into an R-tree, whose nodes hold maxima. A tree of one node is scanned; a large tree is cut
-   into blocks that meet as a grid, so no task holds more than two blocks. The pairs that survive stay in the task: it
-   tells of each class with a partner only which group of survivors it belongs to, at most a row a class and tree.
+   into blocks that meet as a grid, so no task holds more than two blocks. Pairs of larger sets are bounded once more by
+   their whole points. The pairs that survive stay in the task: it tells of each class with a partner only which group
+   of survivors it belongs to, at most a row a class and tree.
 5. Verification. Classes that survivors join, over all trees, form a cluster; every link lies inside one. A cluster's
    sets come together once (a large one's in blocks that meet as a grid), their overlaps are counted from an inverted
    index, and the links that join different components are told, fewer than there are classes in the task. A cluster
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldrec.llm.common import broadcast_if_small, components, materialize
+from goldrec.llm.common import WORD, broadcast_if_small, components, materialize, release
 from goldrec.llm.words import Sequences, Words, mix, runs, signed, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -246,7 +247,9 @@ def _star_links(stars: DataFrame, known: DataFrame, hashed: DataFrame) -> DataFr
     pivots = members.select("cluster", F.col("cluster").alias("node"), F.lit(-1).cast("long").alias("chunk"), F.col("chunk").alias("j")).distinct()
     cells = members.withColumn("j", F.col("chunk")).unionByName(pivots).select("cluster", F.lit(-1).cast("long").alias("i"), "j", "node", "chunk", F.col("node").alias("component"))
     texts = _texts(members.select("node").union(members.select("cluster")).distinct(), known, hashed)
-    return materialize(_verified(materialize(cells), texts).select("a", "b"))
+    found = materialize(_verified(materialize(cells), texts).select("a", "b"))
+    release(texts)
+    return found
 
 
 def _grid(rows: DataFrame) -> DataFrame:
@@ -257,16 +260,6 @@ def _grid(rows: DataFrame) -> DataFrame:
     return met.withColumn("i", F.least("chunk", "_other")).withColumn("j", F.greatest("chunk", "_other")).drop("_other", "_blocks")
 
 
-def _folded(known: DataFrame) -> DataFrame:
-    """(node, point): the points in GROUPS groups."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold(np.frombuffer(p.as_py(), np.uint8), GROUPS).tobytes() for p in batch.column(1)], pa.binary())], names=["node", "point"])
-
-    return known.select("node", "point").mapInArrow(over, "node long, point binary")
-
-
 class RTree:
     """Points packed by size and then by their fullest coordinate into nodes of FANOUT; nodes into one level above."""
 
@@ -314,7 +307,19 @@ def _survivors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
     node, n, comp, chunk, i, j = (frame[c].to_numpy() for c in ("node", "n", "component", "chunk", "i", "j"))
-    counts = np.frombuffer(b"".join(frame["point"]), np.uint8).reshape(-1, GROUPS)
+    whole = [np.frombuffer(p, np.uint8) for p in frame["point"]]
+    counts = np.stack([fold(p, GROUPS) for p in whole])
+    wide = np.array([len(p) for p in whole])
+
+    def reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Does the bound of the whole points reach the threshold, given that that of the folded ones does?"""
+        groups = np.minimum(wide[x], wide[y])
+        good = groups == GROUPS
+        for k in np.flatnonzero(~good):
+            least = np.minimum(fold(whole[x[k]], groups[k]), fold(whole[y[k]], groups[k]))
+            good[k] = may_link(least[None], n[x[k], None].astype(np.int64) + n[y[k]])[0]
+        return good
+
     sizes = np.diff(cuts)
     group = np.repeat(np.arange(len(sizes)), sizes)
     root = np.arange(len(frame))
@@ -328,6 +333,8 @@ def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
         for low in range(0, len(x), 1 << 14):
             u, v = x[low : low + (1 << 14)], y[low : low + (1 << 14)]
             good = may_link(np.minimum(counts[u], counts[v]), n[u].astype(np.int64) + n[v])
+            u, v = u[good], v[good]
+            good = reach(u, v)
             _join(root, u[good], v[good])
     for k in np.flatnonzero(sizes > FANOUT):
         low, high = cuts[k], cuts[k + 1]
@@ -339,6 +346,7 @@ def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
                 continue
             hit = low + tree.search(counts[q], int(n[q]))
             hit = hit[(comp[hit] != comp[q]) & (chunk[hit] == j[q])]
+            hit = hit[reach(np.full(len(hit), q), hit)]
             if len(hit):
                 _join(root, np.full(len(hit), q), hit)
     while (root != root[root]).any():
@@ -376,6 +384,7 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     routed = materialize(prefixes(slim, common, "text"))
     several = materialize(routed.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("token"))
     met = materialize(routed.join(several, "token").distinct())
+    release(routed)
     classes = materialize(documents.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("text_hash", "doc_id").alias("text_hash")))
     asked = classes.join(met.select("node").distinct(), "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
     known = materialize(scanned.where("kind = 0").drop("kind").join(asked, ["node", "doc_id", "text_hash"]).dropDuplicates(["node"]))
@@ -397,14 +406,16 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"_s{k}") for k in (0, 1)]
     trees = placings.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows"), *members).where("_lo <> _hi")
     trees = materialize(trees.groupBy("_rows", "_s0", "_s1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("_rows") / BLOCK).alias("_blocks")))
-    cells = _grid(placings.join(trees, "token")).join(materialize(_folded(known)), "node")
+    cells = _grid(placings.join(trees, "token")).join(known.select("node", "point"), "node")
     sorted_trees = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     survivors = materialize(sorted_trees.mapInPandas(_survivors, "node long, root long").distinct())
 
     clusters = components(survivors, "node", "root").withColumnRenamed("component", "cluster").join(known.select("node", "n"), "node")
     clusters = materialize(clusters.withColumn("component", F.lit(None).cast("long")) if links else placed(clusters))
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_SHINGLES).alias("_blocks"))
-    found = materialize(_verified(materialize(_grid(clusters.join(blocks, "cluster"))), _texts(clusters.select("node"), known, hashed)))
+    texts = _texts(clusters.select("node"), known, hashed)
+    found = materialize(_verified(materialize(_grid(clusters.join(blocks, "cluster"))), texts))
+    release(texts)
     more = found.where("b IS NOT NULL").select("a", "b")
 
     ids = classes.select("node", "first_id")
@@ -421,11 +432,11 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each component: that of its smallest id. Rows without an id or without words all stay.
 
-    Repeated rows of the kept id with the same text are copies, of which one stays.
+    Repeated rows of the kept id with the same text are copies, of which one stays. All columns come out as they were,
+    whatever their names.
     """
     found = near_components(docs, text, id_col)
-    kept = found.where("component_id = doc_id AND n_shingles > 0").select(F.col(id_col), "text_hash").distinct()
-    marked = docs.withColumn("_text_hash", F.xxhash64(text)).withColumn("_words", F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) > 0)
-    loose = marked.where(f"{id_col} IS NULL OR NOT _words")
-    one = marked.where(f"{id_col} IS NOT NULL AND _words").join(kept.withColumnRenamed("text_hash", "_text_hash"), [id_col, "_text_hash"], "left_semi").dropDuplicates([id_col, "_text_hash"])
-    return one.unionByName(loose).select(docs.columns)
+    kept = found.where((F.col("component_id") == F.col(id_col)) & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) > 0).alias("words"))
+    one = whole.where("id IS NOT NULL AND words").join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return one.select("row").union(whole.where("id IS NULL OR NOT words").select("row")).select("row.*")

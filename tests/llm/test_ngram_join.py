@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from goldrec.llm import ngram_join
 
@@ -62,6 +63,7 @@ def family(rng, base, size, edits, words):
 def test_families(spark, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "COMMON_LEAST", 8)
+    monkeypatch.setattr(ngram_join, "CLUSTER_SHINGLES", 1 << 19 if block > 8 else 2000)
     rng = np.random.default_rng(block)
     words = [f"w{i}" for i in range(3000)]
     texts = [None, "", " ", "a", "A", "a b c", "a b c", "x y z"]
@@ -69,9 +71,31 @@ def test_families(spark, block, monkeypatch):
         texts += family(rng, [words[i] for i in rng.integers(0, 3000, rng.integers(30, 120))], size, 6, words)
     shared = " ".join(words[:40])
     texts += [shared + " " + " ".join(words[i] for i in rng.integers(0, 3000, 40)) for _ in range(50)]
+    base = rng.integers(0, 3000, 100)  # near misses of each other: a hundred words shared, as many as 20 own
+    texts += [" ".join([words[i] for i in base] + [f"own{k}_{i}" for i in range(rng.integers(16, 21))]) for k in range(300)]
     order = rng.permutation(len(texts))
-    got = check(spark, [(int(i), texts[k]) for i, k in enumerate(order)])
+    rows = [(int(i), texts[k]) for i, k in enumerate(order)]
+    got = check(spark, rows)
     assert len({c for _, _, c in got}) < len(got)
+    check_links(spark, rows)
+
+
+def check_links(spark, rows):
+    """class_id and n_links of every document by trying all pairs."""
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for doc, text in sorted(rows):
+        first.setdefault(shingles(text), doc)
+    sets = [s for s in first if s]
+    where, links = collections.defaultdict(list), collections.Counter()
+    for i, s in enumerate(sets):
+        for j, both in collections.Counter(j for x in s for j in where[x]).items():
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                links.update((s, sets[j]))
+        for x in s:
+            where[x].append(i)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_components(frame, links=True).collect()}
+    assert got == {doc: (first[shingles(text)] if shingles(text) else doc, links[shingles(text)]) for doc, text in rows}
 
 
 def test_corpus(spark):
@@ -88,6 +112,11 @@ def test_odd_rows(spark, odd, nothing):
     assert kept.columns == odd.columns
     ids = collections.Counter(r["doc_id"] for r in kept.collect())
     assert ids[None] == 2 and ids[3] == 1 and ids[4] == 2 and ids[0] == 1 and sum(i is not None and i >= 100 for i in ids) == 1
+    for name in ("_words", "_text_hash", "words", "hash", "row", "id", "component_id", "n_shingles", "text_hash"):
+        odd = odd.withColumn(name, F.lit(f"own {name}"))
+    clash = ngram_join.keep_first(odd)
+    assert clash.columns == odd.columns and collections.Counter(r["doc_id"] for r in clash.collect()) == ids
+    assert all(r["row"] == "own row" and r["_words"] == "own _words" for r in clash.collect())
     assert ngram_join.near_components(nothing).collect() == [] and ngram_join.keep_first(nothing).collect() == []
 
 
