@@ -98,25 +98,33 @@ def decode(raw: bytes | None) -> np.ndarray | None:
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, fractional borders included, from one integral image: exact at any ratio."""
-    grey = image.astype(np.float64)
-    h, w = grey.shape[:2]
-    sums = np.zeros((h + 1, w + 1, *grey.shape[2:]))
-    sums[1:, 1:] = grey.cumsum(0).cumsum(1)
-
-    def at(axis: int, edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(int), table.shape[axis] - 2)
-        part = (edges - low).reshape([-1 if i == axis else 1 for i in range(table.ndim)])
+    """Means over equal areas, fractional borders included, from one integral image: exact at any ratio.
+
+    Only the rows of the integral image at the borders of output rows are made, strip by strip, so that a tall image
+    needs no table of its own size.
+    """
+    h, w = image.shape[:2]
+    across, down = np.linspace(0, w, width + 1), np.linspace(0, h, height + 1)
+    low = np.minimum(down.astype(int), h - 1)
+    needed = np.unique(np.concatenate([[0], low, low + 1]))
+    sums = np.zeros((len(needed), w + 1, *image.shape[2:]))
+    for k in range(1, len(needed)):
+        sums[k, 1:] = sums[k - 1, 1:] + image[needed[k - 1] : needed[k]].sum(0, dtype=np.float64)
+    sums = sums.cumsum(1)
+
+    def at(axis: int, low: np.ndarray, part: np.ndarray, table: np.ndarray) -> np.ndarray:
+        part = part.reshape([-1 if i == axis else 1 for i in range(table.ndim)])
         return np.take(table, low, axis) * (1 - part) + np.take(table, low + 1, axis) * part
 
-    corners = at(1, np.linspace(0, w, width + 1), at(0, np.linspace(0, h, height + 1), sums))
+    left = np.minimum(across.astype(int), w - 1)
+    corners = at(1, left, across - left, at(0, np.searchsorted(needed, low), down - low, sums))
     return np.diff(np.diff(corners, axis=0), axis=1) * (height * width / (h * w))
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits as 16 hexadecimal digits: is a cell of the 8 x 9 area means brighter than its left neighbour?"""
-    grey = image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
-    cells = np.round(resize(grey, GRID, GRID + 1), 6)
+    cells = resize(image, GRID, GRID + 1)
+    cells = np.round(cells if image.ndim == 2 else cells @ np.array([0.299, 0.587, 0.114]), 6)
     return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
 
 

@@ -63,8 +63,10 @@ def scan(text: str, keywords) -> list[tuple[str, int, int]]:
     out = [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     done = dict.fromkeys(KINDS, 0)
     hits = sorted((end + 1 - size, kind) for end, (size, kind) in keywords.iter(raw.lower().decode("latin-1")))
+    byte = start = 0
     for at, kind in hits:
-        start = at if ascii_only else len(raw[:at].decode("utf-8", "surrogatepass"))
+        start += at - byte if ascii_only else len(raw[byte:at].decode("utf-8", "surrogatepass"))
+        byte = at
         if start < done[kind]:
             continue
         if kind == "assign":

@@ -9,6 +9,7 @@ With load_factor 1 (law `rows`) capacities are the row count divided by the shar
 at most one apart; a larger factor moves fewer rows when shards are added.
 
 Null keys hash as a value of their own; repeated rows get slots of their own; an empty table gives an empty result.
+Columns named shard or slot come out as kept_ and their name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldrec.llm.common import key_of, materialize, rank_in_groups
+from goldrec.llm.common import aside, fresh, key_of, materialize, rank_in_groups
 
 VNODES = 64
 
@@ -77,14 +78,16 @@ def shard(rows: DataFrame, shards: int, key: str = "doc_id", tie: tuple[str, ...
     """
     points, owners = ring(shards, vnodes)
     spark = rows.sparkSession
-    clean = rows.drop("shard", "slot", "_arc", "_rank")
+    clean = aside(rows, "shard", "slot")
+    of_arc, rank, first, n, base = fresh(clean, "arc", "rank", "from", "n", "base")
 
     @F.pandas_udf("int")
     def arc(hashes: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(points, hashes.to_numpy()) % len(points), dtype="int32")
 
-    placed = materialize(clean.withColumn("_arc", arc(key_of(key))))
-    counts = {r["_arc"]: r["n"] for r in placed.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards x vnodes rows
-    planned = F.broadcast(spark.createDataFrame(plan(counts, owners, shards, load_factor), "_arc int, _from long, _n long, shard int, _slot long"))
-    ranked = rank_in_groups(placed, ["_arc"], [key, *tie], bounded_groups=True, name="_rank")
-    return ranked.join(planned, "_arc").where("_rank >= _from AND _rank < _from + _n").withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).drop("_arc", "_rank", "_from", "_n", "_slot")
+    placed = materialize(clean.withColumn(of_arc, arc(key_of(key))))
+    counts = {r[0]: r[1] for r in placed.groupBy(of_arc).agg(F.count(F.lit(1))).collect()}  # at most shards x vnodes rows
+    planned = F.broadcast(spark.createDataFrame(plan(counts, owners, shards, load_factor), f"{of_arc} int, {first} long, {n} long, shard int, {base} long"))
+    ranked = rank_in_groups(placed, [of_arc], [key, *tie], bounded_groups=True, name=rank)
+    here = F.col(rank) - F.col(first)
+    return ranked.join(planned, of_arc).where((here >= 0) & (here < F.col(n))).withColumn("slot", F.col(base) + here).select(*clean.columns, "shard", "slot")

@@ -1,6 +1,8 @@
 import collections
 import hashlib
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,7 +37,6 @@ def brute_targets(sizes):
 @pytest.mark.parametrize("name", ["odd", "documents"])
 def test_mix(spark, odd, name):
     docs = odd if name == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
-    docs = docs.drop("size")
     got = mixing.mix(docs, keep=("source", "text")).collect()
     assert len(got) == docs.count()
     sizes = collections.Counter()
@@ -86,10 +87,9 @@ def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary())
-    plain.encode_special_tokens = True
     texts = ["", " ", "a", " a b", "a  b", "a\n b", "a \nb", "a  b c", "don't stop 12 x's", "a   b c", "Ünï ☃ 𝄞 <|endoftext|> x", "x\n\n y z", "tail ", "a\x1c b", "a b c d"]
     texts += [" ".join(texts)] * 2
-    encode = packing.encoder(vocabulary()).of
+    encode = packing.encoder(vocabulary()).ids
     for text in texts:
         assert encode(text) == plain.encode(text, add_special_tokens=False).ids
 
@@ -113,7 +113,6 @@ def check_packed(rows, docs, capacity=2048):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary())
-    plain.encode_special_tokens = True
     want = collections.Counter()
     for r in docs:
         ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
@@ -179,6 +178,42 @@ def test_shard(odd, shards):
     assert max(counts) - min(counts) <= 1
 
 
+def test_shard_equals_a_walk_round_the_ring(spark):
+    """Keys as single steps: first each arc's own shard takes what it has room for, then the rest goes on clockwise."""
+    rows = spark.range(3000).select((F.col("id") % 700).alias("doc_id"), F.col("id").alias("n"))
+    points, owners = sharding.ring(7)
+    hashes = {r["doc_id"]: r["h"] for r in rows.select("doc_id", sharding.key_of("doc_id").alias("h")).distinct().collect()}
+    counts = collections.Counter(int(np.searchsorted(points, hashes[r["doc_id"]]) % len(points)) for r in rows.collect())
+    room = {s: 3000 // 7 + (s < 3000 % 7) for s in range(7)}
+    want, waiting = collections.Counter(), []
+    for arc in sorted(counts):
+        for _ in range(counts[arc]):
+            if room[owners[arc]]:
+                room[owners[arc]] -= 1
+                want[arc, int(owners[arc])] += 1
+            else:
+                waiting.append(arc)
+    for step in range(1, len(points)):
+        left = []
+        for arc in waiting:
+            shard = int(owners[(arc + step) % len(points)])
+            if room[shard]:
+                room[shard] -= 1
+                want[arc, shard] += 1
+            else:
+                left.append(arc)
+        waiting = left
+    got = collections.Counter((int(np.searchsorted(points, hashes[r["doc_id"]]) % len(points)), r["shard"]) for r in sharding.shard(rows, 7, tie=("n",)).collect())
+    assert got == want
+
+
+def test_shard_keeps_clashing_columns(odd):
+    rows = odd.select("doc_id", *(F.lit(f"own {c}").alias(c) for c in ("shard", "slot", "arc", "rank", "from", "n", "base", "chunk", "_arc")))
+    got = sharding.shard(rows, 5)
+    assert set(got.columns) == {*rows.columns, "kept_shard", "kept_slot"} and got.count() == rows.count()
+    assert all(r["kept_shard"] == "own shard" and r["rank"] == "own rank" and r["_arc"] == "own _arc" and isinstance(r["slot"], int) for r in got.collect())
+
+
 def test_shard_moves_little(spark):
     rows = spark.range(4000).withColumnRenamed("id", "doc_id")
     a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard(rows, n, load_factor=1.25).collect()} for n in (10, 11))
@@ -242,6 +277,25 @@ def test_secrets(spark, odd):
     assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got) > 5
 
 
+def test_secrets_in_long_text_beyond_ascii():
+    text = "☃ token = abcdef1 " * 20_000
+    began = time.perf_counter()
+    found = secrets.scan(text, secrets.automaton())
+    assert time.perf_counter() - began < 5 and len(found) == 20_000 and text[found[-1][1] : found[-1][2]] == "token = abcdef1"
+
+
+def test_hash_of_a_long_text_needs_little_memory():
+    image = np.random.default_rng(4).integers(0, 256, (200_000, 64), dtype=np.uint8)
+    tracemalloc.start()
+    media.difference_hash(image)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < image.size / 4
+    small = image[:1001]
+    cells = np.add.reduceat(np.add.reduceat(np.repeat(np.repeat(small.astype(float), 8, 0), 9, 1), np.arange(8) * 1001, 0), np.arange(9) * 64, 1)
+    assert np.allclose(media.resize(small, 8, 9), cells / (1001 * 64))
+
+
 def brute_topk(data, k=10):
     v = {i: [int(np.floor(1024 * float(x))) for x in e] for i, e in data}
     out = []
@@ -254,7 +308,8 @@ def brute_topk(data, k=10):
 
 @pytest.mark.parametrize("spread", [0.0, 1.0])
 def test_topk(spark, spread, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
+    for name, value in (("BLOCK", 64), ("BUCKET_LEAST", 32), ("BATCH", 2)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(5)
     data = [(i, [float(np.float32(x)) for x in rng.normal(size=16) * np.exp(spread * rng.normal())]) for i in range(600)]
     data += [(700 + i, data[3][1]) for i in range(30)]  # ties
@@ -264,6 +319,35 @@ def test_topk(spark, spread, monkeypatch):
     assert got == brute_topk(data)
 
 
+def test_topk_repeated_ids_are_rows_of_their_own(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [3.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(frame, F.expr("vec_id % 100 = 0")).collect())
+    s = 1024 * 1024
+    assert got == [(0, 1, 1, 3 * s), (0, 1, 1, 6 * s), (0, 2, 0, 2 * s), (0, 2, 0, 2 * s)]
+
+
+def test_topk_skips_most_products(spark, monkeypatch):
+    """Buckets that are too short aren't met at all, and in those that are, coordinates prune."""
+    for name, value in (("BLOCK", 64), ("BUCKET_LEAST", 32), ("BATCH", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    data = [(i, [float(x) for x in rng.normal(size=8) * np.exp(1.5 * rng.normal())]) for i in range(2000)]
+    met = []
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    real = topk.broadcast_if_small
+    monkeypatch.setattr(topk, "broadcast_if_small", lambda df, *a: (met.append(df.count()) if "batch" in df.columns else None, real(df, *a))[1])
+    got = sorted(tuple(r) for r in topk.top_k(frame, F.expr("vec_id % 100 = 0")).collect())
+    assert got == brute_topk(data)
+    assert len(met) == 2 and met[1] < 0.5 * 63 * 3, met  # cells of 63 buckets or so and three batches
+    # In one block: near vectors give floors of a high cosine, by which coordinates rule out the others.
+    q = np.round(1024 * rng.normal(size=(4, 32)) * np.array([8.0] * 4 + [0.1] * 28))
+    c = np.round(1024 * rng.normal(size=(1000, 32)))
+    c[:40] = q[np.arange(40) % 4]
+    floor = np.sort(q @ c.T, axis=1)[:, -10]
+    found, made = topk.search_block(q, np.arange(4), floor, c, np.arange(1000), np.arange(1000) + 10, 10)
+    assert len(found) == 40 and made < 0.2 * q.shape[0] * 1000
+
+
 def test_topk_few_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (100, [0.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.top_k(frame, F.expr("vec_id % 100 = 0")).collect())
