@@ -6,11 +6,12 @@ can be trusted, and the posterior labels train a hashed linear scorer, which dec
 2. EM over the pattern counts estimates the share of junk and how often each labeller is right.
 3. Features are shares of hashed word shapes: runs of capitals, other letters and digits as one mark each, other bytes
    as they are, and whether a word repeats the one before. A logistic model over them is fitted to the posteriors of a
-   sample of about SAMPLE documents, spread evenly over the corpus by a hash.
+   sample of different texts, SAMPLE at most: texts are dealt into SAMPLE parts by a hash, and the least hash of each
+   part is taken. The sample is even at any size of the corpus, and repeated texts count once in it.
 4. A second pass scores every document; it is kept if clean is at least as likely as junk.
 
 A text without words (empty, null) gives no evidence and is kept, with a null score. Repeated rows get equal scores.
-An empty table trains nothing and returns no rows.
+An empty table trains nothing and returns no rows. A column named like the score comes out as kept_ and its name.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldrec.llm.common import key_of, materialize
+from goldrec.llm.common import aside, fresh, materialize
 from goldrec.llm.words import Words, mix, powers, runs, slices
 
-#: Documents that the scorer is fitted to, at most about; size of its hashed feature space.
+#: Texts that the scorer is fitted to at most; size of its hashed feature space.
 SAMPLE, FEATURES = 20_000, 4096
 #: Labeller: its vote (1 junk, 0 clean) where every measure named lies from the first bound to below the second; else it
 #: abstains. Each kind of junk has labellers of its own, and those that vote clean overlap.
@@ -139,17 +140,19 @@ def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, junk: np.ndarra
     return w
 
 
-def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> np.ndarray | None:
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
     """The scorer's weights; None for an empty table."""
-    n = docs.count()
-    if not n:
+    texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    least = texts.groupBy(F.pmod("key", F.lit(sample)).alias("part")).agg(F.min("key").alias("key"))
+    keys = np.sort(np.array([r["key"] for r in least.collect()], np.int64))  # at most `sample`
+    if not len(keys):
         return None
-    rate = min(1.0, sample / n)
-    chosen = (F.pmod(key_of(id_col, text), F.lit(1 << 20)) < rate * (1 << 20)).alias("chosen")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()  # of the sample
         for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False)
+            key = batch.column(1).to_numpy()
+            wanted = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
             for first, flat, at in runs(batch.column(0)):
                 seen = Measures(flat, at)
                 take = wanted[first : first + len(seen.n)] & (seen.n > 0)
@@ -159,13 +162,16 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample: i
                     doc, feature, value = seen.features()
                     edges = np.searchsorted(doc, np.arange(len(seen.n) + 1))
                     for d in np.flatnonzero(take):
+                        if key[first + d] in told:
+                            continue
+                        told.add(int(key[first + d]))
                         features[d], shares[d] = feature[edges[d] : edges[d + 1]], value[edges[d] : edges[d + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(seen.pattern()), pa.array(features, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], names=["pattern", "features", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[first : first + len(seen.n)]), pa.array(seen.pattern()), pa.array(features, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], names=["key", "pattern", "features", "shares"])
 
-    seen = materialize(docs.select(text, chosen).mapInArrow(measure, "pattern long, features array<long>, shares array<double>"))
+    seen = materialize(texts.mapInArrow(measure, "key long, pattern long, features array<long>, shares array<double>"))
     counts = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2**8 rows
     junk, _, _ = estimate(counts)
-    rows = seen.where("features IS NOT NULL").limit(2 * sample).collect()  # about `sample`, by the hash
+    rows = seen.where("features IS NOT NULL").dropDuplicates(["key"]).orderBy("key").collect()  # at most `sample`
     if not rows:
         return np.zeros(FEATURES + 1)
     sizes = [len(r["features"]) for r in rows]
@@ -187,16 +193,19 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
             value = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, mask=np.isnan(value))], names=[*batch.schema.names, out])
 
-    kept = docs.drop(out)
+    kept = aside(docs, out)
     at_text = kept.columns.index(text)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields)
     return kept.mapInArrow(over, f"{schema}`{out}` double")
 
 
-def keep_clean(docs: DataFrame, text: str = "text", id_col: str = "doc_id", columns: tuple[str, ...] | None = None, out: str = "quality") -> DataFrame:
-    """The documents that the classifier keeps, with their score: all columns, or those named (text is read anyway)."""
-    slim = docs.select(*dict.fromkeys((*(columns or docs.columns), text)))
-    weights = train(docs, text, id_col)
-    if weights is None:
-        return slim.drop(out).withColumn(out, F.lit(None).cast("double")).select(*(c for c in columns or docs.columns if c != out), out)
-    return score(slim, weights, text, out).where(f"`{out}` IS NULL OR `{out}` >= 0.5").select(*(c for c in columns or docs.columns if c != out), out)
+def keep_clean(docs: DataFrame, text: str = "text", columns: tuple[str, ...] | None = None, out: str | None = "quality") -> DataFrame:
+    """The documents that the classifier keeps: all columns, or those named (text is read anyway), and their score as
+    `out`, if that is not None."""
+    wanted = list(columns or docs.columns)
+    slim = docs.select(*dict.fromkeys((*wanted, text)))
+    slim, named = (slim, fresh(slim, "score")[0]) if out is None else (aside(slim, out), out)
+    wanted = slim.columns[: len(wanted)]
+    weights = train(docs, text)
+    scored = slim.withColumn(named, F.lit(None).cast("double")) if weights is None else score(slim, weights, text, named).where(f"`{named}` IS NULL OR `{named}` >= 0.5")
+    return scored.select(*wanted, *([named] if out else []))

@@ -1,9 +1,70 @@
 import collections
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from goldrec.llm import quality
+from goldrec.llm.words import runs
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def measures(text):
+    """The labellers' measures, word by word."""
+    raw = text.encode()
+    words = WORD.findall(raw)
+    capital, small = lambda b: 65 <= b < 91, lambda b: 97 <= b < 123 or b >= 128
+    mark = lambda b: not (capital(b) or small(b) or 48 <= b < 58)
+    letters, n = sum(capital(b) or small(b) for b in raw), max(1, len(words))
+    return {
+        "capitals": sum(map(capital, raw)) / max(1, letters),
+        "doubled_marks": sum(len(w) > 1 and mark(w[-1]) and w[-1] == w[-2] for w in words) / n,
+        "bare_marks": sum(all(map(mark, w)) for w in words) / n,
+        "repeats": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "few_letters": 1 - letters / max(1, sum(map(len, words))),
+        "no_stops": 1 - sum(w[-1] in b".," for w in words) / n,
+    }, len(words)
+
+
+def test_measures_and_decisions_against_brute_force(spark, odd):
+    docs = odd.select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    texts = [r["text"] or "" for r in docs.collect()]
+    patterns = collections.Counter()
+    for text in texts:
+        (_, flat, at), = runs(pa.array([text]))
+        seen, (want, n) = quality.Measures(flat, at), measures(text)
+        assert {k: pytest.approx(v[0]) for k, v in seen.values.items()} == want and seen.n[0] == n
+        votes = [n >= quality.FEW and all(low <= want[m] < high for m, (low, high) in needs.items()) for _, needs in quality.LABELLERS.values()]
+        assert seen.pattern()[0] == sum(v << k for k, v in enumerate(votes))
+        patterns[int(seen.pattern()[0])] += 1
+    weights = quality.train(docs)
+    kept = collections.Counter()
+    for r in docs.collect():  # one at a time, unlike the operator
+        (_, flat, at), = runs(pa.array([r["text"] or ""]))
+        seen = quality.Measures(flat, at)
+        z = sum(weights[f] for f in seen.feature) / max(1, len(seen.feature)) + weights[-1]
+        if not seen.n[0] or 1 / (1 + np.exp(z)) >= 0.5:
+            kept[r["doc_id"]] += 1
+    assert kept == collections.Counter(r["doc_id"] for r in quality.keep_clean(docs, columns=("doc_id",)).collect())
+
+
+def test_repeated_rows_never_empty_the_sample(spark):
+    junk = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("BUY NOW!! CHEAP PILLS!! CLICK HERE!! WIN BIG!! ACT FAST!!").alias("text"))
+    assert quality.train(junk).any() and quality.keep_clean(junk).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    both = docs.union(junk.selectExpr("doc_id + 1000000", "text"))
+    kept = {r["doc_id"] for r in quality.keep_clean(both, columns=("doc_id",)).collect()}
+    alone = {r["doc_id"] for r in quality.keep_clean(docs, columns=("doc_id",)).collect()}
+    assert not any(k >= 1000000 for k in kept) and len(kept ^ alone) <= 0.02 * len(alone)
+
+
+def test_sample_is_bounded_and_repeats(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    a, b = quality.train(docs, sample=50), quality.train(docs.repartition(7).orderBy("text"), sample=50)
+    assert a.any() and np.allclose(a, b) and not np.allclose(a, quality.train(docs))
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
@@ -38,4 +99,9 @@ def test_odd_rows(spark, odd, nothing):
     rows = kept.collect()
     assert sum(r["quality"] is None for r in rows) == 4
     assert {0, 1, 2}.issubset({r["doc_id"] for r in rows})
+    clash = quality.keep_clean(odd.withColumn("quality", F.lit("mine")))
+    assert clash.columns == [*odd.columns, "kept_quality", "quality"] and all(r["kept_quality"] == "mine" for r in clash.collect())
+    whole = odd.withColumn("quality", F.lit("mine")).withColumn("score", F.lit("too"))
+    bare = quality.keep_clean(whole, out=None)
+    assert bare.columns == whole.columns and all((r["quality"], r["score"]) == ("mine", "too") for r in bare.collect())
     assert quality.keep_clean(nothing).collect() == [] and quality.keep_clean(nothing).columns == [*nothing.columns, "quality"]
