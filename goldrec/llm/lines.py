@@ -5,16 +5,15 @@ from the start. In a leaf, a place where no token holds at least half of the lin
 template is its tokens with all variable fields masked, provided that at least half of them stay; else its tokens with
 only those with digits masked. Every rule is counted over all documents.
 
-A template recurs if at least `min_docs` different texts hold it (copies of a document count once). With `by_group`,
-near copies count once too: holders are counted by the components of the n-gram join, over all texts that hold a
-template of `min_docs` texts, and recurring lines go in every document, however many of its words they make up. Without
-it, a document that would lose more than `most` of its words keeps all its lines. What stays of a text is its other
-lines, as they were.
+A template recurs if at least `min_docs` groups of near copies hold it: holders are counted by the components of the
+n-gram join over all texts that hold a template of `min_docs` different texts. Recurring lines go in every document,
+however many of its words they make up. What stays of a text is its other lines, as they were.
 
 Lines travel as 64-bit hashes of their tokens, leaves and masked forms. A leaf can have variable fields only if it holds
 several kinds of lines and enough documents; of those leaves, one line of each kind is read again for its tokens.
 
-A null text stays null; blank lines stay; repeated rows are treated alike. Leaves are only counted and joined, so no
+A null text stays null; blank lines stay; repeated rows are treated alike. Columns named like the counts that are added
+come out as kept_ and their name. A text and the arrays over it must fit a task. Leaves are only counted and joined, so no
 task holds a leaf, however many lines it has.
 """
 
@@ -28,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from goldrec.llm.common import broadcast_if_small, key_of, materialize
+from goldrec.llm.common import aside, broadcast_if_small, fresh, key_of, materialize
 from goldrec.llm.ngram_join import near_components
 from goldrec.llm.words import Sequences, Words, mix, runs, signed
 
-MIN_DOCS, DEPTH, HALF, MOST = 10, 3, 0.5, 0.5
+MIN_DOCS, DEPTH, HALF = 10, 3, 0.5
 #: The hash of a masked token.
 MASK = Words(np.frombuffer(b"<*>", np.uint8), np.array([0, 3])).hashes()[0]
 
@@ -139,25 +138,22 @@ def _of_groups(docs: DataFrame, recurring: DataFrame, lines: DataFrame, min_docs
     return materialize(recurring.join(counted.where(F.col("_groups") >= min_docs), "template_key", "left_semi"))
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, half: float = HALF, most: float = MOST, text: str = "text", id_col: str = "doc_id", length: str | None = None, by_group: bool = False) -> DataFrame:
-    """docs with recurring lines taken out of the text, and n_lines and n_dropped added.
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, half: float = HALF, text: str = "text", id_col: str = "doc_id", length: str | None = None, counts: bool = True) -> DataFrame:
+    """docs with recurring lines taken out of the text; counts: n_lines and n_dropped are added.
 
     length: a column of docs that holds the text's number of characters, to be kept up to date.
-    by_group: count near copies as one holder, and drop recurring lines in every document.
     """
     row_key, text_key = key_of(id_col, text), F.xxhash64(text)
     slim = docs.select(row_key.alias("row_key"), text_key.alias("text_key"), F.col(text).alias("text"))
     recurring, lines = templates(slim, min_docs, depth, half)
-    if by_group:
-        recurring = _of_groups(slim, recurring, lines, min_docs)
+    recurring = _of_groups(slim, recurring, lines, min_docs)
     gone = lines.join(broadcast_if_small(recurring.select("leaf", "masked")), ["leaf", "masked"])
-    # Repeated rows have equal lines: they are one here.
-    per_row = gone.groupBy("row_key", "words", "line_no").agg(F.max("n_tokens").alias("n_tokens")).groupBy("row_key", "words").agg(F.collect_list("line_no").alias("_gone"), F.sum("n_tokens").alias("_lost"))
-    spared = F.lit(False) if by_group else F.col("_lost") > most * F.col("words")
-    per_row = materialize(per_row.where(~spared).select(F.col("row_key").alias("_row_key"), "_gone"))
 
-    kept = docs.drop("n_lines", "n_dropped")
+    kept = aside(docs, "n_lines", "n_dropped") if counts else docs
     columns = kept.columns
+    of_row, dropped = fresh(kept, "row_key", "gone")
+    # Repeated rows have equal lines: they are one here.
+    per_row = materialize(gone.groupBy(F.col("row_key").alias(of_row)).agg(F.collect_set("line_no").alias(dropped)))
     at, size_at = columns.index(text), columns.index(length) if length else -1
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +174,9 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
             if length:
                 old = cols[size_at]
                 cols[size_at] = pa.array([x if x is not None else y.as_py() for x, y in zip(lengths, old)], old.type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32())], names=[*columns, "n_lines", "n_dropped"])
+            more = [pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32())] if counts else []
+            yield pa.RecordBatch.from_arrays([*cols, *more], names=[*columns, "n_lines", "n_dropped"][: len(cols) + len(more)])
 
-    out = kept.withColumn("_row_key", row_key).join(per_row.hint("merge"), "_row_key", "left").select(*columns, "_gone")
-    return out.mapInArrow(over, StructType([*kept.schema.fields, StructField("n_lines", IntegerType()), StructField("n_dropped", IntegerType())]))
+    out = kept.withColumn(of_row, row_key).join(per_row.hint("merge"), of_row, "left").select(*columns, dropped)
+    more = [StructField("n_lines", IntegerType()), StructField("n_dropped", IntegerType())] if counts else []
+    return out.mapInArrow(over, StructType([*kept.schema.fields, *more]))

@@ -10,7 +10,31 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.01"
 
 
-def brute(rows, min_docs, depth=3, half=0.5, most=0.5):
+def shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups(texts):
+    """text -> its group of near copies among the texts."""
+    texts = sorted(texts)
+    sets, up, by_shingle = [shingles(t) for t in texts], list(range(len(texts))), collections.defaultdict(list)
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for j, s in enumerate(sets):
+        for i, both in collections.Counter(i for x in s for i in by_shingle[x]).items():
+            if 100 * both >= 80 * (len(sets[i]) + len(s) - both):
+                up[top(j)] = top(i)
+        for x in s:
+            by_shingle[x].append(j)
+    return {t: top(i) for i, t in enumerate(texts)}
+
+
+def brute(rows, min_docs, depth=3, half=0.5):
     texts, kinds = {t for _, t in rows if t is not None}, collections.defaultdict(set)
     mask = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
     for t in texts:
@@ -34,19 +58,18 @@ def brute(rows, min_docs, depth=3, half=0.5, most=0.5):
                     free.add(i)
         for k in group:
             g = tuple("<*>" if i in free else w for i, w in enumerate(k))
-            template[k] = g if sum(len(re.findall(r"<\*>", w)) for w in g) <= len(k) - half * len(k) else k
+            template[k] = (leaf(k), g if sum(len(re.findall(r"<\*>", w)) for w in g) <= len(k) - half * len(k) else k)
     held = collections.defaultdict(set)
     for k, where in kinds.items():
         held[template[k]] |= where
+    held = {g: where for g, where in held.items() if len(where) >= min_docs}
+    group = groups(set().union(*held.values()))
+    recurring = {g for g, where in held.items() if len({group[t] for t in where}) >= min_docs}
     out = collections.Counter()
     for doc, t in rows:
         parts = t.split("\n") if t is not None else []
-        drop = [bool(mask(x)) and len(held[template[mask(x)]]) >= min_docs for x in parts]
-        lost = sum(len(mask(x)) for x, d in zip(parts, drop) if d)
-        if not any(drop) or lost > most * len(WORD.findall(t)):
-            out[doc, t, len(parts), 0] += 1
-        else:
-            out[doc, "\n".join(x for x, d in zip(parts, drop) if not d), len(parts), sum(drop)] += 1
+        drop = [bool(mask(x)) and template[mask(x)] in recurring for x in parts]
+        out[doc, "\n".join(x for x, d in zip(parts, drop) if not d) if any(drop) else t, len(parts), sum(drop)] += 1
     return out
 
 
@@ -73,16 +96,16 @@ def test_corpus(spark, min_docs):
 
 def test_odd_rows(spark, odd, nothing):
     check(odd, 2)
-    out = lines.drop_recurring(odd.withColumn("n_lines", F.lit("x")), 2, length="n_chars")
-    assert out.count() == odd.count() and set(out.columns) == {*odd.columns, "n_lines", "n_dropped"}
+    own = {c: F.lit(f"own {c}") for c in ("n_lines", "row_key", "gone", "_row_key", "_gone")}
+    clash = odd.withColumns(own)
+    out = lines.drop_recurring(clash, 2, length="n_chars")
+    assert out.count() == odd.count() and set(out.columns) == {*odd.columns, *own, "kept_n_lines", "n_dropped"}
+    assert all(r["kept_n_lines"] == "own n_lines" and r["row_key"] == "own row_key" and r["_gone"] == "own _gone" for r in out.collect())
+    bare = lines.drop_recurring(clash, 2, length="n_chars", counts=False)
+    assert bare.columns == clash.columns and all(r["n_lines"] == "own n_lines" and r["n_chars"] == len(r["text"] or "") or r["n_chars"] in (1, None) for r in bare.collect())
     assert lines.drop_recurring(nothing).collect() == []
 
 
-def shingles(text):
-    words = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
 def test_short_carriers_lose_lines_and_near_copies_count_once(spark):
     notice = "This work is free to use for all who ask"
     word = lambda k, i: f"{'abcdefghij'[k]}{'klmnopqrst'[i % 10]}{'uvwxyz'[i // 10 % 6]}"
@@ -91,7 +114,7 @@ def test_short_carriers_lose_lines_and_near_copies_count_once(spark):
     copies = ["\n".join([*body, f"end {word(k, 7)}"]) for k in range(5)]
     assert all(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for a in copies for b in copies)
     texts = [*carriers, *copies, notice]
-    got = {r["doc_id"]: r for r in lines.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, by_group=True).collect()}
+    got = {r["doc_id"]: r for r in lines.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()}
     for i, t in enumerate(carriers):  # ten of fifteen words recur
         assert (got[i]["text"], got[i]["n_dropped"]) == (t.split("\n")[0], 1)
     for i, t in enumerate(copies, len(carriers)):
@@ -103,30 +126,6 @@ def test_query_spares_no_document(spark):
     from goldrec.llm.queries import op7_lines
 
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got = {r["doc_id"]: r["n_dropped"] for r in op7_lines(spark, SF).collect()}
-    texts = sorted({t for _, t in rows if t is not None and t.split()})
-    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    by_shingle = collections.defaultdict(list)
-    for i, s in enumerate(sets):
-        for x in s:
-            by_shingle[x].append(i)
-    for j, s in enumerate(sets):
-        for i, both in collections.Counter(i for x in s for i in by_shingle[x] if i < j).items():
-            if both >= 0.8 * (len(sets[i]) + len(s) - both):
-                up[top(j)] = top(i)
-    held = collections.defaultdict(set)
-    plain = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
-    for i, t in enumerate(texts):
-        for line in t.split("\n"):
-            held[plain(line)].add(top(i))
-    for doc, t in rows:  # a kind that recurs by itself recurs whatever else its template holds
-        sure = sum(bool(plain(x)) and len(held[plain(x)]) >= 10 for x in (t or "").split("\n"))
-        assert got[doc] >= sure
-    alone = sum(bool(plain(x)) and len(held[plain(x)]) >= 10 for _, t in rows for x in (t or "").split("\n"))
-    assert alone and sum(got.values()) >= alone
+    want = {doc: (n, dropped) for doc, _, n, dropped in brute(rows, 10)}
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in op7_lines(spark, SF).collect()} == want
+    assert sum(n for _, n in want.values())
