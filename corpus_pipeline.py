@@ -15,12 +15,12 @@ from goldrec.llm.queries import vocabulary
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality.keep_clean(docs).select(docs.columns)
+    return quality.keep_clean(docs, out=None)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; n_chars follows the text."""
-    return lines.drop_recurring(docs, length="n_chars", by_group=True).select(docs.columns)
+    return lines.drop_recurring(docs, length="n_chars", counts=False)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
