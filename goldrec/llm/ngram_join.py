@@ -307,9 +307,13 @@ def _survivors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
     node, n, comp, chunk, i, j = (frame[c].to_numpy() for c in ("node", "n", "component", "chunk", "i", "j"))
-    whole = [np.frombuffer(p, np.uint8) for p in frame["point"]]
-    counts = np.stack([fold(p, GROUPS) for p in whole])
-    wide = np.array([len(p) for p in whole])
+    points = frame["point"].to_numpy()
+    wide = np.fromiter(map(len, points), np.int64, len(points))
+    whole = {int(k): np.frombuffer(points[k], np.uint8) for k in np.flatnonzero(wide > GROUPS)}
+    counts = np.empty((len(points), GROUPS), np.uint8)
+    counts[wide == GROUPS] = np.frombuffer(b"".join(points[wide == GROUPS]), np.uint8).reshape(-1, GROUPS)
+    for k, point in whole.items():
+        counts[k] = fold(point, GROUPS)
 
     def reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Does the bound of the whole points reach the threshold, given that that of the folded ones does?"""
