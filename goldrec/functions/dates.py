@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from goldrec.functions.text import strip
 
+#: Fixed value: two dates with a dash or `to` between them.
 RANGE = r"(?i)((?:[A-Za-z]{3,9}\.?[\s\-]+\d{4})|(?:\d{1,2}/\d{4})|(?:\d{4}))\s*(?:-|–|—|to)\s*((?:[A-Za-z]{3,9}\.?[\s\-]+\d{4})|(?:\d{1,2}/\d{4})|(?:\d{4})|(?:present|current))"
 
 

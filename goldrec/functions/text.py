@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 #: All that counts as white space, inside a character class.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -30,6 +30,32 @@ def nfkc(c: Column) -> Column:
     return _nfkc(c)
 
 
+def _composed(values: pa.Array) -> pa.Array:
+    """NFKC of all texts in an Arrow array, at any depth."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    kind = values.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return pc.utf8_normalize(values, form="NFKC")
+    if pa.types.is_struct(kind):
+        values = pa.concat_arrays([values])  # a slice's fields would be those of the whole
+        return pa.StructArray.from_arrays([_composed(values.field(i)) for i in range(kind.num_fields)], fields=list(kind), mask=values.is_null())
+    if pa.types.is_list(kind):
+        values = pa.concat_arrays([values])
+        return pa.ListArray.from_arrays(values.offsets, _composed(values.values), type=kind, mask=values.is_null())
+    return values
+
+
+def nfkc_within(c: Column, shape: StructType) -> Column:
+    """nfkc of all texts of a struct column of this type."""
+
+    @F.arrow_udf(shape)
+    def within(values: pa.Array) -> pa.Array:
+        return _composed(values)
+
+    return within(c)
+
+
 def clean(c: Column) -> Column:
     """Stripped and white space collapsed; compose with nfkc first where text may hold more than ASCII."""
     return collapse(strip(c))

@@ -48,28 +48,54 @@ def facts_of(record: DataFrame, name: str, single: bool) -> Facts:
     }
 
 
-def score(record: DataFrame, scoring: Scoring | None = None, single: bool = False) -> DataFrame:
+#: Why a step changed a score, for the texts of bonuses and penalties.
+REASONS = {"source_weight": "base weight of the source", "agreement": "sources agree", "conflict_penalty": "sources disagree", "missing_field": "value is missing"}
+
+
+def notes(trace: str = "confidence_trace") -> tuple[Column, Column]:
+    """(bonuses, penalties) of a trace, a text for each change: `field: reason (+0.100)`; without the number for a value
+    that is missing."""
+    why = F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))
+    told = lambda t: F.concat(t.field, F.lit(": "), F.try_element_at(why, t.step))
+    number = lambda t: F.format_string("%.3f", t.delta)
+    bonuses = F.transform(F.filter(trace, lambda t: t.delta > 0), lambda t: F.concat(told(t), F.lit(" (+"), number(t), F.lit(")")))
+    penalties = F.transform(F.filter(trace, lambda t: t.delta < 0), lambda t: F.when(t.step == "missing_field", told(t)).otherwise(F.concat(told(t), F.lit(" ("), number(t), F.lit(")"))))
+    return bonuses, penalties
+
+
+def score(record: DataFrame, scoring: Scoring | None = None, single: bool | None = None) -> DataFrame:
     """Adds confidence (score, fields: name -> score, source) and confidence_trace (field, step, old, delta, new).
 
+    single: whether a record comes from one source, told by the columns if not given: merged records have a
+    merge_report, others a source; records with neither can't be scored.
+
     A field that is missing and lost a positive score is left out of the weighted mean. A row's `source` (if single) or
     first considered source is a field's reported source.
     """
     scoring = scoring or Scoring()
-    out, trace, scores, kept = record, [], [], []
-    for name in scoring.fields:
-        facts = facts_of(record, name, single)
-        running, excluded = F.lit(0.0), F.lit(False)
+    if single is None:
+        if not {"merge_report", "source"} & set(record.columns):
+            raise ConfigError("records without a merge_report and without a source can't be scored")
+        single = "merge_report" not in record.columns
+    names = list(scoring.fields)
+    # A few wide steps, each reading the columns of the one before: facts, then change and score for every step.
+    facts = {n: facts_of(record, n, single) for n in names}
+    out = record.withColumns({f"_{n}_{k}": c for n in names for k, c in facts[n].items()})
+    facts = {n: {k: F.col(f"_{n}_{k}") for k in facts[n]} for n in names}
+    running = {n: F.lit(0.0) for n in names}
+    for step in scoring.steps:
+        out = out.withColumns({f"_{n}_{step}_d": delta(step, running[n], facts[n], scoring) for n in names})
+        out = out.withColumns({f"_{n}_{step}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), running[n] + F.col(f"_{n}_{step}_d"))) for n in names})
+        running = {n: F.col(f"_{n}_{step}") for n in names}
+    trace, scores, kept = [], [], []
+    for n in names:
+        old = F.lit(0.0)
         for step in scoring.steps:
-            change = delta(step, running, facts, scoring)
-            column = f"_{name}_{step}"
-            # Named columns keep the fold flat: each step reads the one before it.
-            out = out.withColumn(f"{column}_d", change).withColumn(column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), running + F.col(f"{column}_d"))))
-            trace.append(F.struct(F.lit(name).alias("field"), F.lit(step).alias("step"), running.alias("old_score"), F.col(f"{column}_d").alias("delta"), F.col(column).alias("new_score")))
-            if step == "missing_field":
-                excluded = F.col(f"{column}_d") < 0
-            running = F.col(column)
-        scores.append((name, running))
-        kept.append((F.when(excluded, 0.0).otherwise(scoring.fields[name]), running))
+            trace.append(F.struct(F.lit(n).alias("field"), F.lit(step).alias("step"), old.alias("old_score"), F.col(f"_{n}_{step}_d").alias("delta"), F.col(f"_{n}_{step}").alias("new_score")))
+            old = F.col(f"_{n}_{step}")
+        excluded = F.col(f"_{n}_missing_field_d") < 0 if "missing_field" in scoring.steps else F.lit(False)
+        scores.append((n, running[n]))
+        kept.append((F.when(excluded, 0.0).otherwise(scoring.fields[n]), running[n]))
     weight = reduce(lambda a, b: a + b, (w for w, _ in kept))
     total = reduce(lambda a, b: a + b, (w * s for w, s in kept))
     source = F.col("source") if single else F.coalesce(F.try_element_at("considered", F.lit(1)), F.lit("ATS"))

@@ -1,119 +1,198 @@
 """Merging any number of source records into one golden record per entity.
 
-Sources are rows (entity_key, source, input_ord, canonical fields). Every field is an aggregate over its entity: one
-shuffle on entity_key carries all scalar fields, and lists are pre-aggregated by (entity_key, item key), so an entity
-with very many rows is never gathered whole. Contributing sources are distinct sources in priority order.
+Sources are rows (entity_key, source, input_ord, canonical fields). One pass reads them: a record is taken apart into its
+scalars and the items of its lists, which are aggregated by (entity_key, source) and by (entity_key, list, item key); a
+second aggregation by entity_key puts the golden record together. An entity with very many rows is thus never gathered
+whole: what reaches the second step is a row per source and per different item. Values are chosen by source priority,
+then input order, then a hash of the record, so that reruns agree.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.functions.text import identity_key, strip
-from goldrec.plans.config import LISTS, STRUCTURED, Policy, Rule
-from goldrec.schema import CONTACT_FIELDS, SCALARS
+from goldrec.plans.config import FIELDS, LISTS, STRUCTURED, Policy, Rule
+from goldrec.schema import CONTACT_FIELDS, PROVENANCE, SCALARS
+
+#: Where each scalar field of the policy lies in a record.
+PATHS = {n: n for n in SCALARS} | {f"contact.{c}": f"contact.{c}" for c in CONTACT_FIELDS}
+
 
-SPAN = 1 << 32
+def rank(priority: tuple[str, ...], source: str = "source") -> str:
+    """SQL of a source's place in the priority, unknown ones last."""
+    known = ", ".join(f"'{s}'" for s in priority)
+    return f"coalesce(nullif(int(array_position(array({known}), {source})), 0) - 1, {len(priority)})"
 
 
-def rank(priority: tuple[str, ...]) -> Column:
-    """A source's place in the priority, unknown ones last."""
-    known = F.array(*(F.lit(s) for s in priority))
-    at = F.array_position(known, F.col("source"))
-    return F.when(at > 0, at - 1).otherwise(len(priority))
+def _present(value: str, kind: str = "string") -> str:
+    """An empty text is no value; a blank one is. Lists inside a record always are."""
+    return f"{value} IS NOT NULL" + (f" AND {value} <> ''" if kind == "string" else "")
 
 
-def order_key(priority: tuple[str, ...]) -> Column:
-    return rank(priority) * F.lit(SPAN) + F.col("input_ord").cast("long")
+def _turned(sources: DataFrame) -> DataFrame:
+    """sources with `_turn`, a record's place among its source's: input order, then a hash of all that it holds."""
+    hashed = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in sources.schema.fields]
+    return sources.withColumn("_turn", F.struct(F.col("input_ord").cast("long").alias("ord"), F.xxhash64(*hashed).alias("tie")))
 
 
-def present(c: Column) -> Column:
-    """An empty text is no value; a blank one is."""
-    return c.isNotNull() & (c != "")
+def _said(value: str, score: str | None, turn: str) -> str:
+    """What a source's records say of one scalar field: its first value, its extremes, and its best scored value."""
+    has = _present(value)
+    best = f"min(CASE WHEN {has} AND {score} IS NOT NULL THEN named_struct('s', -{score}, 'o', {turn}, 'v', {value}) END)"
+    none = "CAST(NULL AS struct<s:double,o:struct<ord:bigint,tie:bigint>,v:string>)"
+    first = f"min(CASE WHEN {has} THEN named_struct('o', {turn}, 'v', {value}) END)"
+    return f"named_struct('first', {first}, 'low', min(CASE WHEN {has} THEN {value} END), 'high', max(CASE WHEN {has} THEN {value} END), 'best', {best if score else none})"
 
 
-def scalar(value: Column, rule: Rule, score: Column | None = None) -> dict[str, Column]:
-    """Aggregates of one field: value, winner (its source), conflict, contributing (sources in priority order)."""
-    has = present(value)
-    order = F.when(has, order_key(rule.priority))
-    conflict = F.coalesce(F.min(F.when(has, value)) != F.max(F.when(has, value)), F.lit(False))
-    sources = F.transform(F.array_sort(F.collect_set(F.when(has, F.struct(rank(rule.priority).alias("r"), F.col("source").alias("s"))))), lambda x: x.s)
-    chosen, winner = F.min_by(value, order), F.min_by("source", order)
+def _ordered(name: str, rule: Rule, scored: bool) -> str:
+    """What `_resolve` needs of a scalar field, from the array `_sources` of what each source says."""
+    place = rank(rule.priority, "x.source")
+    firsts = f"array_sort(transform(filter(_sources, x -> x.{name}.first IS NOT NULL), x -> named_struct('r', {place}, 'o', x.{name}.first.o, 's', x.source, 'v', x.{name}.first.v)))"
+    bests = f"array_sort(transform(filter(_sources, x -> x.{name}.best IS NOT NULL), x -> named_struct('c', x.{name}.best.s, 'r', {place}, 'o', x.{name}.best.o, 's', x.source, 'v', x.{name}.best.v)))"
+    differ = f"coalesce(array_min(transform(_sources, x -> x.{name}.low)) <> array_max(transform(_sources, x -> x.{name}.high)), false)"
+    best = f"get({bests}, 0)" if scored and rule.strategy == "highest_confidence" else "CAST(NULL AS struct<c:double,r:int,o:struct<ord:bigint,tie:bigint>,s:string,v:string>)"
+    return f"named_struct('firsts', {firsts}, 'best', {best}, 'differ', {differ}) AS {name}"
+
+
+def _resolve(name: str, rule: Rule) -> str:
+    """value, winner (its source), conflict and contributing (sources in priority order) of a scalar field."""
+    first, sources = f"get({name}.firsts, 0)", f"array_distinct({name}.firsts.s)"
     if rule.strategy == "first_non_empty":
-        return {"value": chosen, "winner": winner, "conflict": F.lit(False), "contributing": F.when(winner.isNotNull(), F.array(winner)).otherwise(F.array().cast("array<string>"))}
-    if rule.strategy == "highest_confidence" and score is not None:
-        best = F.when(has & score.isNotNull(), F.struct(score.alias("s"), (-order_key(rule.priority)).alias("o")))
-        chosen, winner = F.coalesce(F.max_by(value, best), chosen), F.coalesce(F.max_by("source", best), winner)
-    return {"value": chosen, "winner": winner, "conflict": conflict, "contributing": sources}
+        return f"named_struct('value', {first}.v, 'winner', {first}.s, 'conflict', false, 'contributing', slice({sources}, 1, 1)) AS {name}"
+    return f"named_struct('value', coalesce({name}.best.v, {first}.v), 'winner', coalesce({name}.best.s, {first}.s), 'conflict', {name}.differ, 'contributing', {sources}) AS {name}"
+
+
+#: All of an entity's sources, in the usual order.
+CONSIDERED = f"array_sort(transform(_sources, x -> named_struct('r', {rank(('ATS', 'RESUME'), 'x.source')}, 's', x.source))).s AS considered"
+
+
+def _resolved(said: DataFrame, rules: dict[str, Rule], scored: set[str], *more: str) -> DataFrame:
+    """entity_key, considered, a struct per field and more columns, of rows (entity_key, _sources, ...)."""
+    rest = [c for c in said.columns if c not in ("entity_key", "_sources")]
+    ordered = said.selectExpr("entity_key", CONSIDERED, *(_ordered(n, r, n in scored) for n, r in rules.items()), *rest, *more)
+    kept = [c for c in ordered.columns if c not in rules]
+    return ordered.selectExpr(*kept, *(_resolve(n, r) for n, r in rules.items()))
 
 
 def merge_scalars(sources: DataFrame, fields: dict[str, tuple[Column, Rule]], scores: dict[str, Column] | None = None) -> DataFrame:
     """entity_key, considered (all its sources) and a struct (value, winner, conflict, contributing) per field."""
-    aggregates = []
-    for name, (value, rule) in fields.items():
-        aggregates.append(F.struct(*(c.alias(k) for k, c in scalar(value, rule, (scores or {}).get(name)).items())).alias(name))
-    considered = F.transform(F.array_sort(F.collect_set(F.struct(rank(("ATS", "RESUME")).alias("r"), F.col("source").alias("s")))), lambda x: x.s)
-    return sources.groupBy("entity_key").agg(considered.alias("considered"), *aggregates)
+    scores = scores or {}
+    turned = _turned(sources).select("entity_key", "source", "_turn", *(v.alias(f"_v_{n}") for n, (v, _) in fields.items()), *(s.alias(f"_s_{n}") for n, s in scores.items()))
+    said = turned.groupBy("entity_key", "source").agg(*(F.expr(_said(f"_v_{n}", f"_s_{n}" if n in scores else None, "_turn")).alias(n) for n in fields))
+    each = said.groupBy("entity_key").agg(F.collect_list(F.struct("source", *fields)).alias("_sources"))  # a row a source
+    return _resolved(each, {n: r for n, (_, r) in fields.items()}, set(scores)).select("entity_key", "considered", *fields)
+
+
+def _slots(sources: DataFrame) -> dict[str, str]:
+    """What an item may be, and its type: a text, a provenance entry, or a record of a list that the sources have."""
+    return {"text": "string", "prov": PROVENANCE} | {n: sources.schema[n].dataType.elementType.simpleString() for n in STRUCTURED if n in sources.columns}
+
 
+def _items(sources: DataFrame, name: str, rule: Rule) -> Column:
+    """The items of one list as (kind, key, place, text, ...), the slot that holds the item filled."""
+    mine = name if name in STRUCTURED else "prov" if name == "provenance" else "text"
 
-def _ordered(items: DataFrame, name: str) -> DataFrame:
-    """The items of each entity as a list in their order; a golden list has hundreds of items at most."""
-    lists = items.groupBy("entity_key").agg(F.array_sort(F.collect_list(F.struct("_o", "_p", "item"))).alias(name))
-    return lists.withColumn(name, F.transform(name, lambda x: x.item))
+    def item(x: Column, i: Column) -> Column:
+        if name in STRUCTURED:
+            key = identity_key(*(x[k] for k in rule.identity))
+        else:
+            key = F.concat_ws("\x1f", x.field, x.source) if name == "provenance" else F.lower(strip(x))
+        place = F.struct(F.expr(rank(rule.priority)).alias("r"), F.col("_turn").alias("o"), i.cast("int").alias("p"))
+        return F.struct(F.lit(name).alias("kind"), key.alias("key"), place.alias("place"), *((x if s == mine else F.lit(None).cast(t)).alias(s) for s, t in _slots(sources).items()))
+
+    return F.transform(F.coalesce(F.col(name), F.array().cast(sources.schema[name].dataType)), item)
+
+
+def _firsts(sources: DataFrame) -> list[Column]:
+    """Aggregates of the items of one key: the first place, and the item: the first spelling of a text; of records the
+    first, its missing fields (null or empty text) filled from later ones, lists inside it never filled; the last
+    provenance."""
+    out = ["min(place) AS at", "min_by(text, CASE WHEN text IS NOT NULL THEN place END) AS text", "max_by(prov, CASE WHEN prov IS NOT NULL THEN place END) AS prov"]
+    for name in (n for n in STRUCTURED if n in sources.columns):
+        fields = []
+        for f in sources.schema[name].dataType.elementType.fields:
+            value, kind = f"{name}.`{f.name}`", f.dataType.typeName()
+            has = f"{name} IS NOT NULL" if kind == "array" else _present(value, kind)
+            fields.append(f"'{f.name}', min_by({value}, CASE WHEN {has} THEN place END)")
+        out.append(f"named_struct({', '.join(fields)}) AS {name}")
+    return [F.expr(x) for x in out]
+
+
+def _list(name: str) -> Column:
+    """The items of a list of an entity, in order; a golden list has hundreds of items at most."""
+    slot = name if name in STRUCTURED else "text"
+    return F.expr(f"array_sort(collect_list(CASE WHEN kind = '{name}' THEN named_struct('at', at, 'item', {slot}) END)).item AS {name}")
+
+
+def _union(sources: DataFrame, name: str, rule: Rule) -> DataFrame:
+    each = _turned(sources).select("entity_key", F.explode(_items(sources, name, rule)).alias("i")).select("entity_key", "i.*").where("key <> ''")
+    return each.groupBy("entity_key", "kind", "key").agg(*_firsts(sources)).groupBy("entity_key").agg(_list(name))
 
 
 def union_flat(sources: DataFrame, name: str, rule: Rule) -> DataFrame:
     """entity_key and the union of a list of texts: the first spelling of each, in priority order, then list order."""
-    each = sources.select("entity_key", order_key(rule.priority).alias("_o"), F.posexplode(name).alias("_p", "item"))
-    each = each.withColumn("_key", F.lower(strip(F.col("item")))).where("_key <> ''")
-    place = F.struct("_o", "_p")
-    firsts = each.groupBy("entity_key", "_key").agg(F.min_by("item", place).alias("item"), F.min(place).alias("_at"))
-    return _ordered(firsts.select("entity_key", "item", "_at._o", "_at._p"), name)
+    return _union(sources, name, rule)
 
 
 def union_records(sources: DataFrame, name: str, rule: Rule) -> DataFrame:
-    """entity_key and the union of a list of records: of equal identities the first stays, its missing fields (null or
-    empty text) filled from later ones; lists inside a record are never filled."""
-    fields = sources.schema[name].dataType.elementType.fields
-    each = sources.select("entity_key", order_key(rule.priority).alias("_o"), F.posexplode(name).alias("_p", "_item"))
-    each = each.withColumn("_key", identity_key(*(F.col(f"_item.{k}") for k in rule.identity)))
-    place = F.struct("_o", "_p")
-    kept = []
-    for f in fields:
-        value = F.col(f"_item.{f.name}")
-        kind = f.dataType.typeName()
-        filled = place if kind == "array" else F.when(present(value) if kind == "string" else value.isNotNull(), place)
-        kept.append(F.min_by(value, filled).alias(f.name))
-    records = each.groupBy("entity_key", "_key").agg(F.min(place).alias("_at"), *kept)
-    return _ordered(records.select("entity_key", "_at._o", "_at._p", F.struct(*(f.name for f in fields)).alias("item")), name)
+    """entity_key and the union of a list of records by their identity, gaps filled."""
+    return _union(sources, name, rule)
 
 
 def merge(sources: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Golden records: canonical fields plus `merged`, a struct (value, winner, conflict, contributing) per field, and
-    `considered`. Entities without a first and last name are returned with an error_type."""
+    """Golden records: canonical fields, provenance, `considered` and `merge_report`, a row per field of the policy.
+
+    Scores for `highest_confidence` come from a `confidence` column (fields: name -> score), where there is one; without
+    one that strategy is `source_priority`. Entities without a first and last name are returned with an error_type.
+    """
     policy = policy or Policy()
-    paths = {n: F.col(n) for n in SCALARS} | {f"contact.{c}": F.col(f"contact.{c}") for c in CONTACT_FIELDS}
-    flat = merge_scalars(sources, {n.replace(".", "_"): (c, policy.rule(n)) for n, c in paths.items()})
-    lists = [union_flat(sources, n, policy.rule(n)) for n in LISTS] + [union_records(sources, n, policy.rule(n)) for n in STRUCTURED]
-    out = reduce(lambda a, b: a.join(b, "entity_key", "left"), lists, flat)
-    # Which sources had items in a list, for the report; as one more aggregate it needs no shuffle of its own.
-    had = sources.groupBy("entity_key").agg(*(F.collect_set(F.when(F.size(n) > 0, F.struct(rank(policy.rule(n).priority).alias("r"), F.col("source").alias("s")))).alias(f"_had_{n}") for n in LISTS + STRUCTURED))
-    out = out.join(had, "entity_key")
-    for n in LISTS + STRUCTURED:
-        out = out.withColumn(n, F.coalesce(F.col(n), F.array().cast(sources.schema[n].dataType)))
-    contact = F.struct(*(F.col(f"contact_{c}.value").alias(c) for c in CONTACT_FIELDS))
-    some = reduce(lambda a, b: a | b, (F.col(f"contact_{c}.value").isNotNull() for c in CONTACT_FIELDS))
-    report = [F.struct(F.lit(n).alias("field"), F.lit(policy.rule(n).strategy).alias("strategy"), F.col(n.replace(".", "_")).conflict.alias("conflict"), F.col(n.replace(".", "_")).contributing.alias("contributing"), F.col(n.replace(".", "_")).value.alias("chosen")) for n in paths]
-    report += [F.struct(F.lit(n).alias("field"), F.lit(policy.rule(n).strategy).alias("strategy"), F.lit(False).alias("conflict"), F.transform(F.array_sort(f"_had_{n}"), lambda x: x.s).alias("contributing"), F.to_json(n).alias("chosen")) for n in LISTS + STRUCTURED]
-    named = F.col("first_name.value").isNotNull() & F.col("last_name.value").isNotNull()
-    return out.select(
-        "entity_key",
-        F.concat_ws("-", *(F.substring(F.md5("entity_key"), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))).alias("id"),
-        *(F.col(f"{n}.value").alias(n) for n in SCALARS), F.when(some, contact).alias("contact"), *STRUCTURED, *LISTS, F.lit("1.0").alias("schema_version"),
-        "considered", F.array(*report).alias("merge_report"), F.when(~named, F.lit("MergeError")).alias("error_type"),
+    if "provenance" not in sources.columns:
+        sources = sources.withColumn("provenance", F.array().cast(f"array<{PROVENANCE}>"))
+    key = {n: n.replace(".", "_") for n in PATHS}
+    rules = {key[n]: policy.rule(n) for n in PATHS}
+    scored = set(rules) if "confidence" in sources.columns else set()
+    lists, bare = LISTS + STRUCTURED, lambda n: n.removeprefix("contact.")
+
+    # Taken apart: one row with the scalars (no kind, no key), one per item of a list.
+    nothing = ", ".join(f"'{s}', CAST(NULL AS {t})" for s, t in _slots(sources).items())
+    whole = F.expr(f"named_struct('kind', '', 'key', '', 'place', named_struct('r', 0, 'o', _turn, 'p', 0), {nothing})")
+    parts = [f"'{key[n]}', {p}" for n, p in PATHS.items()] + [f"'{key[n]}_score', try_element_at(confidence.fields, '{bare(n)}').score" for n in PATHS if scored]
+    scalars = F.expr(f"named_struct({', '.join(parts)}, {', '.join(f"'had_{n}', size({n}) > 0" for n in lists)}, 'prov', provenance)")
+    items = [_items(sources, n, policy.rule(n)) for n in lists] + [_items(sources, "provenance", Rule())]
+    apart = _turned(sources).select("entity_key", "source", F.explode(F.concat(F.array(whole), *items)).alias("i"), scalars.alias("_record"))
+    apart = apart.selectExpr("entity_key", "i.*", "CASE WHEN i.kind = '' THEN source END AS source", "CASE WHEN i.kind = '' THEN _record END AS _record").where("kind = '' OR key <> ''")
+
+    # First step: by source, or by item.
+    said = [f"'{key[n]}', {_said(f'_record.{key[n]}', f'_record.{key[n]}_score' if scored else None, 'place.o')}" for n in PATHS]
+    said += [f"'had_{n}', max(_record.had_{n})" for n in lists] + ["'prov', min_by(_record.prov, CASE WHEN _record IS NOT NULL THEN place.o END)"]
+    first = apart.groupBy("entity_key", "kind", "key", "source").agg(F.expr(f"named_struct({', '.join(said)})").alias("_said"), *_firsts(sources))
+
+    # Second step: the entity.
+    told = ", ".join(f"'{x}', _said.{x}" for x in (*rules, *(f"had_{n}" for n in lists), "prov"))
+    both = first.groupBy("entity_key").agg(
+        F.expr(f"collect_list(CASE WHEN kind = '' THEN named_struct('source', source, {told}) END) AS _sources"),
+        F.expr("collect_list(CASE WHEN kind = 'provenance' THEN prov END) AS _last"), *map(_list, lists),
+    )
+    had = [f"array_sort(transform(filter(_sources, x -> x.had_{n}), x -> named_struct('r', {rank(policy.rule(n).priority, 'x.source')}, 's', x.source))).s AS _{n}" for n in lists]
+    out = _resolved(both, rules, scored, *had, "transform(_sources, x -> named_struct('source', x.source, 'prov', x.prov)) AS _given")
+
+    once = "filter(certifications, (x, i) -> array_position(transform(certifications, y -> lower(trim(y.name))), lower(trim(x.name))) = i + 1)"
+    report, kept = [], []
+    for n in FIELDS:
+        field = f"{key[n]}.%s" if n in PATHS else f"_{n}"
+        conflict, contributing, chosen = (field % "conflict", field % "contributing", field % "value") if n in PATHS else ("false", field, f"to_json({n})")
+        winner = f"coalesce({field % 'winner'}, get({contributing}, 0))" if n in PATHS else f"CASE WHEN size({n}) > 0 THEN get({field}, 0) END"
+        report.append(f"named_struct('field', '{n}', 'strategy', '{policy.rule(n).strategy}', 'conflict', {conflict}, 'contributing', {contributing}, 'chosen', {chosen}, 'provenance', filter(_last, x -> x.field = '{bare(n)}'))")
+        kept.append(f"get(filter(get(filter(_given, x -> x.source = {winner}), 0).prov, x -> x.field = '{bare(n)}'), 0)")
+    contact = ", ".join(f"'{c}', contact_{c}.value" for c in CONTACT_FIELDS)
+    some = " OR ".join(f"contact_{c}.value IS NOT NULL" for c in CONTACT_FIELDS)
+    nameless = "first_name.value IS NULL OR last_name.value IS NULL"
+    return out.selectExpr(
+        "entity_key", "regexp_replace(md5(entity_key), '^(.{8})(.{4})(.{4})(.{4})', '$1-$2-$3-$4-') AS id", *(f"{n}.value AS {n}" for n in SCALARS), f"CASE WHEN {some} THEN named_struct({contact}) END AS contact",
+        *(f"{once} AS certifications" if n == "certifications" else n for n in STRUCTURED), *LISTS, f"array_compact(array({', '.join(kept)})) AS provenance", "'1.0' AS schema_version", "considered",
+        f"array({', '.join(report)}) AS merge_report", f"CASE WHEN {nameless} THEN 'MergeError' END AS error_type", f"CASE WHEN {nameless} THEN 'no source has a first and last name' END AS error_message",
     )
 
 
@@ -121,3 +200,10 @@ def conflicts(golden: DataFrame) -> DataFrame:
     """A row per disagreement: entity_key, field, chosen, message."""
     each = golden.select("entity_key", F.inline("merge_report")).where("conflict")
     return each.select("entity_key", "field", "chosen", F.concat(F.lit("sources disagree on "), "field", F.lit("; kept "), "chosen").alias("message"))
+
+
+def accessors(golden: DataFrame) -> DataFrame:
+    """entity_key, merged_fields, conflicting, chosen (field -> value) and strategies (field -> strategy), from the report."""
+    names = lambda test: F.transform(F.filter("merge_report", test), lambda x: x.field)
+    pairs = lambda part: F.map_from_arrays(F.transform("merge_report", lambda x: x.field), F.transform("merge_report", lambda x: x[part]))
+    return golden.select("entity_key", names(lambda x: x.field.isNotNull()).alias("merged_fields"), names(lambda x: x.conflict).alias("conflicting"), pairs("chosen").alias("chosen"), pairs("strategy").alias("strategies"))

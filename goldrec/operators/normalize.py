@@ -1,35 +1,54 @@
-"""Whole-record normalization; applying it twice changes nothing."""
+"""Whole-record normalization in one pass over the rows; applying it twice changes nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.functions.phones import normal_phone
-from goldrec.functions.text import clean, nfkc, normal_email, normal_skills, title_case
+from goldrec.functions.text import clean, nfkc, nfkc_within, normal_email, normal_skills, title_case
 from goldrec.plans.config import Config
 
 #: What plain ASCII text can't need.
 WIDE = r"[^\x00-\x7F]"
+#: The columns whose texts are composed, at any depth, and the texts of list items that are cleaned.
+TEXTS = ("first_name", "last_name", "skills", "languages", "experiences", "education", "certifications")
+PARTS = {"experiences": ("company", "title", "description"), "education": ("institution", "degree", "field_of_study"), "certifications": ("name", "issuer")}
 
 
 def compose(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """NFKC of text columns. Python sees only the rows that hold something outside ASCII."""
-    wide = F.coalesce(F.concat_ws("", *columns), F.lit("")).rlike(WIDE)
-    narrow = records.where(~wide)
-    return narrow.unionByName(records.where(wide).withColumns({c: nfkc(F.col(c)) for c in columns}))
+    """NFKC of text columns. Python is handed null for a text of plain ASCII."""
+    wide = lambda c: F.when(F.col(c).rlike(WIDE), F.col(c))
+    return records.withColumns({c: F.coalesce(nfkc(wide(c)), F.col(c)) for c in columns})
 
 
 def normalize(records: DataFrame, config: Config | None = None) -> DataFrame:
+    """Every text composed (NFKC), stripped and its white space collapsed; names in title case, skills by their aliases
+    and without repeats, addresses in lower case, phones in E.164. Null texts and lists stay null.
+
+    Python sees only the records that hold something outside ASCII, each once.
+    """
     config = config or Config()
-    records = compose(records, ("first_name", "last_name"))
-    trim = lambda x: F.when(x.isNotNull(), clean(x))
-    contact = F.struct(normal_email(F.col("contact.email")).alias("email"), normal_phone(F.col("contact.phone"), config.region).alias("phone"), trim(F.col("contact.location")).alias("location"), F.col("contact.linkedin_url").alias("linkedin_url"), F.col("contact.github_url").alias("github_url"))
-    rebuild = lambda name, texts: F.transform(name, lambda x: F.struct(*((trim(x[f.name]) if f.name in texts else x[f.name]).alias(f.name) for f in records.schema[name].dataType.elementType.fields)))
-    return records.withColumns(
+    texts = F.struct(*TEXTS, F.col("contact.location").alias("location"))
+    shape = records.select(texts.alias("t")).schema["t"].dataType
+    held = records.withColumn("_texts", texts)
+    held = held.withColumn("_texts", F.coalesce(nfkc_within(F.when(F.col("_texts").cast("string").rlike(WIDE), F.col("_texts")), shape), F.col("_texts")))
+    own = lambda name: F.col(f"_texts.{name}")
+
+    def rebuilt(name: str) -> Column:
+        def item(x: Column) -> Column:
+            value = lambda f: clean(x[f]) if f in PARTS[name] else normal_skills(x[f], config.aliases) if f == "skills" else x[f]
+            return F.struct(*(value(f.name).alias(f.name) for f in records.schema[name].dataType.elementType.fields))
+
+        return F.transform(own(name), item)
+
+    contact = F.struct(
+        normal_email(F.col("contact.email")).alias("email"), normal_phone(F.col("contact.phone"), config.region).alias("phone"), clean(own("location")).alias("location"),
+        F.col("contact.linkedin_url").alias("linkedin_url"), F.col("contact.github_url").alias("github_url"),
+    )
+    return held.withColumns(
         {
-            "first_name": title_case(clean(F.col("first_name"))), "last_name": title_case(clean(F.col("last_name"))),
-            "contact": F.when(F.col("contact").isNotNull(), contact), "skills": normal_skills(F.col("skills"), config.aliases), "languages": F.transform("languages", lambda x: clean(x)),
-            "experiences": rebuild("experiences", {"company", "title"}), "education": rebuild("education", {"institution", "degree", "field_of_study"}), "certifications": rebuild("certifications", {"name", "issuer"}),
+            "first_name": title_case(clean(own("first_name"))), "last_name": title_case(clean(own("last_name"))), "contact": F.when(F.col("contact").isNotNull(), contact),
+            "skills": normal_skills(own("skills"), config.aliases), "languages": F.transform(own("languages"), clean), **{name: rebuilt(name) for name in PARTS},
         }
-    )
+    ).drop("_texts")

@@ -83,6 +83,11 @@ class Scoring:
     bonus: float = 0.1
     penalty: float = 0.2
 
+    def __post_init__(self):
+        known = {"source_weight", "agreement", "conflict_penalty", "missing_field"}
+        if set(self.steps) - known:
+            raise ConfigError(f"unknown scoring steps {sorted(set(self.steps) - known)}")
+
 
 @dataclass(frozen=True)
 class Config:
@@ -116,5 +121,48 @@ def load_policy(path: str) -> Policy:
     return Policy({name: Rule(r.get("strategy", usual.strategy), tuple(r.get("priority", usual.priority)), tuple(r.get("identity_keys", ()))) for name, r in (data.get("fields") or {}).items()})
 
 
+def _section(data: dict, path: str, name: str, kind: type, default=None):
+    found = data.get(name, default)
+    if not isinstance(found, kind):
+        raise ConfigError(f"{path}: {name} is missing or not a {kind.__name__}")
+    return found
+
+
+def load_scoring(path: str) -> Scoring:
+    """source_weights, scored_fields (in order) with their field_weights, strategy_order."""
+    data = load_yaml(path)
+    weights = _section(data, path, "field_weights", dict)
+    fields = {name: float(weights.get(name, 1.0)) for name in _section(data, path, "scored_fields", list)}
+    return Scoring({k: float(v) for k, v in _section(data, path, "source_weights", dict).items()}, fields, tuple(_section(data, path, "strategy_order", list)))
+
+
+def load_projection(path: str) -> dict[str, dict[str, str]]:
+    """Dotted path of a field -> {"output": its name}."""
+    fields = _section(load_yaml(path), path, "fields", dict)
+    if not fields or any(not isinstance(r, dict) or "output" not in r for r in fields.values()):
+        raise ConfigError(f"{path}: fields need a mapping with an output each")
+    return fields
+
+
+def load_config(folder: str) -> Config:
+    """A run's configuration from those of merge_policy, confidence_rules, validation_rules and skill_aliases (.yaml) that
+    the folder has; the usual values stand for the others."""
+    import os
+
+    at = lambda name: os.path.join(folder, f"{name}.yaml")
+    has = lambda name: os.path.exists(at(name))
+    given: dict = {}
+    if has("merge_policy"):
+        given["policy"] = load_policy(at("merge_policy"))
+    if has("confidence_rules"):
+        given["scoring"] = load_scoring(at("confidence_rules"))
+    if has("skill_aliases"):
+        given["aliases"] = load_aliases(at("skill_aliases"))
+    if has("validation_rules"):
+        limits = load_yaml(at("validation_rules"))
+        given |= {"longest": int(limits.get("max_string_length", Config.longest)), "region": str(limits.get("default_phone_region", Config.region))}
+    return Config(**given)
+
+
 def load_aliases(path: str) -> dict[str, str]:
     return {str(k).lower(): str(v) for k, v in (load_yaml(path).get("aliases") or {}).items()}

@@ -11,6 +11,9 @@ from goldrec.plans.config import Config
 CANONICAL = ["entity_key", "source", "input_ord", "first_name", "last_name", "external_id", "contact", "experiences", "education", "skills", "certifications", "languages"]
 
 
+OPTIONAL = ["provenance", "confidence"]
+
+
 def with_outcome(records: DataFrame) -> DataFrame:
     """Adds success and exit_code: 0 if the record is valid (or nothing was validated) and has no error."""
     good = F.lit(True)
@@ -35,7 +38,7 @@ def parse(records: DataFrame, config: Config | None = None) -> DataFrame:
 
 def merge(sources: DataFrame, config: Config | None = None) -> DataFrame:
     config = config or Config()
-    return merging.merge(normalize.normalize(sources.select(*CANONICAL), config), config.policy)
+    return merging.merge(normalize.normalize(sources.select(*CANONICAL, *(c for c in OPTIONAL if c in sources.columns)), config), config.policy)
 
 
 def validate(records: DataFrame, config: Config | None = None) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+from goldrec.operators.resume import EMAIL, PHONE
 from goldrec.plans.queries import SOURCES_SQL
 
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-PHONE = r"(?:\+\d{1,3}[\s.\-]?)?(?:\(\d{2,4}\)[\s.\-]?)?\d{3,5}[\s.\-]?\d{3,4}[\s.\-]?\d{0,4}"
-
 
 def _first(c: str, order: str = "rank") -> str:
     return f"arg_min({c}, {order}) FILTER (WHERE {c} IS NOT NULL)"

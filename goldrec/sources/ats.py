@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldrec.functions.dates import strict_date
+from goldrec.functions.provenance import provenance
 from goldrec.functions.text import blank_to_null, dedup_exact, first_by, normal_url, strip
 from goldrec.operators.validation import EMAIL
-from goldrec.schema import ATS_DDL
-from goldrec.sources.files import file_error, read_files
+from goldrec.schema import ATS_DDL, CONTACT_FIELDS
+from goldrec.sources.files import file_error, json_text, read_files
 
 #: The fields of a document and which of them are lists, of texts or of objects.
 KNOWN = ("candidate_id", "first_name", "last_name", "email", "phone", "location", "linkedin_url", "github_url", "skills", "languages", "experience", "education", "certifications")
@@ -25,10 +26,14 @@ LONGEST = 10_000
 
 def read_ats(spark: SparkSession, path: str) -> DataFrame:
     """Canonical records of JSON files, with error_type and error_message (null where all is well)."""
+    return from_files(read_files(spark, path))
+
+
+def from_files(files: DataFrame) -> DataFrame:
+    """The same from rows (path, length, content)."""
     kind, message = file_error((".json",))
-    files = read_files(spark, path).withColumns({"_kind": kind, "_message": message})
-    text = F.regexp_replace(F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string")), r"^\uFEFF", "")
-    parsed = from_json_text(files.select(F.col("path").alias("entity_key"), text.alias("json"), "_kind", "_message"))
+    gated = files.withColumns({"_kind": kind, "_message": message}).select(F.col("path").alias("entity_key"), json_text().alias("json"), "_kind", "_message")
+    parsed = from_json_text(gated)
     return parsed.withColumn("error_message", F.coalesce("_message", "error_message")).withColumn("error_type", F.coalesce("_kind", "error_type")).drop("_kind", "_message")
 
 
@@ -59,36 +64,80 @@ def gate(rows: DataFrame) -> DataFrame:
     return out.withColumn("unknown_fields", F.array_sort(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))).drop("_v", "_keys")
 
 
-def map_document(rows: DataFrame) -> DataFrame:
-    """Canonical columns of gated rows; constraint failures become a MappingError that names them all."""
-    d = rows.withColumn("_d", F.from_json("json", ATS_DDL))
+#: How many items a list may have.
+MOST_ITEMS = {"experiences": 200, "education": 50, "skills": 500, "certifications": 100, "languages": 50}
+MOST_OWN_SKILLS = 500
+
+
+def _types_in(field: str, parts: tuple[str, ...], kind: str) -> Column:
+    """Does an item of a list hold, under one of these names, a value that is there and not of this kind?"""
+    test = " OR ".join(f"coalesce(schema_of_variant(try_variant_get(x, '$.{p}', 'variant')), 'VOID') NOT IN ('VOID', {kind})" for p in parts)
+    return F.expr(f"exists(try_variant_get(_v, '$.{field}', 'array<variant>'), x -> {test})")
+
+
+def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
+    """Canonical columns of gated rows. A record that breaks a constraint becomes a MappingError whose message names every
+    field at fault and why; today bounds the start of an experience (the run's date if not given)."""
+    today = F.current_date() if today is None else today
+    d = rows.withColumn("_d", F.from_json("json", ATS_DDL)).withColumn("_v", F.expr("try_parse_json(json)"))
     get = lambda f: F.col(f"_d.{f}")
-    some = reduce(lambda a, b: a | b, (get(f).isNotNull() for f in ("email", "phone", "location", "linkedin_url", "github_url")))
+    some = reduce(lambda a, b: a | b, (get(f).isNotNull() for f in CONTACT_FIELDS))
     contact = F.struct(get("email").alias("email"), strip(get("phone")).alias("phone"), strip(get("location")).alias("location"), normal_url(get("linkedin_url")).alias("linkedin_url"), normal_url(get("github_url")).alias("github_url"))
     items = lambda f: F.coalesce(get(f), F.array())
     exp = F.transform(items("experience"), lambda x: F.struct(blank_to_null(x.company).alias("company"), blank_to_null(x.title).alias("title"), strict_date(x.start_date).alias("start_date"), strict_date(x.end_date).alias("end_date"), strip(x.description).alias("description"), dedup_exact(F.coalesce(x.skills, F.array())).alias("skills")))
     edu = F.transform(items("education"), lambda x: F.struct(blank_to_null(x.institution).alias("institution"), blank_to_null(x.degree).alias("degree"), strip(x.field_of_study).alias("field_of_study"), strict_date(x.start_date).alias("start_date"), strict_date(x.end_date).alias("end_date"), x.gpa.alias("gpa")))
     cert = F.transform(items("certifications"), lambda x: F.struct(blank_to_null(x["name"]).alias("name"), strip(x.issuer).alias("issuer"), strict_date(x.issued_date).alias("issued_date"), strict_date(x.expiry_date).alias("expiry_date")))
-    out = d.withColumns({"experiences": exp, "_edu": edu, "_cert": cert})
+    out = d.withColumns({"experiences": exp, "_edu": edu, "_cert": cert, "_skills": dedup_exact(items("skills")), "_languages": dedup_exact(items("languages"))})
     unread = lambda raw, name, end: F.exists(F.arrays_zip(items(raw).alias("r"), F.col(name).alias("m")), lambda z: z.r[end].isNotNull() & z.m[end].isNull())
-    tests = {
-        "contact.email": ~get("email").rlike(EMAIL), "contact.phone": strip(get("phone")) == "", "contact.location": strip(get("location")) == "",
-        "contact.linkedin_url": get("linkedin_url").isNotNull() & normal_url(get("linkedin_url")).isNull(), "contact.github_url": get("github_url").isNotNull() & normal_url(get("github_url")).isNull(),
-        "experiences": F.exists("experiences", lambda x: x.company.isNull() | x.title.isNull() | x.start_date.isNull() | F.coalesce(x.end_date < x.start_date, F.lit(False))) | unread("experience", "experiences", "end_date"),
-        "education": F.exists("_edu", lambda x: x.institution.isNull() | x.degree.isNull() | F.coalesce(~x.gpa.between(0, 4), F.lit(False)) | F.coalesce(x.end_date < x.start_date, F.lit(False))) | unread("education", "_edu", "start_date") | unread("education", "_edu", "end_date"),
-        "certifications": F.exists("_cert", lambda x: x["name"].isNull() | F.coalesce(x.expiry_date < x.issued_date, F.lit(False))) | unread("certifications", "_cert", "issued_date") | unread("certifications", "_cert", "expiry_date"),
-    }
-    wrong = F.concat_ws("; ", *(F.when(F.coalesce(t, F.lit(False)), F.lit(f"{n}: not valid")) for n, t in tests.items()))
-    fails = F.col("error_type").isNull() & (wrong != "")
+    has = lambda name, test: F.exists(name, lambda x: F.coalesce(test(x), F.lit(False)))
+    blank = lambda c: strip(c) == ""
+    text, number, dates = "'STRING'", "'BIGINT', 'DOUBLE', 'DECIMAL'", "is not a date"
+    whole = lambda f: F.coalesce(F.expr(f"schema_of_variant(try_variant_get(_v, '$.{f}', 'variant'))"), F.lit("VOID"))
+    size = lambda name, field: F.size(name) > MOST_ITEMS[field]
+    faults: list[tuple[str, Column, str]] = [("external_id", ~whole("candidate_id").isin("STRING", "VOID"), "is not a text"), ("external_id", blank(get("candidate_id")), "is blank")]
+    faults += [(f"contact.{f}", ~whole(f).isin("STRING", "VOID"), "is not a text") for f in CONTACT_FIELDS]
+    faults += [("contact.email", ~get("email").rlike(EMAIL), "is not an e-mail address"), ("contact.phone", blank(get("phone")), "is blank"), ("contact.location", blank(get("location")), "is blank")]
+    faults += [(f"contact.{f}", get(f).isNotNull() & normal_url(get(f)).isNull(), "is not an http address") for f in ("linkedin_url", "github_url")]
+    faults += [
+        ("experiences", size("experiences", "experiences"), f"has more than {MOST_ITEMS['experiences']} items"),
+        ("experiences", _types_in("experience", ("company", "title", "start_date", "end_date", "description"), text), "has a value that is not a text"),
+        ("experiences", F.exists("experiences", lambda x: x.company.isNull() | x.title.isNull()), "lacks a company or title"),
+        ("experiences", F.exists("experiences", lambda x: x.start_date.isNull()), "lacks a start date"),
+        ("experiences", unread("experience", "experiences", "end_date"), f"end_date {dates}"),
+        ("experiences", has("experiences", lambda x: x.start_date > today), "starts in the future"),
+        ("experiences", has("experiences", lambda x: x.end_date < x.start_date), "ends before it starts"),
+        ("experiences", has("experiences", lambda x: x.description == ""), "description is blank"),
+        ("experiences", has("experiences", lambda x: F.size(x.skills) > MOST_OWN_SKILLS), f"has more than {MOST_OWN_SKILLS} skills"),
+        ("education", size("_edu", "education"), f"has more than {MOST_ITEMS['education']} items"),
+        ("education", _types_in("education", ("institution", "degree", "field_of_study", "start_date", "end_date"), text) | _types_in("education", ("gpa",), number), "has a value of a wrong type"),
+        ("education", F.exists("_edu", lambda x: x.institution.isNull() | x.degree.isNull()), "lacks an institution or degree"),
+        ("education", unread("education", "_edu", "start_date") | unread("education", "_edu", "end_date"), f"start_date or end_date {dates}"),
+        ("education", has("_edu", lambda x: x.end_date < x.start_date), "ends before it starts"),
+        ("education", has("_edu", lambda x: ~x.gpa.between(0, 4)), "gpa is outside 0 to 4"),
+        ("education", has("_edu", lambda x: x.field_of_study == ""), "field_of_study is blank"),
+        ("skills", size("_skills", "skills"), f"has more than {MOST_ITEMS['skills']} items"),
+        ("certifications", size("_cert", "certifications"), f"has more than {MOST_ITEMS['certifications']} items"),
+        ("certifications", _types_in("certifications", ("name", "issuer", "issued_date", "expiry_date"), text), "has a value that is not a text"),
+        ("certifications", F.exists("_cert", lambda x: x["name"].isNull()), "lacks a name"),
+        ("certifications", unread("certifications", "_cert", "issued_date") | unread("certifications", "_cert", "expiry_date"), f"issued_date or expiry_date {dates}"),
+        ("certifications", has("_cert", lambda x: x.expiry_date < x.issued_date), "expires before it is issued"),
+        ("certifications", has("_cert", lambda x: x.issuer == ""), "issuer is blank"),
+        ("languages", size("_languages", "languages"), f"has more than {MOST_ITEMS['languages']} items"),
+    ]
+    wrong = F.concat_ws("; ", *(F.when(F.coalesce(test, F.lit(False)), F.lit(f"{field}: {why}")) for field, test, why in faults))
+    out = out.withColumn("_wrong", F.when(F.col("error_type").isNull(), wrong).otherwise(F.lit("")))
+    fails = F.col("_wrong") != ""
+    filled = lambda f: F.when(F.size(get(f)) > 0, F.to_json(get(f)))
+    raw = {"first_name": get("first_name"), "last_name": get("last_name"), "external_id": get("candidate_id"), **{c: get(c) for c in CONTACT_FIELDS}, "skills": filled("skills"), "languages": filled("languages"), "experiences": filled("experience"), "education": filled("education"), "certifications": filled("certifications")}
     others = [c for c in rows.columns if c not in ("json", "entity_key", "error_type", "error_message")]
     return out.select(
         "entity_key", F.lit("ATS").alias("source"), F.lit(0).alias("input_ord"), F.lit(None).cast("string").alias("id"), strip(get("first_name")).alias("first_name"), strip(get("last_name")).alias("last_name"),
         blank_to_null(get("candidate_id")).alias("external_id"), F.when(some, contact).alias("contact"), "experiences", F.col("_edu").alias("education"),
-        dedup_exact(items("skills")).alias("skills"), first_by(F.col("_cert"), lambda x: F.lower(x["name"])).alias("certifications"), dedup_exact(items("languages")).alias("languages"),
-        F.lit("1.0").alias("schema_version"), *others, F.when(fails, "MappingError").otherwise(F.col("error_type")).alias("error_type"), F.when(fails, wrong).otherwise(F.col("error_message")).alias("error_message"),
+        F.col("_skills").alias("skills"), first_by(F.col("_cert"), lambda x: F.lower(x["name"])).alias("certifications"), F.col("_languages").alias("languages"), provenance("ATS", raw).alias("provenance"),
+        F.lit("1.0").alias("schema_version"), *others, F.when(fails, "MappingError").otherwise(F.col("error_type")).alias("error_type"), F.when(fails, F.col("_wrong")).otherwise(F.col("error_message")).alias("error_message"),
     )
 
 
-def from_json_text(rows: DataFrame) -> DataFrame:
-    """rows have entity_key and json (null: unreadable)."""
-    return map_document(gate(rows))
+def from_json_text(rows: DataFrame, today: Column | None = None) -> DataFrame:
+    """rows have entity_key and json (null: unreadable). A byte order mark before the document is passed over."""
+    return map_document(gate(rows.withColumn("json", F.regexp_replace("json", r"^\uFEFF", ""))), today)

@@ -40,8 +40,13 @@ def docx_blocks(raw: bytes) -> list[tuple[int, str, bool]]:
 
 def read_documents(spark: SparkSession, path: str, pdf: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocks, rejects) of the .docx and .pdf files below a path; a file at a time is in memory, 5 MiB at most."""
+    return from_files(read_files(spark, path), pdf)
+
+
+def from_files(files: DataFrame, pdf: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same from rows (path, length, content). A file without any text is a reject too."""
     kind, message = file_error((".docx", ".pdf"))
-    files = read_files(spark, path).withColumns({"error_type": kind, "error_message": message})
+    files = files.withColumns({"error_type": kind, "error_message": message})
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -51,7 +56,10 @@ def read_documents(spark: SparkSession, path: str, pdf: Extractor | None = None)
                 try:
                     if read is None:
                         raise ValueError("no PDF extractor was given")
-                    rows += [(name, page, i, line, alone, None) for i, (page, line, alone) in enumerate(read(bytes(raw)))]
+                    found = read(bytes(raw))
+                    if not found:
+                        raise ValueError("too little text")
+                    rows += [(name, page, i, line, alone, None) for i, (page, line, alone) in enumerate(found)]
                 except Exception as error:  # a broken file is a reject
                     rows.append((name, None, None, None, None, str(error)))
             yield pd.DataFrame(rows, columns=["doc_id", "page_index", "ord", "text", "is_isolated", "error_message"])

@@ -14,10 +14,26 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_error(suffixes: tuple[str, ...], most: int = MOST_BYTES) -> tuple[Column, Column]:
-    """(error_type, error_message) of the first check that a file fails: its suffix, then its size."""
+    """(error_type, error_message) of the first check that a file fails: its suffix, then its size. That a path is there,
+    a file, and readable is checked by `missing_paths` and by Spark's reader."""
     known = F.lower("path").rlike(r"(%s)$" % "|".join(s.replace(".", r"\.") for s in suffixes))
     kind = F.when(~known | (F.col("length") > most), F.lit("FileReadError"))
-    return kind, F.when(~known, F.lit(f"expected one of {', '.join(suffixes)}")).when(F.col("length") > most, F.concat(F.lit("larger than "), F.lit(str(most)), F.lit(" bytes")))
+    return kind, F.when(~known, F.concat(F.lit("unsupported file extension: "), F.coalesce(F.nullif(F.regexp_extract("path", r"(\.[^./]+)$", 1), F.lit("")), F.lit("(none)")), F.lit(f"; expected one of {', '.join(suffixes)}"))).when(F.col("length") > most, F.lit(f"larger than {most} bytes"))
+
+
+def missing_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, error_type, error_message) of those paths or patterns that lead to nothing."""
+    gone = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+            gone.append((path, "FileNotFoundError", f"file not found: {path}"))
+    return spark.createDataFrame(gone, "path string, error_type string, error_message string")
+
+
+def json_text() -> Column:
+    """The content of a JSON file as text: null if it isn't UTF-8, a byte order mark taken off."""
+    return F.regexp_replace(F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string")), r"^\uFEFF", "")
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

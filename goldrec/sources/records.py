@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldrec.schema import CANDIDATE_DDL
+from goldrec.schema import CANDIDATE_DDL, PROVENANCE
 
-KNOWN = ("id", "first_name", "last_name", "external_id", "contact", "experiences", "education", "skills", "certifications", "languages", "confidence", "provenance", "schema_version", "entity_key", "source", "input_ord")
+KNOWN = ("id", "first_name", "last_name", "external_id", "contact", "experiences", "education", "skills", "certifications", "languages", "confidence", "provenance", "schema_version", "entity_key", "source", "input_ord", "merge_report", "considered")
+
+
+#: What a record that has been merged or scored holds beside its fields.
+MORE_DDL = """confidence STRUCT<score:DOUBLE,fields:MAP<STRING,STRUCT<score:DOUBLE,source:STRING>>>, considered ARRAY<STRING>,
+ merge_report ARRAY<STRUCT<field:STRING,strategy:STRING,conflict:BOOLEAN,contributing:ARRAY<STRING>,chosen:STRING,provenance:ARRAY<%s>>>""" % PROVENANCE
 
 
 def from_json_text(rows: DataFrame) -> DataFrame:
-    """Records of rows (entity_key, json): the record itself or its envelope {"candidate": ...}; unknown keys reject."""
+    """Records of rows (entity_key, json): the record itself or its envelope {"candidate": ...}; unknown keys reject.
+    provenance may be a list of entries or a map from the field."""
     body = F.coalesce(F.get_json_object("json", "$.candidate"), F.col("json"))
     extra = F.array_except(F.expr("json_object_keys(_body)"), F.array(*map(F.lit, KNOWN)))
-    ddl = ", ".join((CANDIDATE_DDL.replace("\n", " "), "confidence STRUCT<score:DOUBLE,fields:MAP<STRING,STRUCT<score:DOUBLE,source:STRING>>>"))
+    ddl = ", ".join((CANDIDATE_DDL, MORE_DDL)).replace("\n", " ")
+    mapped = F.from_json(F.get_json_object("_body", "$.provenance"), f"MAP<STRING,{PROVENANCE.replace('field:string,', '')}>")
+    named = F.transform(F.map_entries(mapped), lambda e: F.struct(e.key.alias("field"), e.value.source.alias("source"), e.value.raw_value.alias("raw_value"), e.value.extracted_at.alias("extracted_at")))
     read = rows.withColumn("_body", body).withColumn("_r", F.from_json("_body", ddl))
+    given = F.when(F.get_json_object("_body", "$.provenance").startswith("{"), named).otherwise(F.col("_r.provenance")).cast(f"array<{PROVENANCE}>")
     wrong = F.col("_r").isNull() | extra.isNull() | (F.size(extra) > 0) | F.col("_r.first_name").isNull() | F.col("_r.last_name").isNull()
-    return read.select(F.coalesce("_r.entity_key", "entity_key").alias("entity_key"), *(F.col(f"_r.{c}") for c in KNOWN if c not in ("entity_key", "provenance")), F.when(wrong, F.lit("SchemaValidationError")).alias("error_type"))
+    why = F.when(extra.isNull() | F.col("_r").isNull(), "not a JSON record").when(F.size(extra) > 0, F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))).otherwise("first_name or last_name is missing")
+    kept = [F.col(f"_r.{c}") for c in KNOWN if c not in ("entity_key", "provenance")]
+    return read.select(F.coalesce("_r.entity_key", "entity_key").alias("entity_key"), *kept, given.alias("provenance"), F.when(wrong, F.lit("SchemaValidationError")).alias("error_type"), F.when(wrong, why).alias("error_message"))
 
 
 def to_json_text(records: DataFrame, nulls: bool = True) -> DataFrame:

@@ -10,10 +10,11 @@ from goldrec.sources.ats import from_json_text, read_ats
 from goldrec.sources.documents import read_documents
 from goldrec.streaming.ingest import stream_ats
 
-NAME = {"first_name": "Alice", "last_name": "Smith"}
+NAME = {"first_name": "Orla", "last_name": "Byrne"}
+JOB = {"company": "Quay Ltd", "title": "Welder", "start_date": "2020-01-01"}
 CASES = [
     (NAME, None),
-    (NAME | {"candidate_id": "A-1", "email": "a@x.com", "skills": ["Go", "Go "], "experience": [{"company": "Acme", "title": "Eng", "start_date": "2020-01-01"}], "certifications": [{"name": "X"}, {"name": "x"}]}, None),
+    (NAME | {"candidate_id": "Q-17", "email": "o@h.test", "skills": ["Go", "Go "], "experience": [JOB], "certifications": [{"name": "X"}, {"name": "x"}]}, None),
     (NAME | {"skills": None, "extra": 1}, None),
     ({"first_name": "A"}, "SchemaValidationError"),
     (NAME | {"last_name": None}, "SchemaValidationError"),
@@ -26,10 +27,32 @@ CASES = [
     ([NAME], "SchemaValidationError"),
     (NAME | {"email": "nope"}, "MappingError"),
     (NAME | {"linkedin_url": "nope"}, "MappingError"),
-    (NAME | {"experience": [{"company": "Acme", "title": "Eng", "start_date": "soon"}]}, "MappingError"),
-    (NAME | {"experience": [{"company": "Acme", "start_date": "2020-01-01"}]}, "MappingError"),
+    (NAME | {"experience": [JOB | {"start_date": "soon"}]}, "MappingError"),
+    (NAME | {"experience": [{"company": "Quay Ltd", "start_date": "2020-01-01"}]}, "MappingError"),
     (NAME | {"education": [{"institution": "M", "degree": "B", "gpa": 5}]}, "MappingError"),
-    ('{"first_name": Alice}', "InvalidJSONError"),
+    (NAME | {"experience": [JOB | {"start_date": "2999-01-01"}]}, "MappingError"),
+    (NAME | {"experience": [JOB | {"company": 5}]}, "MappingError"),
+    (NAME | {"experience": [JOB | {"description": " "}]}, "MappingError"),
+    (NAME | {"experience": [JOB | {"title": " "}]}, "MappingError"),
+    (NAME | {"experience": [JOB] * 201}, "MappingError"),
+    (NAME | {"experience": [JOB] * 200}, None),
+    (NAME | {"experience": [JOB | {"skills": [f"s{i}" for i in range(501)]}]}, "MappingError"),
+    (NAME | {"skills": [f"s{i}" for i in range(501)]}, "MappingError"),
+    (NAME | {"skills": ["s"] * 600}, None),
+    (NAME | {"languages": [f"s{i}" for i in range(51)]}, "MappingError"),
+    (NAME | {"education": [{"institution": "M", "degree": "B"}] * 51}, "MappingError"),
+    (NAME | {"education": [{"institution": "M", "degree": 3}]}, "MappingError"),
+    (NAME | {"education": [{"institution": "M", "degree": "B", "field_of_study": ""}]}, "MappingError"),
+    (NAME | {"education": [{"institution": "M", "degree": "B", "gpa": 4, "start_date": None}]}, None),
+    (NAME | {"certifications": [{"name": f"n{i}"} for i in range(101)]}, "MappingError"),
+    (NAME | {"certifications": [{"issuer": "x"}]}, "MappingError"),
+    (NAME | {"certifications": [{"name": "n", "issuer": " "}]}, "MappingError"),
+    (NAME | {"phone": 5}, "MappingError"),
+    (NAME | {"phone": " "}, "MappingError"),
+    (NAME | {"candidate_id": 7}, "MappingError"),
+    (NAME | {"candidate_id": " "}, "MappingError"),
+    ('\ufeff{"first_name": "Orla", "last_name": "Byrne"}', None),
+    ('{"first_name": Orla}', "InvalidJSONError"),
     ('{"a": }', "InvalidJSONError"),
     (None, "InvalidJSONError"),
 ]
@@ -39,7 +62,14 @@ def test_gate(spark):
     rows = [(str(i), c if isinstance(c, str) or c is None else json.dumps(c)) for i, (c, _) in enumerate(CASES)]
     got = {int(r["entity_key"]): r for r in from_json_text(spark.createDataFrame(rows, "entity_key string, json string")).collect()}
     assert [got[i]["error_type"] for i in range(len(CASES))] == [want for _, want in CASES]
-    assert got[1]["skills"] == ["Go"] and len(got[1]["certifications"]) == 1 and got[1]["contact"]["email"] == "a@x.com"
+    assert got[1]["skills"] == ["Go"] and len(got[1]["certifications"]) == 1 and got[1]["contact"]["email"] == "o@h.test"
+    at = {json.dumps(c): got[i]["error_message"] for i, (c, _) in enumerate(CASES)}
+    assert at[json.dumps(NAME | {"experience": [JOB | {"start_date": "2999-01-01"}]})] == "experiences: starts in the future"
+    assert at[json.dumps(NAME | {"candidate_id": 7})] == "external_id: is not a text"
+    both = from_json_text(spark.createDataFrame([("k", json.dumps(NAME | {"email": "nope", "phone": " "}))], "entity_key string, json string")).first()
+    assert both["error_message"] == "contact.email: is not an e-mail address; contact.phone: is blank"
+    assert [(p["field"], p["source"], p["raw_value"]) for p in got[1]["provenance"]][:4] == [("first_name", "ATS", "Orla"), ("last_name", "ATS", "Byrne"), ("external_id", "ATS", "Q-17"), ("email", "ATS", "o@h.test")]
+    assert [p["field"] for p in got[1]["provenance"]][4:] == ["skills", "experiences", "certifications"] and [p["field"] for p in got[2]["provenance"]] == ["first_name", "last_name"]
     assert got[2]["unknown_fields"] == ["extra"] and got[0]["contact"] is None
 
 
@@ -56,21 +86,25 @@ def test_files(spark, tmp_path):
 def docx(tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, props="": f"<w:p>{props}<w:r><w:t>{t}</w:t></w:r></w:p>"
-    body = p("Jane Doe") + p("Python", "<w:pPr><w:numPr/></w:pPr>") + f"<w:tbl><w:tr><w:tc>{p('cell')}</w:tc></w:tr></w:tbl>"
+    body = p("Orla Byrne") + p("Rust", "<w:pPr><w:numPr/></w:pPr>") + f"<w:tbl><w:tr><w:tc>{p('cell')}</w:tc></w:tr></w:tbl>"
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
         z.writestr("word/header1.xml", f"<w:hdr {w}>{p('top')}</w:hdr>")
     (tmp_path / "cv.docx").write_bytes(raw.getvalue())
     (tmp_path / "broken.docx").write_bytes(b"x")
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body></w:body></w:document>")
+    (tmp_path / "empty.docx").write_bytes(raw.getvalue())
     (tmp_path / "cv.pdf").write_bytes(b"x")
     return tmp_path
 
 
 def test_documents(spark, docx):
     blocks, rejects = read_documents(spark, str(docx))
-    assert [(r["text"], r["is_isolated"]) for r in blocks.orderBy("ord").collect()] == [("Jane Doe", True), ("• Python", True), ("cell", False), ("top", False)]
-    assert sorted(r["doc_id"].rsplit("/", 1)[1] for r in rejects.collect()) == ["broken.docx", "cv.pdf"]
+    assert [(r["text"], r["is_isolated"]) for r in blocks.orderBy("ord").collect()] == [("Orla Byrne", True), ("• Rust", True), ("cell", False), ("top", False)]
+    assert sorted(r["doc_id"].rsplit("/", 1)[1] for r in rejects.collect()) == ["broken.docx", "cv.pdf", "empty.docx"]
 
 
 def test_reload(spark):
@@ -85,15 +119,58 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps(NAME))
     (tmp_path / "in/b.json").write_text("{")
+    (tmp_path / "in/marked.json").write_bytes(b"\xef\xbb\xbf" + json.dumps(NAME).encode())
+    (tmp_path / "in/notes.txt").write_text(json.dumps(NAME))
     run = lambda: stream_ats(spark, f"{tmp_path}/in", f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/cp").awaitTermination()
     run()
     (tmp_path / "in/c.json").write_text(json.dumps(NAME))
     run()
     run()
-    assert spark.read.parquet(f"{tmp_path}/good").count() == 2 and spark.read.parquet(f"{tmp_path}/bad").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/good").count() == 3
+    bad = {r["entity_key"].rsplit("/", 1)[1]: r["error_type"] for r in spark.read.parquet(f"{tmp_path}/bad").collect()}
+    assert bad == {"b.json": "InvalidJSONError", "notes.txt": "FileReadError"}
 
 
 def test_parse(spark):
     rows = spark.createDataFrame([("a", json.dumps(NAME | {"phone": "4155552671"}))], "entity_key string, json string")
     row = parse(from_json_text(rows)).first()
     assert row["success"] and row["exit_code"] == 0 and row["contact"]["phone"] == "+14155552671"
+
+
+def test_command_line(spark, docx, capsys):
+    from goldrec import cli
+
+    (docx / "orla_ats.json").write_text(json.dumps(NAME | {"email": "o@h.test", "skills": ["js"]}))
+    (docx / "bad.json").write_text("{")
+    (docx / "rules.yaml").write_text('version: "1.0"\nfields:\n  first_name: {output: f}\n  contact.fax: {output: x}\n')
+
+    def run(*args):
+        code = cli.main([str(a) for a in args])
+        out = capsys.readouterr()
+        return code, [json.loads(line) for line in out.out.splitlines()], out.err
+
+    code, rows, told = run("parse", docx / "orla_ats.json")
+    assert code == 0 and rows[0]["skills"] == ["JavaScript"] and not told
+    code, rows, told = run("parse", docx / "bad.json")
+    assert code == 1 and not rows and "not valid JSON" in told
+    code, rows, told = run("parse", docx / "missing.json")
+    assert code == 1 and "No such file" in told
+    code, rows, told = run("parse", docx / "rules.yaml")
+    assert code == 1 and "no known format" in told
+    code, rows, told = run("transform", docx, "--format", "assignment")  # a folder of both kinds
+    names = {r["full_name"] for r in rows}
+    assert code == 1 and names == {"Orla Byrne"} and "broken.docx" in told and "cv.pdf" in told and "empty.docx" in told
+    code, rows, told = run("transform", docx / "orla_ats.json", "--rules", docx / "rules.yaml")
+    assert code == 0 and rows[0]["json"] == '{"f":"Orla"}'
+    code, rows, told = run("project", docx / "orla_ats.json", "--format", "odd")
+    assert code == 1 and "odd" in told
+    code, rows, told = run("transform", docx / "orla_ats.json", "--policy", docx / "none.yaml")
+    assert code == 1 and "configuration" in told
+    code, rows, told = run("merge", docx / "orla_ats.json", "--region", "GB", "-o", docx / "out")
+    assert code == 0 and not rows and (docx / "out").exists()
+    record = {"first_name": "Orla", "last_name": "Byrne", "id": "not an id", "schema_version": "1.0", "source": "ATS"}
+    (docx / "orla.record.json").write_text(json.dumps(record))
+    code, rows, told = run("validate", docx / "orla.record.json")
+    assert code == 1 and rows[0]["is_valid"] is False and rows[0]["issues"]
+    code, rows, told = run("project", docx / "orla.record.json")
+    assert code == 0 and rows[0]["first_name"] == "Orla"
