@@ -69,9 +69,9 @@ MOST_ITEMS = {"experiences": 200, "education": 50, "skills": 500, "certification
 MOST_OWN_SKILLS = 500
 
 
-def _types_in(field: str, parts: tuple[str, ...], kind: str) -> Column:
-    """Does an item of a list hold, under one of these names, a value that is there and not of this kind?"""
-    test = " OR ".join(f"coalesce(schema_of_variant(try_variant_get(x, '$.{p}', 'variant')), 'VOID') NOT IN ('VOID', {kind})" for p in parts)
+def _types_in(field: str, parts: tuple[str, ...], kinds: str) -> Column:
+    """Does an item of a list hold, under one of these names, a value that is there and of none of these kinds?"""
+    test = " OR ".join(f"NOT coalesce(schema_of_variant(try_variant_get(x, '$.{p}', 'variant')), 'VOID') RLIKE '^(VOID|{kinds})'" for p in parts)
     return F.expr(f"exists(try_variant_get(_v, '$.{field}', 'array<variant>'), x -> {test})")
 
 
@@ -91,7 +91,7 @@ def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
     unread = lambda raw, name, end: F.exists(F.arrays_zip(items(raw).alias("r"), F.col(name).alias("m")), lambda z: z.r[end].isNotNull() & z.m[end].isNull())
     has = lambda name, test: F.exists(name, lambda x: F.coalesce(test(x), F.lit(False)))
     blank = lambda c: strip(c) == ""
-    text, number, dates = "'STRING'", "'BIGINT', 'DOUBLE', 'DECIMAL'", "is not a date"
+    text, number, dates = "STRING", "BIGINT|DOUBLE|DECIMAL", "is not a date"
     whole = lambda f: F.coalesce(F.expr(f"schema_of_variant(try_variant_get(_v, '$.{f}', 'variant'))"), F.lit("VOID"))
     size = lambda name, field: F.size(name) > MOST_ITEMS[field]
     faults: list[tuple[str, Column, str]] = [("external_id", ~whole("candidate_id").isin("STRING", "VOID"), "is not a text"), ("external_id", blank(get("candidate_id")), "is blank")]
