@@ -2,7 +2,7 @@
 can be trusted, and the posterior labels train a hashed linear scorer, which decides.
 
 1. One pass measures, per document, what eight labellers look at; each votes (junk or clean, its own) or abstains. The
-   votes form a pattern; patterns (at most 2**8) are counted over all documents.
+   votes form a pattern; patterns (at most 2**8) are counted over all different texts.
 2. EM over the pattern counts estimates the share of junk and how often each labeller is right.
 3. Features are shares of hashed word shapes: runs of capitals, other letters and digits as one mark each, other bytes
    as they are, and whether a word repeats the one before. A logistic model over them is fitted to the posteriors of a
@@ -169,7 +169,8 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(key[first : first + len(seen.n)]), pa.array(seen.pattern()), pa.array(features, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], names=["key", "pattern", "features", "shares"])
 
     seen = materialize(texts.mapInArrow(measure, "key long, pattern long, features array<long>, shares array<double>"))
-    counts = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2**8 rows
+    different = seen.select("pattern", "key").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["pattern"]: r["n"] for r in different.collect()}  # at most 2**8 rows
     junk, _, _ = estimate(counts)
     rows = seen.where("features IS NOT NULL").dropDuplicates(["key"]).orderBy("key").collect()  # at most `sample`
     if not rows:

@@ -331,7 +331,7 @@ def test_topk_skips_most_products(spark, monkeypatch):
     for name, value in (("BLOCK", 64), ("BUCKET_LEAST", 32), ("BATCH", 8)):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(6)
-    data = [(i, [float(x) for x in rng.normal(size=8) * np.exp(1.5 * rng.normal())]) for i in range(2000)]
+    data = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * np.exp(1.5 * rng.normal())]) for i in range(2000)]
     met = []
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     real = topk.broadcast_if_small
