@@ -3,8 +3,10 @@
 Equal sets form one class, so copies are never paired. Classes are searched with forests of count-vector R-trees:
 
 1. Routing. A class enters the trees of its first n - ceil(0.8 n) + 1 shingles in an order common to all; two classes
-   that link share one of them, whatever the order. Shingles that recur within batches of documents come last in it,
-   which keeps trees small; that set only orders the shingles and can lose no link.
+   that link share one of them, whatever the order. The first that they share is among the first n - ceil(8 n / 9) + 1 of
+   the smaller one; a tree where no class is of that kind, or only larger ones are, is left out, and pairs meet only
+   where the smaller one is. Shingles that recur within batches of documents come last in the order, which keeps trees
+   small; that set only orders the shingles and can lose no link.
 2. Points. Shingles are hashed into groups, more of them for larger sets, and the groups' counts are a class's point.
    The overlap of two classes is at most the sum over coordinates of the smaller count; with the sizes this bounds the
    similarity. Points fold into fewer groups by adding counts up, so classes of any two sizes can be compared.
@@ -97,7 +99,8 @@ def fold(point: np.ndarray, groups: int) -> np.ndarray:
 
 def may_link(least: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Do rows of smaller counts, with the sums of both sizes, reach the threshold? Where both are MANY, they may."""
-    return ((100 + PERCENT) * least.sum(1, dtype=np.int64) >= PERCENT * n) | (least == MANY).any(1)
+    good = (100 + PERCENT) * least.sum(1, dtype=np.int64) >= PERCENT * n
+    return good | (least == MANY).any(1) if least.max(initial=0) == MANY else good
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +125,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, text: str) -> DataFrame:
-    """(token, node, n, rare): each class in the trees that it is routed to; rare counts its uncommon routing shingles."""
+    """(token, node, n, rare, early): each class in the trees that it is routed to; rare counts its uncommon routing
+    shingles; early: may this be the first shingle that it shares with a class of its size or more?"""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +145,14 @@ def prefixes(docs: DataFrame, common: np.ndarray, text: str) -> DataFrame:
                 order = np.lexsort((grams, late, doc))
                 grams, late = grams[order], late[order]
                 length = sizes - -(-PERCENT * sizes // 100) + 1
-                chosen = own[doc] & (np.arange(len(grams)) - at[:-1][doc] < length[doc])
+                place = np.arange(len(grams)) - at[:-1][doc]
+                chosen = own[doc] & (place < length[doc])
+                early = (place < (sizes - -(-2 * PERCENT * sizes // (100 + PERCENT)) + 1)[doc])[chosen]
                 doc = doc[chosen]
                 rare = np.bincount(doc, ~late[chosen], len(sizes)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[chosen])), pa.array(signed(nodes)[doc]), pa.array(sizes[doc].astype(np.int32)), pa.array(rare[doc])], names=["token", "node", "n", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[chosen])), pa.array(signed(nodes)[doc]), pa.array(sizes[doc].astype(np.int32)), pa.array(rare[doc]), pa.array(early)], names=["token", "node", "n", "rare", "early"])
 
-    return docs.select(text).mapInArrow(over, "token long, node long, n int, rare int")
+    return docs.select(text).mapInArrow(over, "token long, node long, n int, rare int, early boolean")
 
 
 def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -273,18 +279,24 @@ class RTree:
             high, low = np.maximum.reduceat(high, cuts), np.minimum.reduceat(low, cuts)
             self.levels.append((high, low))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """The rows whose bound reaches the threshold."""
-        at = np.arange(len(self.levels[-1][1] if self.levels else self.sizes))
-        for k in range(len(self.levels) - 1, -1, -1):
-            high, low = self.levels[k]
-            at = at[self._reach(high[at], low[at], point, size)]
-            at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            at = at[at < len(self.levels[k - 1][1] if k else self.sizes)]
-        return self.order[at[self._reach(self.points[at], self.sizes[at], point, size)]]
+    def search(self, points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) of all pairs whose bound reaches the threshold, some queries at a time."""
+        step = max(1, (1 << 16) // len(self.sizes))
+        top = len(self.levels[-1][1] if self.levels else self.sizes)
+        for first in range(0, len(sizes), step):
+            queries = np.arange(first, min(first + step, len(sizes)))
+            asked, at = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
+            for k in range(len(self.levels) - 1, -1, -1):
+                high, low = self.levels[k]
+                good = self._reach(high[at], low[at], points[asked], sizes[asked])
+                asked, at = np.repeat(asked[good], FANOUT), (at[good][:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                good = at < len(self.levels[k - 1][1] if k else self.sizes)
+                asked, at = asked[good], at[good]
+            good = self._reach(self.points[at], self.sizes[at], points[asked], sizes[asked])
+            yield asked[good], self.order[at[good]]
 
     @staticmethod
-    def _reach(high: np.ndarray, low: np.ndarray, point: np.ndarray, size: int) -> np.ndarray:
+    def _reach(high: np.ndarray, low: np.ndarray, point: np.ndarray, size: np.ndarray) -> np.ndarray:
         return may_link(np.minimum(high, point), low.astype(np.int64) + size)
 
 
@@ -306,7 +318,7 @@ def _survivors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-    node, n, comp, chunk, i, j = (frame[c].to_numpy() for c in ("node", "n", "component", "chunk", "i", "j"))
+    node, n, comp, chunk, i, j, early = (frame[c].to_numpy() for c in ("node", "n", "component", "chunk", "i", "j", "early"))
     points = frame["point"].to_numpy()
     wide = np.fromiter(map(len, points), np.int64, len(points))
     whole = {int(k): np.frombuffer(points[k], np.uint8) for k in np.flatnonzero(wide > GROUPS)}
@@ -314,25 +326,44 @@ def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
     counts[wide == GROUPS] = np.frombuffer(b"".join(points[wide == GROUPS]), np.uint8).reshape(-1, GROUPS)
     for k, point in whole.items():
         counts[k] = fold(point, GROUPS)
+    levels, groups = {}, 2 * GROUPS
+    while whole and groups <= wide.max():
+        rows = np.flatnonzero(wide >= groups)
+        row = np.zeros(len(points), np.int64)
+        row[rows] = np.arange(len(rows))
+        levels[groups] = row, np.stack([fold(whole[int(k)], groups) for k in rows])
+        groups *= 2
+
+    def first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """May this be the first tree that both share?"""
+        return np.where(n[x] < n[y], early[x], np.where(n[x] > n[y], early[y], early[x] | early[y]))
 
     def reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Does the bound of the whole points reach the threshold, given that that of the folded ones does?"""
-        groups = np.minimum(wide[x], wide[y])
-        good = groups == GROUPS
-        for k in np.flatnonzero(~good):
-            least = np.minimum(fold(whole[x[k]], groups[k]), fold(whole[y[k]], groups[k]))
-            good[k] = may_link(least[None], n[x[k], None].astype(np.int64) + n[y[k]])[0]
+        """Does the bound reach the threshold at every finer grouping that both points have?"""
+        good = np.ones(len(x), bool)
+        for groups, (row, finer) in levels.items():
+            some = np.flatnonzero(good & (wide[x] >= groups) & (wide[y] >= groups))
+            for low in range(0, len(some), (1 << 21) // groups + 1):
+                k = some[low : low + (1 << 21) // groups + 1]
+                good[k] = may_link(np.minimum(finer[row[x[k]]], finer[row[y[k]]]), n[x[k]].astype(np.int64) + n[y[k]])
         return good
 
     sizes = np.diff(cuts)
     group = np.repeat(np.arange(len(sizes)), sizes)
     root = np.arange(len(frame))
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> None:
+        met = (comp[x] != comp[y]) & (chunk[y] == j[x]) & first(x, y)
+        x, y = x[met], y[met]
+        met = reach(x, y)
+        _join(root, x[met], y[met])
+
     # Trees of one node, many at a time: their entries are scanned.
     for step in range(1, FANOUT):
         x = np.flatnonzero((group[step:] == group[:-step]) & (sizes[group[step:]] <= FANOUT))
         y = x + step
         met = (comp[x] != comp[y]) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
-        met &= 100 * np.minimum(n[x], n[y]).astype(np.int64) >= PERCENT * np.maximum(n[x], n[y])
+        met &= (100 * np.minimum(n[x], n[y]).astype(np.int64) >= PERCENT * np.maximum(n[x], n[y])) & first(x, y)
         x, y = x[met], y[met]
         for low in range(0, len(x), 1 << 14):
             u, v = x[low : low + (1 << 14)], y[low : low + (1 << 14)]
@@ -344,15 +375,9 @@ def _groups(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
         low, high = cuts[k], cuts[k + 1]
         if (comp[low:high] == comp[low]).all():
             continue
-        tree = RTree(counts[low:high], n[low:high])
-        for q in range(low, high):
-            if chunk[q] != i[q]:  # in a cell of two blocks, the first asks the second
-                continue
-            hit = low + tree.search(counts[q], int(n[q]))
-            hit = hit[(comp[hit] != comp[q]) & (chunk[hit] == j[q])]
-            hit = hit[reach(np.full(len(hit), q), hit)]
-            if len(hit):
-                _join(root, np.full(len(hit), q), hit)
+        own = low + np.flatnonzero(chunk[low:high] == i[low:high])  # in a cell of two blocks, the first asks the second
+        for asked, row in RTree(counts[low:high], n[low:high]).search(counts[own], n[own]):
+            pairs(own[asked], low + row)
     while (root != root[root]).any():
         root = root[root]
     alive = root != np.arange(len(root))
@@ -386,8 +411,9 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     common = np.sort(np.array([r[0] for r in counted.where(F.col("n") >= least).select("node").collect()], np.int64).view(np.uint64))  # at most COMMON_MOST
 
     routed = materialize(prefixes(slim, common, "text"))
-    several = materialize(routed.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("token"))
-    met = materialize(routed.join(several, "token").distinct())
+    several = routed.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.min(F.when(F.col("early"), F.col("n"))).alias("_least"))
+    several = materialize(several.where("_lo <> _hi AND _least IS NOT NULL").select("token", "_least"))
+    met = materialize(routed.join(several, "token").where("early OR n >= _least").drop("_least").distinct())
     release(routed)
     classes = materialize(documents.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("text_hash", "doc_id").alias("text_hash")))
     asked = classes.join(met.select("node").distinct(), "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
@@ -406,8 +432,8 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         """rows with the component of their class; one of its own until stars have found another."""
         return rows.withColumn("component", own) if links else rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", own))
 
-    placings = materialize(placed(met.select("token", "node", "n")))
-    members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"_s{k}") for k in (0, 1)]
+    placings = materialize(placed(met.select("token", "node", "n", "early")))
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "node", "early")).alias(f"_s{k}") for k in (0, 1)]
     trees = placings.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows"), *members).where("_lo <> _hi")
     trees = materialize(trees.groupBy("_rows", "_s0", "_s1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("_rows") / BLOCK).alias("_blocks")))
     cells = _grid(placings.join(trees, "token")).join(known.select("node", "point"), "node")

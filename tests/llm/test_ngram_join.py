@@ -128,4 +128,4 @@ def test_tree_finds_all_above_the_bound():
     tree = ngram_join.RTree(points, sizes)
     for q in range(0, 700, 13):
         want = np.flatnonzero(180 * np.minimum(points, points[q]).sum(1, dtype=np.int64) >= 80 * (sizes + sizes[q]))
-        assert sorted(tree.search(points[q], int(sizes[q]))) == want.tolist()
+        assert sorted(row for _, rows in tree.search(points[q : q + 1], sizes[q : q + 1]) for row in rows) == want.tolist()
