@@ -4,9 +4,10 @@
    out again by weight). A source is dealt by hash into blocks of whole documents, in an order permuted by a keyed hash.
 2. A target of k whole passes and a rest draws every block k times, and the first blocks of the permuted order once
    more, until the rest is reached; where it is reached, one document is cut to the missing words.
-3. The sources' draw counts are exact quotas. A binary tree over the output shards divides them: at each node the left
-   half's quotas are drawn from a multivariate hypergeometric distribution, seeded by the node, and the right half
-   gets the others. A leaf (a shard) holds, of every source, one range of draws, so that shards draw disjoint blocks.
+3. The sources' draw counts are exact quotas. A binary tree over the output shards divides them, summed over groups of
+   sources (at most GROUPS): at each node the left half's quotas are drawn from a multivariate hypergeometric
+   distribution, seeded by the node, and the right half gets the others. Inside a group, its sources' quotas are drawn
+   from the same distribution, shard by shard. A leaf (a shard) holds, of every source, one range of draws, so that shards draw disjoint blocks.
 4. A shard's rows are put in order by a keyed hash: a local shuffle.
 
 A null source is a source, the last; a null text has no words and is never drawn for them but follows its block.
@@ -19,41 +20,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldrec.llm.common import WORD, broadcast_if_small, key_of, materialize
+from goldrec.llm.common import WORD, broadcast_if_small, fresh, key_of, materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words and documents of a block, and blocks that even a small source has.
 BLOCK_WORDS, BLOCK_DOCS, BLOCKS = 65_536, 512, 64
-#: Draws of an output shard.
-SHARD_DRAWS = 32
+#: Draws of an output shard; groups of sources.
+SHARD_DRAWS, GROUPS = 32, 256
 #: Columns that mix and copies add; a kept column of such a name comes out as kept_ and its name.
 OWN = {"size", "source_size", "target", "taken", "shards", "shard", "words", "_pass"}
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place (from 0) in an order over all rows: ranges of it, the rows before each range, places inside."""
+    part, before = fresh(rows, "part", "before")
+    ranged = materialize(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(name)).select(part, F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(before))  # a row a range
+    inside = Window.partitionBy(part).orderBy(*order)
+    return ranged.join(F.broadcast(counts), part).withColumn(name, F.col(before) + F.row_number().over(inside) - 1).drop(part, before)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
     """Adds weight, target and the pass counts to a table (source, source_size, docs), one row a source.
 
-    Sources are ordered by code point, null last; weights repeat. Sources that would exceed `most` times their size
-    get just that, found at once from running sums in order of size over weight: the level of the others is the first
-    at which no further source is above its cap.
+    Sources are ordered by code point, null last; weights repeat. A level times its weight is a source's target, unless
+    that exceeds `most` times its size, which it then gets; what is cut raises the level of the others, in rounds, until
+    no further source is cut. Each round is a sum over the sources, however many there are.
     """
-    every = Window.partitionBy(F.lit(0))
-    order = every.orderBy(F.col("source").isNull(), "source")
-    by_cap = every.orderBy(F.col("_cap") / F.col("weight"), F.col("source").isNull(), "source")
-    upto, rest = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
+    placed = numbered(sizes, [F.col("source").isNull(), F.col("source")], "_place")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("_place") % len(weights) + 1).cast("int"))
+    known = materialize(placed.withColumn("weight", weight).withColumn("_cap", F.lit(float(most)) * F.col("source_size")).drop("_place"))
+    total = (known.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, before = 0.0, None
+    while level != before:
+        cut = F.col("_cap") < F.lit(level) * F.col("weight")
+        row = known.agg(F.sum(F.when(cut, F.col("_cap"))).alias("capped"), F.sum(F.when(~cut, F.col("weight"))).alias("free")).first()
+        level, before = max(level, (total - (row["capped"] or 0.0)) / row["free"]) if row["free"] else float(2**60), level
     return (
-        sizes.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.row_number().over(order) - 1) % len(weights) + 1))
-        .withColumn("_cap", F.lit(float(most)) * F.col("source_size"))
-        .withColumn("_level", (F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("_cap").over(upto), F.lit(0.0))) / F.sum("weight").over(rest))
-        .withColumn("_level", F.max(F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.col("_level"))).over(every))
-        .withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap"))))
+        known.withColumn("target", F.least(F.col("_cap"), F.lit(level) * F.col("weight")))
         .withColumn("_passes", F.when(F.col("source_size") > 0, F.expr("bigint(round(target)) div source_size")).otherwise(F.lit(0)))
         .withColumn("_rest", F.when(F.col("source_size") > 0, F.expr("bigint(round(target)) % source_size")).otherwise(F.lit(0)))
-        .drop("_cap", "_level")
+        .drop("_cap")
     )
 
 
@@ -94,26 +106,32 @@ def _block_plan(docs: DataFrame, seed: int, per_shard: int) -> DataFrame:
         .withColumn("_copies", F.col("_passes") + F.when(F.col("_rest") > 0, 1).otherwise(0))
         .select("_source", "_block", "_passes", "_rest", "_copies", "_place")
     )
-    quotas = materialize(ordered.groupBy("_source").agg(F.sum("_copies").alias("_quota"), F.count(F.lit(1)).alias("_n")).where("_quota > 0"))
-    pairs = [(r["_source"], r["_quota"]) for r in quotas.orderBy("_source").collect()]  # a row a source
-    shards = max(1, -(-sum(q for _, q in pairs) // per_shard))
+    quotas = materialize(ordered.groupBy("_source").agg(F.sum("_copies").alias("_quota"), F.count(F.lit(1)).alias("_n")).where("_quota > 0").withColumn("_group", F.pmod(F.xxhash64("_source"), F.lit(GROUPS))))
+    totals = sorted((r["_group"], r["q"]) for r in quotas.groupBy("_group").agg(F.sum("_quota").alias("q")).collect())  # at most GROUPS rows
+    shards = max(1, -(-sum(q for _, q in totals) // per_shard))
     tops = min(shards, 64)
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = dict(split_quotas(seed, [q for _, q in totals], tops))
         for top in (t for frame in frames for t in frame["id"]):
-            starts, rows = np.zeros(len(pairs), np.int64), []
-            for first, share in split_quotas(seed, [q for _, q in pairs], tops):
-                if first == top:
-                    low, high = top * shards // tops, (top + 1) * shards // tops
-                    for leaf, own in split_quotas(seed + 1 + top, share, high - low):
-                        rows += [(name, low + leaf, int(s), q) for (name, _), s, q in zip(pairs, starts, own) if q]
-                        starts = starts + own
-                    break
-                starts = starts + share
-            yield pd.DataFrame(rows, columns=["_source", "shard", "_start", "_quota"]).astype("int64")
-
-    # Each of the tree's upper leaves grows its own branch in a task of its own.
-    tree = docs.sparkSession.range(tops, numPartitions=tops).mapInPandas(leaves, "_source long, shard long, _start long, _quota long")
+            low, high = top * shards // tops, (top + 1) * shards // tops
+            rows = [(group, low + leaf, q) for leaf, own in split_quotas(seed + 1 + top, upper[top], high - low) for (group, _), q in zip(totals, own) if q]
+            yield pd.DataFrame(rows, columns=["_group", "shard", "_quota"]).astype("int64")
+
+    def inside_group(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        """A group's draws of each shard, dealt to its sources; of every source one range of its draws a shard."""
+        own, given = own.sort_values("_source"), given.sort_values("shard")
+        names, left, rows = own["_source"].to_numpy(), own["_quota"].to_numpy().copy(), []
+        starts, rng = np.zeros(len(names), np.int64), np.random.default_rng([seed, int(own["_group"].iloc[0])])
+        for shard, n in zip(given["shard"], given["_quota"]):
+            take = rng.multivariate_hypergeometric(left, n, method="marginals") if len(left) > 1 else np.array([n])
+            rows += [(names[k], shard, starts[k], take[k]) for k in np.flatnonzero(take)]
+            left, starts = left - take, starts + take
+        return pd.DataFrame(rows, columns=["_source", "shard", "_start", "_quota"]).astype("int64")
+
+    # Each of the tree's upper leaves grows its own branch in a task of its own; so does each group of sources.
+    of_groups = docs.sparkSession.range(tops, numPartitions=tops).mapInPandas(leaves, "_group long, shard long, _quota long")
+    tree = quotas.groupBy("_group").cogroup(of_groups.groupBy("_group")).applyInPandas(inside_group, "_source long, shard long, _start long, _quota long")
     places = tree.select("_source", "shard", F.explode(F.expr("sequence(_start, _start + _quota - 1)")).alias("_draw"))
     drawn = ordered.where("_copies > 0")
     draws = (

@@ -79,6 +79,20 @@ def test_splitting_tree_is_exact():
     assert max(map(sum, leaves.values())) - min(map(sum, leaves.values())) <= 1
 
 
+def test_mix_many_sources(spark):
+    """More sources than groups: targets by brute force, quotas shared out whole."""
+    rows = spark.createDataFrame([(i, " ".join(["w"] * (1 + i * 7 % 11)), f"host{i % 700:03d}") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(rows, keep=("text",)).collect()
+    sizes, taken, source = collections.Counter(), collections.Counter(), {r["doc_id"]: r["source"] for r in rows.collect()}
+    for r in got:
+        sizes[source[r["doc_id"]]] += r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert len(r["shards"]) * r["size"] >= r["taken"]
+    want = brute_targets(sizes)
+    assert all(r["target"] == pytest.approx(want[source[r["doc_id"]]]) for r in got) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(rows, keep=("text",)).collect()))
+
+
 def test_mix_empty(nothing):
     assert mixing.mix(nothing).collect() == []
 
