@@ -2,7 +2,8 @@
 tiles with difference hashes.
 
 All of it runs batch by batch inside tasks; nothing is shuffled. Undecodable or null bytes give a row with null
-height, width, tile and hash (`decode_media`); a text is stored as a grey image 64 samples wide (`store_texts`).
+height, width, tile and hash (`decode_media`); a text is stored as a grey image 64 samples wide (`store_texts`). Columns that
+aren't named in `keep` are left out; one that is named like an output comes out as kept_ and its name.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldrec.llm.common import aside, fresh
+
 #: Width of a stored text; payloads are padded with bytes 0 to a positive multiple of it.
 WIDTH = 64
 #: A difference hash compares neighbours in a grid of this many rows and one column more.
@@ -154,7 +157,7 @@ def decode_media(files: DataFrame, content: str = "content", keep: tuple[str, ..
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.string())], names=[*batch.schema.names[1:], "height", "width", "tile", "dhash"])
 
-    kept = files.select(F.col(content).alias("_content"), *keep)
+    kept = aside(files.select(F.col(content).alias(fresh(files, "_content")[0]), *keep), "height", "width", "tile", "dhash")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
     return kept.mapInArrow(over, f"{schema}height int, width int, tile binary, dhash string")
 
@@ -186,6 +189,6 @@ def store_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             cols = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[*batch.schema.names[1:], *names])
 
-    kept = docs.select(F.col(text).alias("_text"), *keep)
+    kept = aside(docs.select(F.col(text).alias(fresh(docs, "_text")[0]), *keep), *names)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
     return kept.mapInArrow(over, f"{schema}n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tile binary" * with_tile)

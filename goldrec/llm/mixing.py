@@ -10,6 +10,7 @@
    from the same distribution, shard by shard. A leaf (a shard) holds, of every source, one range of draws, so that shards draw disjoint blocks.
 4. A shard's rows are put in order by a keyed hash: a local shuffle.
 
+A kept column that is named like an added one comes out as kept_ and its name (or in one struct, with `packed`).
 A null source is a source, the last; a null text has no words and is never drawn for them but follows its block.
 Repeated rows are drawn alike. An empty table gives an empty mix. Reruns agree: all randomness is keyed by `seed`.
 """

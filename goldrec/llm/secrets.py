@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from goldrec.llm.common import aside, fresh
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -90,7 +92,8 @@ def scan(text: str, keywords) -> list[tuple[str, int, int]]:
 def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the `keep` columns, counts of the base kinds, base spans and all spans as kind:start:end.
 
-    Narrow: no shuffle; a task works batch by batch. A column of `docs` named like an output is left out by `keep`.
+    Narrow: no shuffle; a task works batch by batch. A column in `keep` that is named like
+    an output comes out as kept_ and its name.
     """
     import pyspark.sql.functions as F
 
@@ -106,7 +109,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.string()] * 2)] if rows else [pa.array([], t) for t in [pa.int64()] * 3 + [pa.string()] * 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
-    kept = docs.select(F.col(text).alias("_text"), *keep)
+    kept = aside(docs.select(F.col(text).alias(fresh(docs, "_text")[0]), *keep), "n_assign", "n_access", "n_hex", "base_spans", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
     return kept.mapInArrow(over, f"{schema}, {SCHEMA}")
 

@@ -247,6 +247,14 @@ def test_store_texts(odd):
         assert media.from_npy(bytes(r["tile"])).tobytes() == padded and r["media_bytes"] == len(r["tile"]) and r["media_sha256"] == hashlib.sha256(r["tile"]).hexdigest()
 
 
+def test_kept_columns_of_clashing_names(odd):
+    docs = odd.select("doc_id", "text", *(F.lit(f"own {c}").alias(c) for c in ("n_bytes", "feature", "spans", "n_hex", "_text")))
+    row = media.store_texts(docs, keep=("doc_id", "n_bytes", "feature", "_text")).first()
+    assert (row["kept_n_bytes"], row["kept_feature"], row["_text"]) == ("own n_bytes", "own feature", "own _text") and len(row["feature"]) == 16
+    row = secrets.find_secrets(docs, keep=("doc_id", "spans", "n_hex")).first()
+    assert (row["kept_spans"], row["kept_n_hex"]) == ("own spans", "own n_hex") and row["n_hex"] == 0
+
+
 def test_media_formats(spark):
     rng = np.random.default_rng(0)
     grey, color = rng.integers(0, 256, (5, 7), dtype=np.uint8), rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
