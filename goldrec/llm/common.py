@@ -109,6 +109,24 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], *, bounded_
     return dealt.join(starts, [*keys, chunk]).withColumn(name, F.col(start) + F.row_number().over(within) - 1).drop(chunk, start)
 
 
+def number_in_order(rows: DataFrame, keys: list[str], order: list[str], name: str = "place", size: str = "n") -> DataFrame:
+    """Adds each row's place (from 0) in its group's order, nulls first, and the group's size; no task holds a whole group.
+
+    `rows` is a written table and its keys are not null. Rows are dealt by ranges of keys, order and their own number in
+    the table, so that neither a hot group nor equal rows meet in one task; in a written part they lie in order, and a
+    part's rows of a group are shifted by those of the parts before it. Rows that tie on all of `order` are
+    interchangeable.
+    """
+    tie, at, part, first, start = fresh(rows, "_tie", "_at", "_part", "_first", "_start")
+    by = [F.col(f"`{c}`").asc_nulls_first() for c in (*keys, *order, tie)]
+    spread = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = materialize(spread.drop(tie).withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+    parts = dealt.groupBy(*keys, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(size))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, part, first, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start), F.sum(size).over(Window.partitionBy(*keys)).alias(size))
+    return dealt.join(broadcast_if_small(materialize(starts)), [*keys, part]).select(*rows.columns, (F.col(at) - F.col(first) + F.col(start)).alias(name), size)
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for each end of a link, the smallest node that links lead to.
 

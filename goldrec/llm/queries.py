@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import lines, media, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk
+from goldrec.llm import lines, media, merkle, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk
 
 SHARDS = 40
 
@@ -65,7 +67,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op4_quality, op5_media, op6_substrings, op7_lines, op8_ngram_join, op9_topk, op10_secrets)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), changed={"text": tampered}, proofs=False)
+
+
+QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op4_quality, op5_media, op6_substrings, op7_lines, op8_ngram_join, op9_topk, op10_secrets, op13_merkle)}
+
+#: Unsigned CRC-32 of a decimal number: each digit's code, then eight times -1 for a shift.
+_CRC32 = """
+  xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda d: list_concat([CAST(ord(d) AS BIGINT)], [-1 for _ in range(8)])))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END))"""
 
 ORACLE_SQL: dict[str, str] = {
     "op9_topk": """
@@ -82,4 +94,42 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_merkle": f"""
+WITH RECURSIVE v AS (
+  SELECT doc_id, lang, text, {'||'.join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head,
+         CASE WHEN {_CRC32.format("doc_id")} % 3 = 0 THEN translate(text, '{ascii_uppercase}', '{ascii_lowercase}') ELSE text END AS found
+  FROM documents
+), l AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(found) || ':' || found, '-')) AS found FROM v
+), p AS (
+  SELECT row_number() OVER () AS id, *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM l
+), t AS (
+  SELECT g, 0 AS lvl, place AS i, leaf AS digest, n FROM p
+  UNION ALL
+  SELECT g, lvl + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), max((n + 7) // 8) FROM t WHERE n > 1 GROUP BY g, lvl, i // 8
+), roots AS (
+  SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lvl, place AS i, subroot AS digest, n FROM roots
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), max((n + 7) // 8) FROM u WHERE n > 1 GROUP BY lvl, i // 8
+), low AS (
+  SELECT a.g, a.lvl, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS after
+  FROM t a JOIN t b ON a.g = b.g AND a.lvl = b.lvl AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.g, a.lvl, a.i
+), high AS (
+  SELECT a.lvl, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS after
+  FROM u a JOIN u b ON a.lvl = b.lvl AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.lvl, a.i
+), steps AS (
+  SELECT p.id, low.lvl, before, after FROM p JOIN low ON p.g = low.g AND low.i = p.place // CAST(pow(8, low.lvl) AS BIGINT)
+  UNION ALL
+  SELECT p.id, 100 + high.lvl, before, after FROM p JOIN roots ON p.g = roots.g JOIN high ON high.i = roots.place // CAST(pow(8, high.lvl) AS BIGINT)
+), proofs AS (
+  SELECT id, string_agg(before || after, '' ORDER BY lvl) AS siblings, list(before || ':' || after ORDER BY lvl) AS path FROM steps GROUP BY id
+), folded AS (
+  SELECT p.*, sha256(coalesce(siblings, '')) AS proof_sha256,
+         list_reduce(list_prepend(p.found, coalesce(path, [])), lambda acc, x: sha256(split_part(x, ':', 1) || acc || split_part(x, ':', 2))) AS folded_root
+  FROM p LEFT JOIN proofs ON p.id = proofs.id
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN roots ON folded.g = roots.g CROSS JOIN (SELECT digest AS root FROM u WHERE n = 1)""",
 }
