@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import lines, media, merkle, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk
+from goldrec.llm import lines, media, merkle, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk, trie
 
 SHARDS = 40
 
@@ -67,12 +67,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
     return merkle.manifest(_table(spark, sf_dir, "documents"), changed={"text": tampered}, proofs=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op4_quality, op5_media, op6_substrings, op7_lines, op8_ngram_join, op9_topk, op10_secrets, op13_merkle)}
+QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op4_quality, op5_media, op6_substrings, op7_lines, op8_ngram_join, op9_topk, op10_secrets, op11_trie, op13_merkle)}
 
 #: Unsigned CRC-32 of a decimal number: each digit's code, then eight times -1 for a shift.
 _CRC32 = """
@@ -94,6 +98,39 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_trie": f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id")} % 6 AS h FROM own WHERE k = 1
+), turns AS (
+  SELECT c.conv_id, 0 AS part, o.k, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.k, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.k > c.h
+), rebuilt AS (
+  SELECT conv_id, length(text) AS chars, count(*) OVER (PARTITION BY conv_id) AS len, row_number() OVER w AS depth,
+         string_agg(sha256(strlen(role) || ':' || role || text), '' ) OVER w AS path
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+), places AS (
+  SELECT conv_id, depth, path, chars, len FROM rebuilt
+  UNION ALL
+  SELECT c.conv_id, 0, '', 0, coalesce(l.len, 0) FROM convs c LEFT JOIN (SELECT DISTINCT conv_id, len FROM rebuilt) l ON c.conv_id = l.conv_id
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256
+  FROM places GROUP BY path, depth
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.path AS up, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND left(c.path, 64 * n.depth) = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = left(n.path, 64 * (n.depth - 1))
+), above AS (
+  SELECT path, depth, saved, n_children, unnest(range(0, depth + 1)) AS d FROM linked
+), sums AS (
+  SELECT d AS depth, left(path, 64 * d) AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM above GROUP BY ALL
+)
+SELECT l.conv_id, l.depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked l JOIN sums s ON l.depth = s.depth AND l.path = s.path""",
     "op13_merkle": f"""
 WITH RECURSIVE v AS (
   SELECT doc_id, lang, text, {'||'.join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head,
