@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import lines, media, merkle, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk, trie
+from goldrec.llm import lines, media, merkle, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk, toxicity, trie
 
 SHARDS = 40
 
@@ -71,12 +71,20 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2, false)"
+    scorer = toxicity.train(docs, _table(spark, sf_dir, "labels"), f"NOT {held_out}")
+    scored = toxicity.score(docs, scorer, spans=False)
+    return scored.select("doc_id", F.expr(held_out).alias("held_out"), "score", F.when(F.col("score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
     return merkle.manifest(_table(spark, sf_dir, "documents"), changed={"text": tampered}, proofs=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op4_quality, op5_media, op6_substrings, op7_lines, op8_ngram_join, op9_topk, op10_secrets, op11_trie, op13_merkle)}
+QUERIES = {q.__name__: q for q in (op1_mixing, op2_packing, op3_sharding, op4_quality, op5_media, op6_substrings, op7_lines, op8_ngram_join, op9_topk, op10_secrets, op11_trie, op12_toxicity, op13_merkle)}
 
 #: Unsigned CRC-32 of a decimal number: each digit's code, then eight times -1 for a shift.
 _CRC32 = """
