@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from goldrec.operators.resume import EMAIL, PHONE
+from goldrec.plans import record_queries
 from goldrec.plans.queries import SOURCES_SQL
 
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -156,4 +157,4 @@ ORACLE_SQL = {
     "parse_end_to_end": f"""SELECT CAST(c_custkey AS VARCHAR) AS entity_key, 'Ann' AS first_name, CASE WHEN c_custkey % 8 = 0 THEN 'Go,JavaScript' ELSE '' END AS skills, 0.7::DOUBLE AS score, CASE WHEN c_custkey % 8 = 0 THEN 0::DOUBLE ELSE 0.7::DOUBLE END AS experiences, true AS is_valid, {_pass} AS summary, 0 AS exit_code FROM customer WHERE c_custkey % 8 < 2""",
     "records_reload": f"""{_norm_facts}, g AS (SELECT entity_key, {_first("last_name")} AS l FROM sources GROUP BY entity_key)
       SELECT entity_key, CASE WHEN k % 3 = 2 THEN 'SchemaValidationError' END AS error_type, CASE WHEN k % 3 <> 2 THEN l END AS last_name, CASE WHEN k % 3 <> 2 THEN CAST({_n_provenance} AS BIGINT) END AS n_provenance FROM g JOIN s USING (entity_key)""",
-}
+} | record_queries.ORACLE_SQL

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from goldrec.functions import dates, phones, text
 from goldrec.operators import confidence, merge as merging, normalize, projection, resume, validation
-from goldrec.plans import engine, errors
+from goldrec.plans import engine, errors, record_queries
 from goldrec.plans.config import SKILL_ALIASES, Policy, Rule
 from goldrec.schema import PROVENANCE
 from goldrec.sources import records
@@ -422,7 +422,7 @@ def records_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     golden = engine.project(engine.transform(_merged(spark, sf_dir)), "canonical")
     text_of = records.to_json_text(golden).select(F.get_json_object("value", "$.entity_key").alias("entity_key"), F.col("value").alias("json"))
     k = F.col("entity_key").cast("long") % 3
-    odd = F.when(k == 1, F.concat(F.lit('{"candidate":'), "json", F.lit("}"))).when(k == 2, F.concat(F.lit('{"odd":1,'), F.substring("json", 2, 1 << 20))).otherwise(F.col("json"))
+    odd = F.when(k == 1, F.concat(F.lit('{"candidate":'), "json", F.lit("}"))).when(k == 2, F.concat(F.lit('{"odd":1,'), F.expr("substring(json, 2, length(json))"))).otherwise(F.col("json"))
     back = records.from_json_text(text_of.withColumn("json", odd))
     return back.select("entity_key", "error_type", F.when(F.col("error_type").isNull(), F.col("last_name")).alias("last_name"), F.when(F.col("error_type").isNull(), F.size("provenance").cast("long")).alias("n_provenance"))
 
@@ -435,4 +435,4 @@ QUERIES = {
         clean_text, nfkc_text, title_case, extract_emails, extract_phone, list_items, languages_extract, phone_e164, skill_aliases, loose_dates, date_ranges, gpa_scale, location_parse,
         section_detect, resume_entries, experience_flow, education_entries, resume_heads, ats_schema_gate, ats_map, error_messages, parse_end_to_end, records_reload,
     )
-}
+} | record_queries.QUERIES

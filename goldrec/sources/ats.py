@@ -10,11 +10,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from goldrec.functions.dates import strict_date
 from goldrec.functions.provenance import provenance
+from goldrec.functions.strict_json import one_document, shape_faults
 from goldrec.functions.text import blank_to_null, dedup_exact, first_by, normal_url, strip
-from goldrec.operators.validation import EMAIL
+from goldrec.operators.constraints import Fault, blank, certification_faults, contact_faults, education_faults, experience_faults, told, too_many
 from goldrec.schema import ATS_DDL, CONTACT_FIELDS
 from goldrec.sources.files import file_error, json_text, read_files
 
@@ -64,15 +66,11 @@ def gate(rows: DataFrame) -> DataFrame:
     return out.withColumn("unknown_fields", F.array_sort(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))).drop("_v", "_keys")
 
 
-#: How many items a list may have.
-MOST_ITEMS = {"experiences": 200, "education": 50, "skills": 500, "certifications": 100, "languages": 50}
-MOST_OWN_SKILLS = 500
-
-
-def _types_in(field: str, parts: tuple[str, ...], kinds: str) -> Column:
-    """Does an item of a list hold, under one of these names, a value that is there and of none of these kinds?"""
-    test = " OR ".join(f"NOT coalesce(schema_of_variant(try_variant_get(x, '$.{p}', 'variant')), 'VOID') RLIKE '^(VOID|{kinds})'" for p in parts)
-    return F.expr(f"exists(try_variant_get(_v, '$.{field}', 'array<variant>'), x -> {test})")
+def _mistyped(field: str, drop: tuple[str, ...] = ()) -> Column:
+    """Does a list hold a value of another type than the document's schema says?"""
+    items = StructType.fromDDL(ATS_DDL)[field].dataType.elementType
+    kept = StructType([f for f in items.fields if f.name not in drop])
+    return F.size(shape_faults(f"try_variant_get(_v, '$.{field}', 'variant')", ArrayType(kept), closed=False)) > 0
 
 
 def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
@@ -89,42 +87,32 @@ def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
     cert = F.transform(items("certifications"), lambda x: F.struct(blank_to_null(x["name"]).alias("name"), strip(x.issuer).alias("issuer"), strict_date(x.issued_date).alias("issued_date"), strict_date(x.expiry_date).alias("expiry_date")))
     out = d.withColumns({"experiences": exp, "_edu": edu, "_cert": cert, "_skills": dedup_exact(items("skills")), "_languages": dedup_exact(items("languages"))})
     unread = lambda raw, name, end: F.exists(F.arrays_zip(items(raw).alias("r"), F.col(name).alias("m")), lambda z: z.r[end].isNotNull() & z.m[end].isNull())
-    has = lambda name, test: F.exists(name, lambda x: F.coalesce(test(x), F.lit(False)))
-    blank = lambda c: strip(c) == ""
-    text, number, dates = "STRING", "BIGINT|DOUBLE|DECIMAL", "is not a date"
+    dates = "is not a date"
     whole = lambda f: F.coalesce(F.expr(f"schema_of_variant(try_variant_get(_v, '$.{f}', 'variant'))"), F.lit("VOID"))
-    size = lambda name, field: F.size(name) > MOST_ITEMS[field]
-    faults: list[tuple[str, Column, str]] = [("external_id", ~whole("candidate_id").isin("STRING", "VOID"), "is not a text"), ("external_id", blank(get("candidate_id")), "is blank")]
+    faults: list[Fault] = [("external_id", ~whole("candidate_id").isin("STRING", "VOID"), "is not a text"), ("external_id", blank(get("candidate_id")), "is blank")]
     faults += [(f"contact.{f}", ~whole(f).isin("STRING", "VOID"), "is not a text") for f in CONTACT_FIELDS]
-    faults += [("contact.email", ~get("email").rlike(EMAIL), "is not an e-mail address"), ("contact.phone", blank(get("phone")), "is blank"), ("contact.location", blank(get("location")), "is blank")]
-    faults += [(f"contact.{f}", get(f).isNotNull() & normal_url(get(f)).isNull(), "is not an http address") for f in ("linkedin_url", "github_url")]
+    faults += contact_faults(get)
     faults += [
-        ("experiences", size("experiences", "experiences"), f"has more than {MOST_ITEMS['experiences']} items"),
-        ("experiences", _types_in("experience", ("company", "title", "start_date", "end_date", "description"), text), "has a value that is not a text"),
+        too_many("experiences", F.size("experiences")),
+        ("experiences", _mistyped("experience", ("skills",)), "has a value that is not a text"),
         ("experiences", F.exists("experiences", lambda x: x.company.isNull() | x.title.isNull()), "lacks a company or title"),
         ("experiences", F.exists("experiences", lambda x: x.start_date.isNull()), "lacks a start date"),
         ("experiences", unread("experience", "experiences", "end_date"), f"end_date {dates}"),
-        ("experiences", has("experiences", lambda x: x.start_date > today), "starts in the future"),
-        ("experiences", has("experiences", lambda x: x.end_date < x.start_date), "ends before it starts"),
-        ("experiences", has("experiences", lambda x: x.description == ""), "description is blank"),
-        ("experiences", has("experiences", lambda x: F.size(x.skills) > MOST_OWN_SKILLS), f"has more than {MOST_OWN_SKILLS} skills"),
-        ("education", size("_edu", "education"), f"has more than {MOST_ITEMS['education']} items"),
-        ("education", _types_in("education", ("institution", "degree", "field_of_study", "start_date", "end_date"), text) | _types_in("education", ("gpa",), number), "has a value of a wrong type"),
+        *experience_faults(F.col("experiences"), today),
+        too_many("education", F.size("_edu")),
+        ("education", _mistyped("education"), "has a value of a wrong type"),
         ("education", F.exists("_edu", lambda x: x.institution.isNull() | x.degree.isNull()), "lacks an institution or degree"),
         ("education", unread("education", "_edu", "start_date") | unread("education", "_edu", "end_date"), f"start_date or end_date {dates}"),
-        ("education", has("_edu", lambda x: x.end_date < x.start_date), "ends before it starts"),
-        ("education", has("_edu", lambda x: ~x.gpa.between(0, 4)), "gpa is outside 0 to 4"),
-        ("education", has("_edu", lambda x: x.field_of_study == ""), "field_of_study is blank"),
-        ("skills", size("_skills", "skills"), f"has more than {MOST_ITEMS['skills']} items"),
-        ("certifications", size("_cert", "certifications"), f"has more than {MOST_ITEMS['certifications']} items"),
-        ("certifications", _types_in("certifications", ("name", "issuer", "issued_date", "expiry_date"), text), "has a value that is not a text"),
+        *education_faults(F.col("_edu")),
+        too_many("skills", F.size("_skills")),
+        too_many("certifications", F.size("_cert")),
+        ("certifications", _mistyped("certifications"), "has a value that is not a text"),
         ("certifications", F.exists("_cert", lambda x: x["name"].isNull()), "lacks a name"),
         ("certifications", unread("certifications", "_cert", "issued_date") | unread("certifications", "_cert", "expiry_date"), f"issued_date or expiry_date {dates}"),
-        ("certifications", has("_cert", lambda x: x.expiry_date < x.issued_date), "expires before it is issued"),
-        ("certifications", has("_cert", lambda x: x.issuer == ""), "issuer is blank"),
-        ("languages", size("_languages", "languages"), f"has more than {MOST_ITEMS['languages']} items"),
+        *certification_faults(F.col("_cert")),
+        too_many("languages", F.size("_languages")),
     ]
-    wrong = F.concat_ws("; ", *(F.when(F.coalesce(test, F.lit(False)), F.lit(f"{field}: {why}")) for field, test, why in faults))
+    wrong = told(faults)
     out = out.withColumn("_wrong", F.when(F.col("error_type").isNull(), wrong).otherwise(F.lit("")))
     fails = F.col("_wrong") != ""
     filled = lambda f: F.when(F.size(get(f)) > 0, F.to_json(get(f)))
@@ -139,5 +127,6 @@ def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
 
 
 def from_json_text(rows: DataFrame, today: Column | None = None) -> DataFrame:
-    """rows have entity_key and json (null: unreadable). A byte order mark before the document is passed over."""
-    return map_document(gate(rows.withColumn("json", F.regexp_replace("json", r"^\uFEFF", ""))), today)
+    """rows have entity_key and json (null: unreadable), which must be one whole document: nothing but white space may
+    stand around it. A byte order mark before it is passed over; of repeated keys the last counts."""
+    return map_document(gate(one_document(rows.withColumn("json", F.regexp_replace("json", r"^\uFEFF", "")))), today)

@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from goldrec.functions.strict_json import one_document, shape_faults
+from goldrec.operators.constraints import record_faults, told
 from goldrec.schema import CANDIDATE_DDL, PROVENANCE
 
-KNOWN = ("id", "first_name", "last_name", "external_id", "contact", "experiences", "education", "skills", "certifications", "languages", "confidence", "provenance", "schema_version", "entity_key", "source", "input_ord", "merge_report", "considered")
-
-
 #: What a record that has been merged or scored holds beside its fields.
 MORE_DDL = """confidence STRUCT<score:DOUBLE,fields:MAP<STRING,STRUCT<score:DOUBLE,source:STRING>>>, considered ARRAY<STRING>,
  merge_report ARRAY<STRUCT<field:STRING,strategy:STRING,conflict:BOOLEAN,contributing:ARRAY<STRING>,chosen:STRING,provenance:ARRAY<%s>>>""" % PROVENANCE
 
 
-def from_json_text(rows: DataFrame) -> DataFrame:
-    """Records of rows (entity_key, json): the record itself or its envelope {"candidate": ...}; unknown keys reject.
-    provenance may be a list of entries or a map from the field."""
-    body = F.coalesce(F.get_json_object("json", "$.candidate"), F.col("json"))
-    extra = F.array_except(F.expr("json_object_keys(_body)"), F.array(*map(F.lit, KNOWN)))
-    ddl = ", ".join((CANDIDATE_DDL, MORE_DDL)).replace("\n", " ")
-    mapped = F.from_json(F.get_json_object("_body", "$.provenance"), f"MAP<STRING,{PROVENANCE.replace('field:string,', '')}>")
+def record_type() -> StructType:
+    """All that a written record may hold."""
+    return StructType.fromDDL(", ".join((CANDIDATE_DDL, MORE_DDL)).replace("\n", " "))
+
+
+
+def from_json_text(rows: DataFrame, today: Column | None = None) -> DataFrame:
+    """Records of rows (entity_key, json): the record itself or its envelope {"candidate": ...}.
+
+    The text must be one whole JSON document. Types and keys are held against the record's schema at every depth, and
+    values against the constraints of records (limits, dates, blanks; today bounds the start of an experience); a
+    reject's message names each place at fault and why. provenance may be a list of entries or a map from the field; a
+    null counts as missing.
+    """
+    record = record_type()
+    entry = record["provenance"].dataType.elementType
+    read = one_document(rows.select("entity_key", "json")).withColumn("_v", F.expr("try_parse_json(json)"))
+    inside = "try_variant_get(_v, '$.candidate', 'variant')"
+    root = F.expr(f"coalesce(schema_of_variant({inside}), 'VOID') <> 'VOID'")
+    read = read.withColumn("_v", F.when(root, F.expr(inside)).otherwise(F.col("_v"))).withColumn("_body", F.expr("to_json(_v)"))
+    listed = F.expr("coalesce(schema_of_variant(try_variant_get(_v, '$.provenance', 'variant')), 'VOID') NOT LIKE 'OBJECT%'")
+    unnamed = StructType([f for f in entry.fields if f.name != "field"])
+    shapes = [StructType([*(f for f in record.fields if f.name != "provenance"), StructField("provenance", kind)]) for kind in (ArrayType(entry), MapType(StringType(), unnamed))]
+    typed = F.when(listed, shape_faults("_v", shapes[0])).otherwise(shape_faults("_v", shapes[1]))
+    read = read.withColumn("_typed", F.when(F.expr("startswith(schema_of_variant(_v), 'OBJECT')"), typed)).withColumn("_r", F.from_json("_body", record))
+    mapped = F.from_json(F.get_json_object("_body", "$.provenance"), MapType(StringType(), unnamed))
     named = F.transform(F.map_entries(mapped), lambda e: F.struct(e.key.alias("field"), e.value.source.alias("source"), e.value.raw_value.alias("raw_value"), e.value.extracted_at.alias("extracted_at")))
-    read = rows.withColumn("_body", body).withColumn("_r", F.from_json("_body", ddl))
-    given = F.when(F.get_json_object("_body", "$.provenance").startswith("{"), named).otherwise(F.col("_r.provenance")).cast(f"array<{PROVENANCE}>")
-    wrong = F.col("_r").isNull() | extra.isNull() | (F.size(extra) > 0) | F.col("_r.first_name").isNull() | F.col("_r.last_name").isNull()
-    why = F.when(extra.isNull() | F.col("_r").isNull(), "not a JSON record").when(F.size(extra) > 0, F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))).otherwise("first_name or last_name is missing")
-    kept = [F.col(f"_r.{c}") for c in KNOWN if c not in ("entity_key", "provenance")]
-    return read.select(F.coalesce("_r.entity_key", "entity_key").alias("entity_key"), *kept, given.alias("provenance"), F.when(wrong, F.lit("SchemaValidationError")).alias("error_type"), F.when(wrong, why).alias("error_message"))
+    given = F.when(listed, F.col("_r.provenance")).otherwise(named).cast(f"array<{PROVENANCE}>")
+    kept = [F.col(f"_r.{c}") for c in record.names if c not in ("entity_key", "provenance")]
+    out = read.select(F.coalesce("_r.entity_key", "entity_key").alias("entity_key"), *kept, given.alias("provenance"), "_typed", F.col("json").isNotNull().alias("_one"))
+    values = told(record_faults(today))
+    why = F.when(~F.col("_one"), "not a JSON document").when(F.col("_typed").isNull(), "the record is not an object").when(F.size("_typed") > 0, F.array_join("_typed", "; ")).when(values != "", values)
+    kind = F.when(why.isNotNull(), F.when(F.col("_one"), "SchemaValidationError").otherwise("InvalidJSONError"))
+    return out.withColumn("error_message", why).withColumn("error_type", kind).select(*(c for c in out.columns if c not in ("_typed", "_one")), "error_type", "error_message")
 
 
 def to_json_text(records: DataFrame, nulls: bool = True) -> DataFrame:
