@@ -55,6 +55,20 @@ def test_mix(spark, odd, name):
     assert {r[0]: r[1] for r in copies} == {s: n for s, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "word " * 400_000, "x" + " " * 1_000_000 + "<|endoftext|>", "\u3000" * 300_000 + "y"], ids=["blanks", "feeds", "letters", "words", "added", "wide"])
+def test_encoding_of_very_long_texts(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(vocabulary()).ids(text) == want
+
+
+def test_packing_of_a_long_blank_text(spark):
+    docs = spark.createDataFrame([(1, " " * 1_500_000), (2, "a b")], "doc_id long, text string")
+    rows = packing.pack(packing.pieces(docs, vocabulary())).collect()
+    check_packed(rows, docs.collect())
+
+
 def test_mix_keeps_columns_of_clashing_names(spark, odd):
     from corpus_pipeline import mixing_to_weights
 
