@@ -86,10 +86,15 @@ def identity_key(*cols: Column) -> Column:
     return F.concat_ws("\x1f", *(key_norm(c.cast("string")) for c in cols))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once: what a lambda repeats for every item should be bound before it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_by(items: Column, key) -> Column:
     """Items of an array whose key has not come before; items with an empty key go. Order is kept."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: (F.array_position(keys, key(x)) == i + 1) & (key(x) != ""))
+    kept = lambda of, keys: F.filter(of, lambda x, i: (F.array_position(keys, F.get(keys, i)) == i + 1) & (F.get(keys, i) != ""))
+    return bind(items, lambda of: bind(F.transform(of, key), lambda keys: kept(of, keys)))
 
 
 def dedup_ci(items: Column) -> Column:

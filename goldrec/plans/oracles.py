@@ -141,12 +141,15 @@ ORACLE_SQL = {
       CASE c_custkey % 6 WHEN 0 THEN c_name END AS last_name, CASE c_custkey % 6 WHEN 0 THEN 'a' END AS skills, CASE c_custkey % 6 WHEN 3 THEN NULL WHEN 5 THEN 'odd' ELSE '' END AS unknown FROM customer""",
     "nfkc_text": "SELECT p_partkey, p_name || ' fix2' AS composed, p_brand FROM part",
     "list_items": "SELECT p_partkey, p_brand || '#Fit (Box ' || p_partkey || ', ' || p_type || ') x#' || p_name || '#y#z' AS items FROM part",
+    "nested_lists": "SELECT p_partkey, p_brand || ' ' || repeat('(a, ', p_partkey % 7) || p_name || repeat(')', p_partkey % 7) || ' b#' || p_type AS items FROM part",
+    "opening_bullets": f"""SELECT CAST(o_custkey AS VARCHAR) AS entity_key, {_per_order}, CASE WHEN o_orderkey % 2 = 0 THEN '• ' ELSE '' END || 'Firm ' || o_orderkey AS company, 'Clerk ' || o_orderstatus AS title, {_month} AS start_date, DATE '2030-01-01' AS end_date,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'saw ' || o_orderpriority ELSE 'Other | Thing | 2011 - 2012' END AS description FROM orders""",
     "languages_extract": "SELECT n_nationkey, n_name || '|Irish|Dutch' AS languages FROM nation",
     "experience_flow": f"""SELECT CAST(o_custkey AS VARCHAR) AS entity_key, {_per_order}, 'Firm ' || o_orderkey AS company, 'Clerk ' || o_orderstatus AS title, CASE WHEN o_orderkey % 3 = 2 THEN CAST(date_trunc('year', o_orderdate) AS DATE) ELSE {_month} END AS start_date,
       CASE WHEN o_orderkey % 3 = 1 THEN DATE '2030-01-01' END AS end_date, CASE WHEN o_orderkey % 3 = 1 THEN 'saw ' || o_orderpriority END AS description FROM orders""",
     "education_entries": f"""SELECT CAST(o_custkey AS VARCHAR) AS entity_key, {_per_order}, 'College ' || o_orderkey AS institution, 'Master of Arts' AS degree, 'Topic ' || o_orderstatus AS field_of_study, {_month} AS start_date, DATE '2030-01-01' AS end_date, CASE WHEN o_orderkey % 4 = 0 THEN 3.2::DOUBLE END AS gpa FROM orders WHERE o_orderkey % 4 < 2""",
     "resume_heads": """SELECT CAST(o_custkey AS VARCHAR) AS entity_key, 'Orla' AS first_name, 'Byrne' AS last_name, 'orla' || o_custkey || '@h.test' AS email, '+353 861-234-5678' AS phone, 'Cork, Ireland' AS location, 'https://linkedin.com/in/orla' || o_custkey AS linkedin_url, 'https://github.com/o' || o_custkey AS github_url,
-      count(*) FILTER (WHERE o_orderkey % 2 = 1) AS n, CASE WHEN bool_or(o_orderkey % 2 = 0) THEN 'experience:Required field ''start_date'' is missing or invalid' ELSE '' END AS skipped,
+      count(*) FILTER (WHERE o_orderkey % 2 = 1) AS n, CASE WHEN bool_or(o_orderkey % 2 = 0) THEN 'experience:no usable start_date' ELSE '' END AS skipped,
       'first_name,last_name,email,phone,location,linkedin_url,github_url' || CASE WHEN bool_or(o_orderkey % 2 = 1) THEN ',experiences' ELSE '' END AS provenance FROM orders GROUP BY o_custkey""",
     "date_ranges": """SELECT o_orderkey, strftime(o_orderdate, '%b %Y') || '>Present|' || month(o_orderdate) || '/' || year(o_orderdate) || '>' || (year(o_orderdate) + 1) AS ranges, make_date(year(o_orderdate) + 1, 1, 1) AS last FROM orders""",
     "gpa_scale": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN round((l_linenumber + 0.5::DOUBLE) * 0.4::DOUBLE, 2) WHEN l_linenumber = 1 THEN 1.25::DOUBLE END AS gpa FROM lineitem WHERE l_linenumber IS NOT NULL""",

@@ -281,6 +281,12 @@ def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(resume.list_items(body), "#").alias("items"))
 
 
+def nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with parentheses up to six deep, separators at every depth."""
+    body = F.expr("concat(p_brand, ' ', repeat('(a, ', p_partkey % 7), p_name, repeat(')', p_partkey % 7), ' b; ', p_type)")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(resume.list_items(body), "#").alias("items"))
+
+
 def languages_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr("concat(n_name, ' (Native), Irish - Fluent\nDutch, ', lower(n_name), ' (B2)')")
     return _table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(resume.language_items(body), "|").alias("languages"))
@@ -353,6 +359,14 @@ def experience_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("entity_key", "pos", "x.company", "x.title", "x.start_date", "x.end_date", "x.description")
 
 
+def opening_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bullet with bars and dates opens an entry after a plain line, and describes an entry that comes right before it."""
+    line = "concat(if(o_orderkey % 2 = 0, concat('Head ', o_orderkey, '\n• '), ''), 'Firm ', o_orderkey, ' | Clerk ', o_orderstatus, ' | ', date_format(o_orderdate, 'MM/yyyy'), ' - 2030\n', if(o_orderkey % 2 = 0, concat('- saw ', o_orderpriority), '• Other | Thing | 2011 - 2012'))"
+    found = resume.to_records(_resumes(spark, sf_dir, line, "Employment History"))
+    each = found.select("entity_key", F.posexplode("experiences").alias("pos", "x"))
+    return each.select("entity_key", "pos", "x.company", "x.title", "x.start_date", "x.end_date", "x.description")
+
+
 def education_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Institutions with degree, field, dates and grade, a school that is left out, and one whose degree is missing."""
     line = "CASE o_orderkey % 4 WHEN 3 THEN concat('Old High School ', o_orderkey, '\nDiploma in Sums') WHEN 2 THEN concat('Nowhere ', o_orderkey) ELSE concat('College ', o_orderkey, '\nMaster of Arts in Topic ', o_orderstatus, ' (Long Track)\n', date_format(o_orderdate, 'MMM yyyy'), ' - 2030', if(o_orderkey % 4 = 0, '\nCGPA: 8.0 / 10', '\nGPA 9.9')) END"
@@ -432,7 +446,7 @@ QUERIES = {
     for q in (
         golden_scalar_merge, merge_first_non_empty_reversed, merge_highest_confidence, merge_flat_union, merge_structured_union_gapfill, merge_conflict_report, merge_provenance, merge_report_accessors, merge_policy_confidence, merge_n_sources,
         confidence_merged, confidence_trace, confidence_notes, confidence_single_source, transform_end_to_end, project_assignment, project_canonical, project_rules, projection_report, validation_issues, validation_summary,
-        clean_text, nfkc_text, title_case, extract_emails, extract_phone, list_items, languages_extract, phone_e164, skill_aliases, loose_dates, date_ranges, gpa_scale, location_parse,
-        section_detect, resume_entries, experience_flow, education_entries, resume_heads, ats_schema_gate, ats_map, error_messages, parse_end_to_end, records_reload,
+        clean_text, nfkc_text, title_case, extract_emails, extract_phone, list_items, nested_lists, languages_extract, phone_e164, skill_aliases, loose_dates, date_ranges, gpa_scale, location_parse,
+        section_detect, resume_entries, experience_flow, opening_bullets, education_entries, resume_heads, ats_schema_gate, ats_map, error_messages, parse_end_to_end, records_reload,
     )
 } | record_queries.QUERIES
