@@ -1,38 +1,80 @@
-"""Phone numbers to E.164, for a declared table of regions; anything else stays as it is, stripped."""
+"""Phone numbers to E.164 by the public numbering plan; anything else stays as it is, stripped.
 
-from __future__ import annotations
+Calling codes are free of prefixes: one digit (1, 7), else two of a fixed set, else three. A number counts if its national
+part has a length that its code allows; four regions also have the shape of their numbers. Lengths are those of the
+public plans; what is allotted inside them is not known here.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from goldrec.functions.text import strip
+from goldrec.functions.text import bind, strip
 
-#: Fixed values, by region: calling code, trunk prefix, shape of a national number.
+#: Calling codes of two digits, and of three as (first, last).
+TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+THREE = [
+    (211, 213), (216, 216), (218, 218), (220, 258), (260, 269), (290, 291), (297, 299), (350, 359), (370, 378), (380, 383), (385, 387), (389, 389), (420, 421), (423, 423), (500, 509),
+    (590, 599), (670, 670), (672, 683), (685, 692), (850, 850), (852, 853), (855, 856), (880, 880), (886, 886), (960, 968), (970, 977), (992, 996), (998, 998),
+]
+#: Fewest and most national digits of a calling code; other codes have REST.
+LENGTHS = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9),
+    "43": (4, 13), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (6, 11), "51": (8, 9), "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (10, 10),
+    "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
+    "92": (9, 10), "94": (9, 9), "98": (10, 10), "212": (9, 9), "234": (8, 10), "254": (9, 9), "351": (9, 9), "352": (4, 11), "353": (7, 9), "354": (7, 7), "358": (5, 12), "359": (8, 9), "370": (8, 8),
+    "371": (8, 8), "372": (7, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9), "852": (8, 8), "880": (10, 10), "886": (8, 9), "966": (8, 9), "971": (8, 9), "972": (8, 9),
+}
+REST = (5, 12)
+MOST_DIGITS = 15
+#: Shapes of the national numbers of four codes.
+SHAPES = {"1": r"[2-9]\d{2}[2-9]\d{6}", "44": r"[1-9]\d{8,9}", "91": r"[6-9]\d{9}", "49": r"[1-9]\d{5,10}"}
+#: Fixed values, by region: calling code, the digits before a national number, those before a foreign one.
 REGIONS = {
-    "US": ("1", "1", r"[2-9]\d{2}[2-9]\d{6}"),
-    "GB": ("44", "0", r"[1-9]\d{8,9}"),
-    "IN": ("91", "0", r"[6-9]\d{9}"),
-    "DE": ("49", "0", r"[1-9]\d{5,10}"),
-}
+    "US": ("1", "1", "011"), "CA": ("1", "1", "011"), "GB": ("44", "0", "00"), "IN": ("91", "0", "00"), "DE": ("49", "0", "00"), "FR": ("33", "0", "00"), "IT": ("39", "", "00"), "ES": ("34", "", "00"),
+    "PT": ("351", "", "00"), "NL": ("31", "0", "00"), "BE": ("32", "0", "00"), "CH": ("41", "0", "00"), "AT": ("43", "0", "00"), "IE": ("353", "0", "00"), "SE": ("46", "0", "00"), "NO": ("47", "", "00"),
+    "DK": ("45", "", "00"), "FI": ("358", "0", "00"), "PL": ("48", "", "00"), "CZ": ("420", "", "00"), "SK": ("421", "0", "00"), "HU": ("36", "06", "00"), "RO": ("40", "0", "00"), "BG": ("359", "0", "00"),
+    "GR": ("30", "", "00"), "TR": ("90", "0", "00"), "UA": ("380", "0", "00"), "RU": ("7", "8", "810"), "IL": ("972", "0", "00"), "AE": ("971", "0", "00"), "SA": ("966", "0", "00"), "EG": ("20", "0", "00"),
+    "ZA": ("27", "0", "00"), "NG": ("234", "0", "009"), "KE": ("254", "0", "000"), "PK": ("92", "0", "00"), "BD": ("880", "0", "00"), "LK": ("94", "0", "00"), "CN": ("86", "0", "00"), "HK": ("852", "", "001"),
+    "TW": ("886", "0", "002"), "JP": ("81", "0", "010"), "KR": ("82", "0", "00"), "SG": ("65", "", "000"), "MY": ("60", "0", "00"), "TH": ("66", "0", "00"), "VN": ("84", "0", "00"), "PH": ("63", "0", "00"),
+    "ID": ("62", "0", "001"), "AU": ("61", "0", "0011"), "NZ": ("64", "0", "00"), "BR": ("55", "0", "00"), "MX": ("52", "", "00"), "AR": ("54", "0", "00"), "CL": ("56", "", "00"), "CO": ("57", "0", "009"), "PE": ("51", "0", "00"),
+}
+
+
+def calling_code(digits: Column) -> Column:
+    """The code that an international number begins with; null if there is none."""
+    one, two, three = (F.substring(digits, 1, n) for n in (1, 2, 3))
+    number = three.try_cast("int")
+    listed = F.when(F.exists(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in THREE)), lambda r: number.between(r.a, r.b)), three)
+    return F.when(one.isin("1", "7"), one).when(two.isin(*TWO), two).otherwise(F.when(F.length(three) == 3, listed))
+
+
+def _whole(digits: Column, code: Column) -> Column:
+    """An international number in E.164, if its national part is one of its code's."""
+    national = F.substring(digits, F.length(code) + 1, F.length(digits))
+    lengths = F.create_map(*(x for c, (a, b) in LENGTHS.items() for x in (F.lit(c), F.struct(F.lit(a).alias("least"), F.lit(b).alias("most")))))
+    bounds = F.coalesce(F.try_element_at(lengths, code), F.struct(F.lit(REST[0]).alias("least"), F.lit(REST[1]).alias("most")))
+    shaped = F.coalesce(*(F.when(code == c, national.rlike(f"^{shape}$")) for c, shape in SHAPES.items()), F.lit(True))
+    good = bind(bounds, lambda b: F.length(national).between(b.least, b.most)) & (F.length(digits) <= MOST_DIGITS) & shaped
+    return F.when(code.isNotNull() & good, F.concat(F.lit("+"), digits))
 
 
 def e164(c: Column, region: str = "US") -> Column:
-    """Null where the number is in no known region's shape. A leading plus overrides the default region."""
-    raw = strip(c)
-    digits = F.regexp_replace(raw, r"\D", "")
-    shaped = raw.rlike(r"^\+?[\d ().\-/]+$")
-    whole = [F.when(raw.startswith("+") & digits.rlike(f"^{code}{shape}$"), F.concat(F.lit("+"), digits)) for code, _, shape in REGIONS.values()]
-    code, trunk, shape = REGIONS[region]
-    national = F.regexp_replace(digits, f"^{trunk}(?={shape}$)", "")
-    own = F.when(~raw.startswith("+") & national.rlike(f"^{shape}$"), F.concat(F.lit(f"+{code}"), national))
-    return F.when(shaped, F.coalesce(*whole, own))
+    """Null where the number fits no plan. A leading plus, or the region's prefix of foreign numbers, overrides the region."""
+    code, trunk, abroad = REGIONS[region]
 
+    def read(raw: Column) -> Column:
+        shaped, digits = raw.rlike(r"^\+?[\d ().\-/]+$"), F.regexp_replace(raw, r"\D", "")
+        foreign = F.when(raw.startswith("+"), digits).when(digits.startswith(abroad), F.substring(digits, F.lit(len(abroad) + 1), F.length(digits)))
+        least, most = LENGTHS.get(code, REST)
+        bare = F.when(digits.startswith(trunk) & (F.length(digits) - len(trunk)).between(least, most), F.substring(digits, F.lit(len(trunk) + 1), F.length(digits))) if trunk else F.lit(None).cast("string")
+        own = lambda national: bind(F.concat(F.lit(code), national), lambda d: _whole(d, F.lit(code)))
+        told = bind(foreign, lambda d: bind(calling_code(d), lambda k: _whole(d, k)))
+        return F.when(shaped, F.when(raw.startswith("+"), told).otherwise(F.coalesce(own(bare), own(digits), told)))
 
-def normal_phone(c: Column, region: str = "US") -> Column:
-    return F.coalesce(e164(c, region), strip(c))
+    return bind(strip(c), read)
 
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+def normal_phone(c: Column, region: str = "US") -> Column:
+    return F.coalesce(e164(c, region), strip(c))

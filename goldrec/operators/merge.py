@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.functions.text import identity_key, strip
+from goldrec.operators.constraints import MOST_ITEMS
 from goldrec.plans.config import FIELDS, LISTS, STRUCTURED, Policy, Rule
 from goldrec.schema import CONTACT_FIELDS, PROVENANCE, SCALARS
 
+#: Different items of an entity's list that may be gathered in one task; far above what a record may have.
+GATHER = 10_000
+
 #: Where each scalar field of the policy lies in a record.
 PATHS = {n: n for n in SCALARS} | {f"contact.{c}": f"contact.{c}" for c in CONTACT_FIELDS}
 
@@ -141,11 +145,13 @@ def union_records(sources: DataFrame, name: str, rule: Rule) -> DataFrame:
     return _union(sources, name, rule)
 
 
-def merge(sources: DataFrame, policy: Policy | None = None) -> DataFrame:
+def merge(sources: DataFrame, policy: Policy | None = None, gather: int = GATHER) -> DataFrame:
     """Golden records: canonical fields, provenance, `considered` and `merge_report`, a row per field of the policy.
 
     Scores for `highest_confidence` come from a `confidence` column (fields: name -> score), where there is one; without
-    one that strategy is `source_priority`. Entities without a first and last name are returned with an error_type.
+    one that strategy is `source_priority`. Entities without a first and last name, and those of which a merged list is
+    longer than a record's may be, are returned with an error_type. Lists of more than `gather` different items are
+    counted, never gathered.
     """
     policy = policy or Policy()
     if "provenance" not in sources.columns:
@@ -169,11 +175,16 @@ def merge(sources: DataFrame, policy: Policy | None = None) -> DataFrame:
     said += [f"'had_{n}', max(_record.had_{n})" for n in lists] + ["'prov', min_by(_record.prov, CASE WHEN _record IS NOT NULL THEN place.o END)"]
     first = apart.groupBy("entity_key", "kind", "key", "source").agg(F.expr(f"named_struct({', '.join(said)})").alias("_said"), *_firsts(sources))
 
+    # Between them: a list of more different items than may be gathered is left at one item that tells of it.
+    most = F.when(F.col("kind").isin(*lists), F.lit(gather))
+    over = first.where(most.isNotNull()).groupBy("entity_key", "kind").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_one")).where(F.col("_n") > most)
+    first = first.join(over, ["entity_key", "kind"], "left").where("_n IS NULL OR key = _one")
+
     # Second step: the entity.
     told = ", ".join(f"'{x}', _said.{x}" for x in (*rules, *(f"had_{n}" for n in lists), "prov"))
     both = first.groupBy("entity_key").agg(
         F.expr(f"collect_list(CASE WHEN kind = '' THEN named_struct('source', source, {told}) END) AS _sources"),
-        F.expr("collect_list(CASE WHEN kind = 'provenance' THEN prov END) AS _last"), *map(_list, lists),
+        F.expr("collect_list(CASE WHEN kind = 'provenance' THEN prov END) AS _last"), F.expr("collect_list(CASE WHEN _n IS NOT NULL THEN kind END) AS _over"), *map(_list, lists),
     )
     had = [f"array_sort(transform(filter(_sources, x -> x.had_{n}), x -> named_struct('r', {rank(policy.rule(n).priority, 'x.source')}, 's', x.source))).s AS _{n}" for n in lists]
     out = _resolved(both, rules, scored, *had, "transform(_sources, x -> named_struct('source', x.source, 'prov', x.prov)) AS _given")
@@ -189,17 +200,35 @@ def merge(sources: DataFrame, policy: Policy | None = None) -> DataFrame:
     contact = ", ".join(f"'{c}', contact_{c}.value" for c in CONTACT_FIELDS)
     some = " OR ".join(f"contact_{c}.value IS NOT NULL" for c in CONTACT_FIELDS)
     nameless = "first_name.value IS NULL OR last_name.value IS NULL"
+    length = lambda n: f"size({once if n == 'certifications' else n})"
+    faults = [f"CASE WHEN {nameless} THEN 'no source has a first and last name' END"]
+    faults += [f"CASE WHEN array_contains(_over, '{n}') OR {length(n)} > {most} THEN '{n}: has more than {most} items' END" for n, most in MOST_ITEMS.items()]
+    told = f"nullif(concat_ws('; ', {', '.join(faults)}), '')"
     return out.selectExpr(
         "entity_key", "regexp_replace(md5(entity_key), '^(.{8})(.{4})(.{4})(.{4})', '$1-$2-$3-$4-') AS id", *(f"{n}.value AS {n}" for n in SCALARS), f"CASE WHEN {some} THEN named_struct({contact}) END AS contact",
         *(f"{once} AS certifications" if n == "certifications" else n for n in STRUCTURED), *LISTS, f"array_compact(array({', '.join(kept)})) AS provenance", "'1.0' AS schema_version", "considered",
-        f"array({', '.join(report)}) AS merge_report", f"CASE WHEN {nameless} THEN 'MergeError' END AS error_type", f"CASE WHEN {nameless} THEN 'no source has a first and last name' END AS error_message",
-    )
+        f"array({', '.join(report)}) AS merge_report", f"{told} AS error_message",
+    ).withColumn("error_type", F.when(F.col("error_message").isNotNull(), "MergeError"))
+
+
+def disagreements(sources: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """The rows of `conflicts` straight from the sources: lists never disagree, so they are not read."""
+    policy = policy or Policy()
+    fields = {n.replace(".", "_"): (F.col(p), policy.rule(n)) for n, p in PATHS.items()}
+    scores = {k: F.expr(f"try_element_at(confidence.fields, '{n.removeprefix('contact.')}').score") for n, k in zip(PATHS, fields)} if "confidence" in sources.columns else None
+    said = merge_scalars(sources, fields, scores)
+    each = said.select("entity_key", F.inline(F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"{k}.value").alias("chosen"), F.col(f"{k}.conflict").alias("conflict")) for n, k in zip(PATHS, fields))))).where("conflict")
+    return each.select("entity_key", "field", "chosen", _told_of_conflict())
+
+
+def _told_of_conflict() -> Column:
+    return F.concat(F.lit("sources disagree on "), "field", F.lit("; kept "), "chosen").alias("message")
 
 
 def conflicts(golden: DataFrame) -> DataFrame:
     """A row per disagreement: entity_key, field, chosen, message."""
     each = golden.select("entity_key", F.inline("merge_report")).where("conflict")
-    return each.select("entity_key", "field", "chosen", F.concat(F.lit("sources disagree on "), "field", F.lit("; kept "), "chosen").alias("message"))
+    return each.select("entity_key", "field", "chosen", _told_of_conflict())
 
 
 def accessors(golden: DataFrame) -> DataFrame:

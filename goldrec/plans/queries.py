@@ -133,7 +133,7 @@ def _cast(sql: str, name: str, kind: str) -> str:
 
 
 def merge_conflict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.conflicts(merging.merge(_merged(spark, sf_dir)))
+    return merging.disagreements(_merged(spark, sf_dir))
 
 
 def confidence_merged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,26 @@ def test_merge_fields(spark):
     assert [(r["entity_key"], r["field"], r["chosen"]) for r in conflicts(out).collect()] == [("a", "first_name", "Jane")]
 
 
+def test_limits_of_golden_records(spark):
+    """400 skills from each source are too many together; a list beyond what may be gathered is counted only."""
+    many = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = frame(
+        spark,
+        record("a", "ATS", skills=many("x", 400)), record("a", "RESUME", skills=many("y", 400)), record("b", "ATS", skills=many("x", 250)), record("b", "RESUME", skills=many("y", 250)),
+        record("c", "ATS", skills=many("x", 900)), record("c", "RESUME", first=None, exp=[exp(f"F{i}") for i in range(201)]), record("d", "ATS", skills=many("x", 400)), record("d", "RESUME", skills=many("X", 400)),
+    )
+    got = {r["entity_key"]: r for r in merge.merge(rows, gather=600).collect()}
+    assert {k: r["error_message"] for k, r in got.items()} == {"a": "skills: has more than 500 items", "b": None, "c": "experiences: has more than 200 items; skills: has more than 500 items", "d": None}
+    assert len(got["c"]["skills"]) == 1 and len(got["b"]["skills"]) == 500 and len(got["d"]["skills"]) == 400
+    assert {r["error_type"] for r in got.values()} == {None, "MergeError"}
+
+
+def test_disagreements_are_conflicts(spark):
+    rows = frame(spark, record("a", "ATS", ext="1", contact=("a@x.com", None, "Paris", None, None)), record("a", "RESUME", first="Janet", ext="2", contact=("b@x.com", "1", "", None, None)), record("b", "ATS"), record("b", "RESUME"))
+    want = conflicts(merge.merge(rows)).collect()
+    assert len(want) == 3 and sorted(map(str, merge.disagreements(rows).collect())) == sorted(map(str, want))
+
+
 def test_policy():
     with pytest.raises(ConfigError):
         Policy({"skills": Rule("source_priority")})

@@ -1,8 +1,12 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
+
+from goldrec.functions.strict_json import one_document
 
 from goldrec.plans.engine import parse
 from goldrec.sources import records
@@ -54,6 +58,16 @@ CASES = [
     ('\ufeff{"first_name": "Orla", "last_name": "Byrne"}', None),
     ('{"first_name": Orla}', "InvalidJSONError"),
     ('{"a": }', "InvalidJSONError"),
+    ('{"first_name": "A", "last_name": "B"} trailing', "InvalidJSONError"),
+    ('{"first_name": "A", "last_name": "B"}{"first_name": "A"}', "InvalidJSONError"),
+    ('{"first_name": "A", "last_name": "B"}, {"first_name": "A", "last_name": "B"}', "InvalidJSONError"),
+    ('{"first_name": "A", "last_name": "B"}], [{"first_name": "A"}', "InvalidJSONError"),
+    ('"last_name": "B"', "InvalidJSONError"),
+    ("", "InvalidJSONError"),
+    ('\t {"first_name": "A", "last_name": "B", "x": [NaN, -Infinity]}\r\n ', None),
+    ('{"first_name": 5, "last_name": "B", "first_name": "A"}', None),
+    ('{"first_name": "A", "last_name": "B", "experience": [{"company": 5, "company": "C", "title": "T", "start_date": "2010-01-01"}]}', None),
+    ('{"first_name": "A", "last_name": "B", "education": [{"institution": "I", "degree": "D", "gpa": NaN}]}', "MappingError"),
     (None, "InvalidJSONError"),
 ]
 
@@ -110,11 +124,45 @@ def test_documents(spark, docx):
 def test_reload(spark):
     rows = [("a", json.dumps(NAME)), ("b", json.dumps({"candidate": NAME})), ("c", json.dumps(NAME | {"odd": 1})), ("d", "{")]
     got = {r["entity_key"]: r["error_type"] for r in records.from_json_text(spark.createDataFrame(rows, "entity_key string, json string")).collect()}
-    assert got == {"a": None, "b": None, "c": "SchemaValidationError", "d": "SchemaValidationError"}
+    assert got == {"a": None, "b": None, "c": "SchemaValidationError", "d": "InvalidJSONError"}
     out = records.to_json_text(spark.createDataFrame([("é", None)], "a string, b string")).first()["value"]
     assert out == '{"a":"é","b":null}'
 
 
+def test_one_document_is_what_json_takes(spark):
+    """Random joins of pieces of JSON, against the standard parser."""
+    rng, texts = random.Random(2), []
+    for _ in range(600):
+        texts.append("".join(rng.choice(["{", "}", "[", "]", '"a"', ":", ",", "1", " ", "null", '{"a":1}', '"a":1', "NaN", '"\\u00e9"', "\n", "x"]) for _ in range(rng.randint(0, 7))))
+    texts += ['{"a":1}' + t for t in ("", " ", "]", "}", ",", '{"a":2}', "x", "\n\n", "]]", "}}", '],[{"b":2}', '},{"v":{}')]
+
+    def takes(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+
+    rows = spark.createDataFrame([(t,) for t in texts], "json string").withColumn("raw", F.col("json"))
+    for r in one_document(rows).collect():
+        assert (r["json"] is not None) == takes(r["raw"]), r["raw"]
+        if r["json"] is not None and "NaN" not in r["raw"]:
+            assert json.loads(r["json"]) == json.loads(r["raw"])
+
+
+def test_reload_names_every_fault(spark):
+    faulty = NAME | {"first_name": 5, "skills": "x", "odd": 1, "contact": {"email": 7, "fax": 1}, "experiences": [JOB, JOB | {"pay": 1, "end_date": "soon"}, "x", None], "provenance": {"email": {"source": "ATS", "at": 1}}, "confidence": {"score": 0.5, "fields": {"skills": {"score": "x"}}}}
+    rows = [("a", json.dumps(faulty)), ("b", json.dumps(NAME | {"languages": [f"l{i}" for i in range(51)], "education": [{"institution": "I", "degree": "D", "start_date": "2012-01-01", "end_date": "2011-01-01"}]})), ("c", json.dumps(NAME) + " x"), ("d", "[]"), ("e", json.dumps({"candidate": NAME | {"experiences": [JOB], "provenance": {"email": {"source": "ATS", "raw_value": "x"}}}}))]
+    got = {r["entity_key"]: r for r in records.from_json_text(spark.createDataFrame(rows, "entity_key string, json string")).collect()}
+    assert set(got["a"]["error_message"].split("; ")) == {
+        "odd: is unknown", "first_name: is not a text", "skills: is not a list", "contact.fax: is unknown", "contact.email: is not a text", "experiences[1].pay: is unknown", "experiences[1].end_date: is not a date",
+        "experiences[2]: is not an object", "experiences[3]: is null", "provenance.email.at: is unknown", "confidence.fields.skills.score: is not a number",
+    }
+    assert got["b"]["error_message"] == "languages: has more than 50 items; education: ends before it starts"
+    assert (got["c"]["error_type"], got["d"]["error_type"], got["e"]["error_type"]) == ("InvalidJSONError", "SchemaValidationError", None)
+    assert got["e"]["experiences"][0]["company"] == "Quay Ltd" and [p["field"] for p in got["e"]["provenance"]] == ["email"]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps(NAME))
