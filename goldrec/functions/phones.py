@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from goldrec.functions.text import bind, strip
+from goldrec.functions.text import strip
 
 #: Calling codes of two digits, and of three as (first, last).
 TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -42,38 +42,28 @@ REGIONS = {
 }
 
 
-def calling_code(digits: Column) -> Column:
-    """The code that an international number begins with; null if there is none."""
-    one, two, three = (F.substring(digits, 1, n) for n in (1, 2, 3))
-    number = three.try_cast("int")
-    listed = F.when(F.exists(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in THREE)), lambda r: number.between(r.a, r.b)), three)
-    return F.when(one.isin("1", "7"), one).when(two.isin(*TWO), two).otherwise(F.when(F.length(three) == 3, listed))
+def _international() -> str:
+    """Codes and what may follow each, as one alternation: free of prefixes, so that at most one way through it fits."""
+    codes = ["1", "7", *TWO, *(str(n) for first, last in THREE for n in range(first, last + 1))]
+    ways = {code: SHAPES.get(code) or r"\d{%d,%d}" % LENGTHS[code] for code in codes if code in LENGTHS}
+    rest = "|".join(code for code in codes if code not in ways)
+    return "^(?=.{1,%d}$)(?:%s|(?:%s)%s)$" % (MOST_DIGITS, "|".join(code + way for code, way in ways.items()), rest, r"\d{%d,%d}" % REST)
 
 
-def _whole(digits: Column, code: Column) -> Column:
-    """An international number in E.164, if its national part is one of its code's."""
-    national = F.substring(digits, F.length(code) + 1, F.length(digits))
-    lengths = F.create_map(*(x for c, (a, b) in LENGTHS.items() for x in (F.lit(c), F.struct(F.lit(a).alias("least"), F.lit(b).alias("most")))))
-    bounds = F.coalesce(F.try_element_at(lengths, code), F.struct(F.lit(REST[0]).alias("least"), F.lit(REST[1]).alias("most")))
-    shaped = F.coalesce(*(F.when(code == c, national.rlike(f"^{shape}$")) for c, shape in SHAPES.items()), F.lit(True))
-    good = bind(bounds, lambda b: F.length(national).between(b.least, b.most)) & (F.length(digits) <= MOST_DIGITS) & shaped
-    return F.when(code.isNotNull() & good, F.concat(F.lit("+"), digits))
+INTERNATIONAL = _international()
 
 
 def e164(c: Column, region: str = "US") -> Column:
     """Null where the number fits no plan. A leading plus, or the region's prefix of foreign numbers, overrides the region."""
     code, trunk, abroad = REGIONS[region]
-
-    def read(raw: Column) -> Column:
-        shaped, digits = raw.rlike(r"^\+?[\d ().\-/]+$"), F.regexp_replace(raw, r"\D", "")
-        foreign = F.when(raw.startswith("+"), digits).when(digits.startswith(abroad), F.substring(digits, F.lit(len(abroad) + 1), F.length(digits)))
-        least, most = LENGTHS.get(code, REST)
-        bare = F.when(digits.startswith(trunk) & (F.length(digits) - len(trunk)).between(least, most), F.substring(digits, F.lit(len(trunk) + 1), F.length(digits))) if trunk else F.lit(None).cast("string")
-        own = lambda national: bind(F.concat(F.lit(code), national), lambda d: _whole(d, F.lit(code)))
-        told = bind(foreign, lambda d: bind(calling_code(d), lambda k: _whole(d, k)))
-        return F.when(shaped, F.when(raw.startswith("+"), told).otherwise(F.coalesce(own(bare), own(digits), told)))
-
-    return bind(strip(c), read)
+    least, most = LENGTHS.get(code, REST)
+    raw = strip(c)
+    digits = F.when(raw.rlike(r"^\+?[\d ().\-/]+$"), F.regexp_replace(raw, r"\D", ""))
+    # What the digits may stand for, the first that fits a plan.
+    bare, own, foreign = F.regexp_replace(digits, f"^{trunk}(?=\\d{{{least},{most}}}$)", code), F.concat(F.lit(code), digits), F.regexp_replace(digits, f"^{abroad}", "")
+    trunked = digits.rlike(f"^{trunk}\\d{{{least},{most}}}$") if trunk else F.lit(False)
+    ways = [(raw.startswith("+"), digits), (~raw.startswith("+") & trunked, bare), (~raw.startswith("+"), own), (~raw.startswith("+") & digits.startswith(abroad), foreign)]
+    return F.coalesce(*(F.when(test & number.rlike(INTERNATIONAL), F.concat(F.lit("+"), number)) for test, number in ways))
 
 
 def normal_phone(c: Column, region: str = "US") -> Column:

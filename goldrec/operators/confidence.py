@@ -5,11 +5,11 @@ Everything is a column expression over one golden (or single-source) record; not
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldrec.functions.session import once_per_session
+from goldrec.functions.text import bind
 from goldrec.plans.config import ConfigError, Scoring
 
 #: What a field's steps see: its value is missing, it is in conflict, how many sources gave it, all sources considered.
@@ -34,18 +34,44 @@ def delta(step: str, running: Column, facts: Facts, scoring: Scoring) -> Column:
     raise ConfigError(f"unknown scoring step {step}")
 
 
-def facts_of(record: DataFrame, name: str, single: bool) -> Facts:
-    """A merged record's facts come from its merge_report, a parent field's from its children; a single source agrees
-    with nobody and contradicts nobody."""
-    if single:
-        return {"missing": missing(record, name), "conflict": F.lit(False), "contributing": F.lit(1), "considered": F.array("source")}
-    own = F.filter("merge_report", lambda x: (x.field == name) | x.field.startswith(f"{name}."))
-    return {
-        "missing": missing(record, name),
-        "conflict": F.exists(own, lambda x: x.conflict),
-        "contributing": F.size(F.array_distinct(F.flatten(F.transform(own, lambda x: x.contributing)))),
-        "considered": F.col("considered"),
-    }
+def _facts(single: bool, given: Column) -> Column:
+    """The facts of each field of `given` (field, weight, missing). A merged record's come from its merge_report, a parent
+    field's from its children; a single source agrees with nobody and contradicts nobody."""
+
+    def of(m: Column) -> Column:
+        told = lambda conflict, contributing, considered: F.struct(m.field.alias("field"), m.weight.alias("weight"), m.missing.alias("missing"), conflict.alias("conflict"), contributing.alias("contributing"), considered.alias("considered"))
+        if single:
+            return told(F.lit(False), F.lit(1), F.array("source"))
+        own = F.filter("merge_report", lambda x: (x.field == m.field) | x.field.startswith(F.concat(m.field, F.lit("."))))
+        return bind(own, lambda r: told(F.exists(r, lambda x: x.conflict), F.size(F.array_distinct(F.flatten(F.transform(r, lambda x: x.contributing)))), F.col("considered")))
+
+    return F.transform(given, of)
+
+
+def _walk(f: Column, scoring: Scoring) -> Column:
+    """field, weight (0 where a missing value lost a score), score and trace of one field: its steps one after another."""
+
+    def after(steps: tuple[str, ...], running: Column, done: list[Column], lost: Column) -> Column:
+        if not steps:
+            return F.struct(f.field.alias("field"), F.when(lost, 0.0).otherwise(f.weight).alias("weight"), running.alias("score"), F.array(*done).alias("trace"))
+        step = steps[0]
+        facts = {k: f[k] for k in ("missing", "conflict", "contributing", "considered")}
+
+        def scored(change: Column) -> Column:
+            def entered(new: Column) -> Column:
+                entry = F.struct(f.field.alias("field"), F.lit(step).alias("step"), running.alias("old_score"), change.alias("delta"), new.alias("new_score"))
+                return after(steps[1:], new, [*done, entry], change < 0 if step == "missing_field" else lost)
+
+            return bind(F.greatest(F.lit(0.0), F.least(F.lit(1.0), running + change)), entered)
+
+        return bind(delta(step, running, facts, scoring), scored)
+
+    return after(tuple(scoring.steps), F.lit(0.0), [], F.lit(False))
+
+
+@once_per_session
+def _scored(scoring: Scoring) -> Column:
+    return F.transform("_facts", lambda f: _walk(f, scoring))
 
 
 #: Why a step changed a score, for the texts of bonuses and penalties.
@@ -77,29 +103,13 @@ def score(record: DataFrame, scoring: Scoring | None = None, single: bool | None
         if not {"merge_report", "source"} & set(record.columns):
             raise ConfigError("records without a merge_report and without a source can't be scored")
         single = "merge_report" not in record.columns
-    names = list(scoring.fields)
-    # A few wide steps, each reading the columns of the one before: facts, then change and score for every step.
-    facts = {n: facts_of(record, n, single) for n in names}
-    out = record.withColumns({f"_{n}_{k}": c for n in names for k, c in facts[n].items()})
-    facts = {n: {k: F.col(f"_{n}_{k}") for k in facts[n]} for n in names}
-    running = {n: F.lit(0.0) for n in names}
-    for step in scoring.steps:
-        out = out.withColumns({f"_{n}_{step}_d": delta(step, running[n], facts[n], scoring) for n in names})
-        out = out.withColumns({f"_{n}_{step}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), running[n] + F.col(f"_{n}_{step}_d"))) for n in names})
-        running = {n: F.col(f"_{n}_{step}") for n in names}
-    trace, scores, kept = [], [], []
-    for n in names:
-        old = F.lit(0.0)
-        for step in scoring.steps:
-            trace.append(F.struct(F.lit(n).alias("field"), F.lit(step).alias("step"), old.alias("old_score"), F.col(f"_{n}_{step}_d").alias("delta"), F.col(f"_{n}_{step}").alias("new_score")))
-            old = F.col(f"_{n}_{step}")
-        excluded = F.col(f"_{n}_missing_field_d") < 0 if "missing_field" in scoring.steps else F.lit(False)
-        scores.append((n, running[n]))
-        kept.append((F.when(excluded, 0.0).otherwise(scoring.fields[n]), running[n]))
-    weight = reduce(lambda a, b: a + b, (w for w, _ in kept))
-    total = reduce(lambda a, b: a + b, (w * s for w, s in kept))
+    given = F.array(*(F.struct(F.lit(n).alias("field"), F.lit(float(w)).alias("weight"), missing(record, n).alias("missing")) for n, w in scoring.fields.items()))
+    # Two steps, so that neither's work is repeated where the next reads it: facts, then all fields' steps.
+    out = record.withColumn("_facts", _facts(single, given)).withColumn("_scored", _scored(scoring))
     source = F.col("source") if single else F.coalesce(F.try_element_at("considered", F.lit(1)), F.lit("ATS"))
-    fields = F.map_from_entries(F.array(*(F.struct(F.lit(n).alias("key"), F.struct(s.alias("score"), source.alias("source")).alias("value")) for n, s in scores)))
+    fields = F.map_from_entries(F.transform("_scored", lambda s: F.struct(s.field.alias("key"), F.struct(s.score.alias("score"), source.alias("source")).alias("value"))))
+    weight = F.aggregate("_scored", F.lit(0.0), lambda a, s: a + s.weight)
+    total = F.aggregate("_scored", F.lit(0.0), lambda a, s: a + s.weight * s.score)
     overall = F.when(weight > 0, total / weight).otherwise(0.0)
-    done = out.withColumn("confidence", F.struct(overall.alias("score"), fields.alias("fields"))).withColumn("confidence_trace", F.array(*trace))
-    return done.drop(*(c for c in done.columns if c.startswith("_") and c not in record.columns))
+    told = {"confidence": F.struct(overall.alias("score"), fields.alias("fields")), "confidence_trace": F.flatten(F.transform("_scored", lambda s: s.trace))}
+    return out.withColumns(told).drop("_facts", "_scored")

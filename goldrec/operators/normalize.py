@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.functions.phones import normal_phone
+from goldrec.functions.session import once_per_session
 from goldrec.functions.text import clean, nfkc, nfkc_within, normal_email, normal_skills, title_case
 from goldrec.plans.config import Config
 
@@ -33,22 +34,28 @@ def normalize(records: DataFrame, config: Config | None = None) -> DataFrame:
     shape = records.select(texts.alias("t")).schema["t"].dataType
     held = records.withColumn("_texts", texts)
     held = held.withColumn("_texts", F.coalesce(nfkc_within(F.when(F.col("_texts").cast("string").rlike(WIDE), F.col("_texts")), shape), F.col("_texts")))
+    fields = tuple((n, tuple(f.name for f in records.schema[n].dataType.elementType.fields)) for n in PARTS)
+    return held.withColumns(_normal(fields, config.region, tuple(config.aliases.items()))).drop("_texts")
+
+
+@once_per_session
+def _normal(fields: tuple[tuple[str, tuple[str, ...]], ...], region: str, aliases: tuple[tuple[str, str], ...]) -> dict[str, Column]:
+    """The normalized columns of a record whose composed texts are in `_texts`; fields: those of the lists' items."""
     own = lambda name: F.col(f"_texts.{name}")
+    table = dict(aliases)
 
-    def rebuilt(name: str) -> Column:
+    def rebuilt(name: str, parts: tuple[str, ...]) -> Column:
         def item(x: Column) -> Column:
-            value = lambda f: clean(x[f]) if f in PARTS[name] else normal_skills(x[f], config.aliases) if f == "skills" else x[f]
-            return F.struct(*(value(f.name).alias(f.name) for f in records.schema[name].dataType.elementType.fields))
+            value = lambda f: clean(x[f]) if f in PARTS[name] else normal_skills(x[f], table) if f == "skills" else x[f]
+            return F.struct(*(value(f).alias(f) for f in parts))
 
         return F.transform(own(name), item)
 
     contact = F.struct(
-        normal_email(F.col("contact.email")).alias("email"), normal_phone(F.col("contact.phone"), config.region).alias("phone"), clean(own("location")).alias("location"),
+        normal_email(F.col("contact.email")).alias("email"), normal_phone(F.col("contact.phone"), region).alias("phone"), clean(own("location")).alias("location"),
         F.col("contact.linkedin_url").alias("linkedin_url"), F.col("contact.github_url").alias("github_url"),
     )
-    return held.withColumns(
-        {
-            "first_name": title_case(clean(own("first_name"))), "last_name": title_case(clean(own("last_name"))), "contact": F.when(F.col("contact").isNotNull(), contact),
-            "skills": normal_skills(own("skills"), config.aliases), "languages": F.transform(own("languages"), clean), **{name: rebuilt(name) for name in PARTS},
-        }
-    ).drop("_texts")
+    return {
+        "first_name": title_case(clean(own("first_name"))), "last_name": title_case(clean(own("last_name"))), "contact": F.when(F.col("contact").isNotNull(), contact),
+        "skills": normal_skills(own("skills"), table), "languages": F.transform(own("languages"), clean), **{name: rebuilt(name, parts) for name, parts in fields},
+    }

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.functions.phones import e164
-from goldrec.functions.text import collapse, strip
+from goldrec.functions.session import once_per_session
+from goldrec.functions.text import bind, collapse, strip
 from goldrec.plans.config import Config, ConfigError
 from goldrec.schema import CONTACT_FIELDS
 
@@ -48,7 +48,8 @@ def _indexed(name: str, test, part: str, message: str, value) -> Column:
 def _repeated(name: str, parts: tuple[str, ...], message: str) -> Column:
     key = lambda x: F.concat_ws("\x1f", *(collapse(F.lower(strip(F.coalesce(x[p].cast("string"), F.lit(""))))) for p in parts))
     keys = F.transform(F.coalesce(F.col(name), F.array()), key)
-    return _indexed(name, lambda x, i: F.array_position(keys, key(x)) < i + 1, "", message, key)
+    said = lambda k, i: F.struct(F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]")).alias("field"), F.lit(message).alias("message"), k.alias("value"))
+    return bind(keys, lambda all_: F.filter(F.transform(all_, lambda k, i: F.when(F.array_position(all_, k) < i + 1, said(k, i))), lambda x: x.isNotNull()))
 
 
 def _bad_score(c: Column) -> Column:
@@ -100,6 +101,7 @@ RULES = [
 ]
 
 
+@once_per_session
 def _issues(rule: Rule, config: Config) -> Column:
     found = rule.findings(config)
     plain = "array<struct<field:string,message:string,value:string>>"
@@ -118,12 +120,21 @@ def validate(records: DataFrame, config: Config | None = None, rules: list[Rule]
     if len({*names}) < len(names):
         raise ConfigError(f"rule names repeat: {names}")
     config = config or Config()
-    every = reduce(lambda a, b: F.concat(a, b), (_issues(r, config) for r in rules)) if rules else F.array()
+    every = F.concat(*(_issues(r, config) for r in rules)) if rules else F.array()
     out = records.withColumn("issues", every.cast(ISSUES))
     count = lambda *which: F.size(F.filter("issues", lambda x: x.severity.isin(*which)))
     valid = count(*BLOCKING) == 0
     summary = F.concat(F.when(valid, "PASS").otherwise("FAIL"), F.lit(": "), count(*BLOCKING).cast("string"), F.lit(" error(s), "), count("WARNING").cast("string"), F.lit(f" warning(s) across {len(rules)} rule(s)"))
-    return out.withColumn("is_valid", valid).withColumn("summary", summary)
+    return out.withColumns({"is_valid": valid, "summary": summary})
+
+
+def report(validated: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """A row per record: entity_key, is_valid, issue counts by severity, rules_executed, and rules_failed (those that found
+    something, in rule order)."""
+    names = [r.name for r in (RULES if rules is None else rules)]
+    count = lambda which: F.size(F.filter("issues", lambda x: x.severity == which)).cast("long").alias(f"n_{which.lower()}")
+    failed = F.array_distinct(F.transform("issues", lambda x: x.rule_name))
+    return validated.select("entity_key", "is_valid", *map(count, (*BLOCKING, "WARNING")), F.array(*map(F.lit, names)).alias("rules_executed"), failed.alias("rules_failed"))
 
 
 def issue_rows(validated: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from goldrec.functions.dates import strict_date
 from goldrec.functions.provenance import provenance
+from goldrec.functions.session import once_per_session
 from goldrec.functions.strict_json import one_document, shape_faults
 from goldrec.functions.text import blank_to_null, dedup_exact, first_by, normal_url, strip
 from goldrec.operators.constraints import Fault, blank, certification_faults, contact_faults, education_faults, experience_faults, told, too_many
@@ -45,7 +46,13 @@ def _kind_of(field: str) -> Column:
 
 def gate(rows: DataFrame) -> DataFrame:
     """Adds error_type, error_message and unknown_fields to rows with a `json` text."""
-    rows = rows.withColumn("_v", F.expr("try_parse_json(json)")).withColumn("_keys", F.expr("json_object_keys(json)"))
+    rows = rows.withColumns({"_v": F.expr("try_parse_json(json)"), "_keys": F.expr("json_object_keys(json)")})
+    kind, message, unknown = _gate()
+    return rows.withColumns({"error_type": kind, "error_message": message, "unknown_fields": unknown}).drop("_v", "_keys")
+
+
+@once_per_session
+def _gate() -> tuple[Column, Column, Column]:
     root = F.expr("schema_of_variant(_v)").startswith("OBJECT")
     bad: list[tuple[Column, str]] = [(~F.coalesce(root, F.lit(False)), "the root is not an object")]
     for f in ("first_name", "last_name"):
@@ -61,9 +68,8 @@ def gate(rows: DataFrame) -> DataFrame:
         bad += [((kind != "VOID") & ~kind.startswith("ARRAY"), f"{f} is not a list"), (kind.startswith("ARRAY") & ~F.forall(items, wanted), f"{f} has items that are not {what}")]
     message = F.coalesce(*(F.when(test, F.lit(text)) for test, text in bad))
     unreadable = F.col("_v").isNull()
-    out = rows.withColumn("error_type", F.when(unreadable, "InvalidJSONError").when(message.isNotNull(), "SchemaValidationError"))
-    out = out.withColumn("error_message", F.when(unreadable, "not a JSON document").otherwise(message))
-    return out.withColumn("unknown_fields", F.array_sort(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))).drop("_v", "_keys")
+    kind = F.when(unreadable, "InvalidJSONError").when(message.isNotNull(), "SchemaValidationError")
+    return kind, F.when(unreadable, "not a JSON document").otherwise(message), F.array_sort(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))
 
 
 def _mistyped(field: str, drop: tuple[str, ...] = ()) -> Column:
@@ -76,8 +82,17 @@ def _mistyped(field: str, drop: tuple[str, ...] = ()) -> Column:
 def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
     """Canonical columns of gated rows. A record that breaks a constraint becomes a MappingError whose message names every
     field at fault and why; today bounds the start of an experience (the run's date if not given)."""
+    lists, wrong, head, tail = _mapping(today)
+    d = rows.withColumns({"_d": F.from_json("json", ATS_DDL), "_v": F.expr("try_parse_json(json)")})
+    out = d.withColumns(lists).withColumn("_wrong", F.when(F.col("error_type").isNull(), wrong).otherwise(F.lit("")))
+    others = [c for c in rows.columns if c not in ("json", "entity_key", "error_type", "error_message")]
+    return out.select(*head, *others, *tail)
+
+
+@once_per_session
+def _mapping(today: Column | None) -> tuple[dict[str, Column], Column, list[Column], list[Column]]:
+    """The mapped lists, the faults of a record as one text, the record's columns and the error's."""
     today = F.current_date() if today is None else today
-    d = rows.withColumn("_d", F.from_json("json", ATS_DDL)).withColumn("_v", F.expr("try_parse_json(json)"))
     get = lambda f: F.col(f"_d.{f}")
     some = reduce(lambda a, b: a | b, (get(f).isNotNull() for f in CONTACT_FIELDS))
     contact = F.struct(get("email").alias("email"), strip(get("phone")).alias("phone"), strip(get("location")).alias("location"), normal_url(get("linkedin_url")).alias("linkedin_url"), normal_url(get("github_url")).alias("github_url"))
@@ -85,7 +100,7 @@ def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
     exp = F.transform(items("experience"), lambda x: F.struct(blank_to_null(x.company).alias("company"), blank_to_null(x.title).alias("title"), strict_date(x.start_date).alias("start_date"), strict_date(x.end_date).alias("end_date"), strip(x.description).alias("description"), dedup_exact(F.coalesce(x.skills, F.array())).alias("skills")))
     edu = F.transform(items("education"), lambda x: F.struct(blank_to_null(x.institution).alias("institution"), blank_to_null(x.degree).alias("degree"), strip(x.field_of_study).alias("field_of_study"), strict_date(x.start_date).alias("start_date"), strict_date(x.end_date).alias("end_date"), x.gpa.alias("gpa")))
     cert = F.transform(items("certifications"), lambda x: F.struct(blank_to_null(x["name"]).alias("name"), strip(x.issuer).alias("issuer"), strict_date(x.issued_date).alias("issued_date"), strict_date(x.expiry_date).alias("expiry_date")))
-    out = d.withColumns({"experiences": exp, "_edu": edu, "_cert": cert, "_skills": dedup_exact(items("skills")), "_languages": dedup_exact(items("languages"))})
+    lists = {"experiences": exp, "_edu": edu, "_cert": cert, "_skills": dedup_exact(items("skills")), "_languages": dedup_exact(items("languages"))}
     unread = lambda raw, name, end: F.exists(F.arrays_zip(items(raw).alias("r"), F.col(name).alias("m")), lambda z: z.r[end].isNotNull() & z.m[end].isNull())
     dates = "is not a date"
     whole = lambda f: F.coalesce(F.expr(f"schema_of_variant(try_variant_get(_v, '$.{f}', 'variant'))"), F.lit("VOID"))
@@ -113,17 +128,16 @@ def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
         too_many("languages", F.size("_languages")),
     ]
     wrong = told(faults)
-    out = out.withColumn("_wrong", F.when(F.col("error_type").isNull(), wrong).otherwise(F.lit("")))
     fails = F.col("_wrong") != ""
     filled = lambda f: F.when(F.size(get(f)) > 0, F.to_json(get(f)))
     raw = {"first_name": get("first_name"), "last_name": get("last_name"), "external_id": get("candidate_id"), **{c: get(c) for c in CONTACT_FIELDS}, "skills": filled("skills"), "languages": filled("languages"), "experiences": filled("experience"), "education": filled("education"), "certifications": filled("certifications")}
-    others = [c for c in rows.columns if c not in ("json", "entity_key", "error_type", "error_message")]
-    return out.select(
-        "entity_key", F.lit("ATS").alias("source"), F.lit(0).alias("input_ord"), F.lit(None).cast("string").alias("id"), strip(get("first_name")).alias("first_name"), strip(get("last_name")).alias("last_name"),
+    head = [
+        F.col("entity_key"), F.lit("ATS").alias("source"), F.lit(0).alias("input_ord"), F.lit(None).cast("string").alias("id"), strip(get("first_name")).alias("first_name"), strip(get("last_name")).alias("last_name"),
         blank_to_null(get("candidate_id")).alias("external_id"), F.when(some, contact).alias("contact"), "experiences", F.col("_edu").alias("education"),
         F.col("_skills").alias("skills"), first_by(F.col("_cert"), lambda x: F.lower(x["name"])).alias("certifications"), F.col("_languages").alias("languages"), provenance("ATS", raw).alias("provenance"),
-        F.lit("1.0").alias("schema_version"), *others, F.when(fails, "MappingError").otherwise(F.col("error_type")).alias("error_type"), F.when(fails, F.col("_wrong")).otherwise(F.col("error_message")).alias("error_message"),
-    )
+        F.lit("1.0").alias("schema_version"),
+    ]
+    return lists, wrong, head, [F.when(fails, "MappingError").otherwise(F.col("error_type")).alias("error_type"), F.when(fails, F.col("_wrong")).otherwise(F.col("error_message")).alias("error_message")]
 
 
 def from_json_text(rows: DataFrame, today: Column | None = None) -> DataFrame:
