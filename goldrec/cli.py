@@ -90,7 +90,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             code = 1
         if "error_type" in judged.columns:
             rejects = rejects.union(bad.select("entity_key", "error_type", "error_message"))
-        out = shown(judged if "error_type" not in judged.columns else judged.where("error_type IS NULL")) if args.verb in ("project", "transform") else judged
+        out = engine.envelope(judged).select("result.*") if args.envelope else shown(judged if "error_type" not in judged.columns else judged.where("error_type IS NULL")) if args.verb in ("project", "transform") else judged
         if args.output:
             records.write_json(out, args.output)
         else:
@@ -113,6 +113,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--policy", help="YAML of a merge policy")
     parser.add_argument("--config", help="folder with YAML of policy, confidence, validation, aliases")
     parser.add_argument("--region", help="of phone numbers without a country")
+    parser.add_argument("--envelope", action="store_true", help="whole results: candidate, reports, warnings, success, exit_code")
     parser.add_argument("--output", "-o")
     parser.add_argument("--debug", action="store_true")
     args = parser.parse_args(argv)

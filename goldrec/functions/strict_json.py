@@ -35,7 +35,9 @@ def one_document(rows: DataFrame, column: str = "json") -> DataFrame:
     text = F.col(f"`{column}`")
     listed = F.expr(f"size(try_variant_get(try_parse_json(concat('[', `{column}`, ']')), '$', 'array<variant>')) = 1")
     kept = F.expr(f"try_parse_json(concat('{{\"v\":', `{column}`, '}}')) IS NOT NULL")
-    marked = rows.withColumn("_one", F.coalesce(listed & kept, F.lit(False)))
+    # Exploded, so that the text is made once and not again in each of the many expressions that read it.
+    made = rows.withColumn(column, F.explode(F.array(column)))
+    marked = made.withColumn("_one", F.coalesce(listed & kept, F.lit(False)))
     return marked.withColumn(column, F.coalesce(F.when(F.col("_one"), text), _canonical(F.when(~F.col("_one"), text)))).drop("_one")
 
 

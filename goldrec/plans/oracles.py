@@ -101,6 +101,7 @@ ORACLE_SQL = {
     "confidence_single_source": f"""WITH {SOURCES_SQL} SELECT entity_key, source, CASE source WHEN 'ATS' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS score, CASE source WHEN 'ATS' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS contact FROM sources""",
     "transform_end_to_end": f"""{_norm_facts}, g AS (SELECT entity_key, {_first("first_name")} AS first_name, {_first("last_name")} AS last_name, {_first("e164")} AS phone, {_first("location")} AS location FROM sources GROUP BY entity_key)
       SELECT g.*, round(overall, 6) AS score, true AS is_valid, {_pass} AS summary, 0 AS exit_code, {_lists} FROM g JOIN s USING (entity_key)""",
+    "result_envelope": f"""WITH {SOURCES_SQL} SELECT entity_key, 'true' AS success, '0' AS exit_code, {_pass} AS summary, CAST(14 AS BIGINT) AS n_rules, {_first("first_name")} AS first_name, CAST(NULL AS VARCHAR) AS error_type FROM sources GROUP BY entity_key""",
     "merge_provenance": f"""{_facts} SELECT entity_key, {_provenance.format("':Customer'", "':f'", "':e'", "':s'", "':l'")} AS provenance,
       concat_ws(',', CASE WHEN ats THEN 'ATS=Customer' END, CASE WHEN res THEN 'RESUME=f' END) AS first_name, concat_ws(',', CASE WHEN ats AND k % 7 <> 0 THEN 'ATS=e' END, CASE WHEN res THEN 'RESUME=s' END) AS email FROM s""",
     "merge_report_accessors": f"""WITH {SOURCES_SQL} SELECT entity_key, CAST(13 AS BIGINT) AS n, concat_ws(',', {", ".join(f"CASE WHEN {_conflict(c)} THEN '{name}' END" for name, c in (("external_id", "external_id"), ("first_name", "first_name"), ("last_name", "last_name"), ("contact.email", "email"), ("contact.phone", "phone")))}) AS conflicting,

@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 MOST_BYTES = 5 * 1024 * 1024
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of every file below a path or pattern."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+def read_files(spark: SparkSession, path: str, audit: bool = True) -> DataFrame:
+    """path, length, content of every file below a path or pattern.
+
+    audit: a file that can't be read is a row without content, and the others go on; for that the files are read a second
+    time, their contents dropped where they lie. Without it such a file ends the job.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if not audit:
+        return files.load(path).select("path", "length", "content")
+    readable = files.option("ignoreCorruptFiles", "true").load(path).where("length IS NOT NULL")
+    seen = readable.select(F.col("path").alias("_path"), (F.octet_length("content") >= 0).alias("_whole")).where("_whole")
+    listed = files.load(path).select("path", "length")
+    lost = listed.join(seen, F.col("path") == F.col("_path"), "left_anti")
+    return readable.select("path", "length", "content").union(lost.select("path", "length", F.lit(None).cast("binary")))
 
 
 def file_error(suffixes: tuple[str, ...], most: int = MOST_BYTES) -> tuple[Column, Column]:
-    """(error_type, error_message) of the first check that a file fails: its suffix, then its size. That a path is there,
-    a file, and readable is checked by `missing_paths` and by Spark's reader."""
+    """(error_type, error_message) of the first check that a file fails: its suffix, its size, whether it could be read.
+    That a path is there is checked by `missing_paths`."""
     known = F.lower("path").rlike(r"(%s)$" % "|".join(s.replace(".", r"\.") for s in suffixes))
-    kind = F.when(~known | (F.col("length") > most), F.lit("FileReadError"))
-    return kind, F.when(~known, F.concat(F.lit("unsupported file extension: "), F.coalesce(F.nullif(F.regexp_extract("path", r"(\.[^./]+)$", 1), F.lit("")), F.lit("(none)")), F.lit(f"; expected one of {', '.join(suffixes)}"))).when(F.col("length") > most, F.lit(f"larger than {most} bytes"))
+    large, lost = F.col("length") > most, F.col("content").isNull()
+    suffix = F.coalesce(F.nullif(F.regexp_extract("path", r"(\.[^./]+)$", 1), F.lit("")), F.lit("(none)"))
+    said = F.when(~known, F.concat(F.lit("unsupported file extension: "), suffix, F.lit(f"; expected one of {', '.join(suffixes)}")))
+    return F.when(~known | large | lost, F.lit("FileReadError")), said.when(large, F.lit(f"larger than {most} bytes")).when(lost, F.lit("cannot be read"))
 
 
 def missing_paths(spark: SparkSession, paths: list[str]) -> DataFrame:

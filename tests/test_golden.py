@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from goldrec.operators import confidence, merge, normalize, projection, validati
 from goldrec.operators.merge import conflicts
 from goldrec.plans import engine
 from goldrec.plans.config import FIELDS, Config, ConfigError, Policy, Rule, load_config, load_projection
+from goldrec.plans.reports import Reports
 from goldrec.schema import CANDIDATE_DDL
 from goldrec.sources import records
 
@@ -208,3 +210,31 @@ def test_configuration_files(tmp_path):
         (tmp_path / "confidence_rules.yaml").write_text(text)
         with pytest.raises(ConfigError):
             load_config(str(tmp_path))
+
+
+def test_reports_of_a_run(spark):
+    """Metrics of the stages and rules come from the one job that writes the records."""
+    rows = frame(spark, record("a", "ATS", ext="A 1", contact=("nobody", None, "Paris", None, None)), record("a", "RESUME", first="Janet"), record("b", "ATS"), record("c", "ATS", first=None))
+    seen = Reports()
+    judged = engine.transform(rows, reports=seen)
+    out = {r["entity_key"]: r for r in judged.collect()}
+    got = seen.get()
+    assert list(got) == ["merge", "confidence", "validation"] and {s["rows"] for s in got.values()} == {3}
+    assert (got["merge"]["errors"], got["merge"]["conflicts"]) == (1, 1)
+    assert got["confidence"]["mean_score"] == pytest.approx(sum(r["confidence"]["score"] for r in out.values()) / 3)
+    for rule in validation.RULES:
+        assert got["validation"][f"failed_{rule.name}"] == sum(any(i["rule_name"] == rule.name for i in r["issues"]) for r in out.values()), rule.name
+    assert got["validation"]["invalid"] == sum(not r["is_valid"] for r in out.values()) and got["validation"]["failed_email_format"] == 1
+    told = {r["entity_key"]: r for r in validation.report(judged).collect()}
+    assert told["a"]["rules_failed"] == ["email_format", "external_id_format"] and told["a"]["rules_executed"] == [r.name for r in validation.RULES] and told["b"]["rules_failed"] == []
+
+
+def test_envelope(spark):
+    judged = engine.transform(frame(spark, record("a", "ATS", contact=("a@x.com", None, "Paris", None, None)), record("a", "RESUME", first="Janet", contact=(None, "12", None, None, None))))
+    text = engine.envelope(judged).select(F.to_json("result").alias("json")).first()["json"]
+    result = json.loads(text)
+    assert set(result) == {"candidate", "reports", "warnings", "success", "exit_code"} and result["success"] is True and result["exit_code"] == 0
+    assert len(result["reports"]["validation"]["rules_executed"]) == 14 and result["reports"]["validation"]["rules_failed"] == ["phone_format"]
+    assert result["warnings"] == ["sources disagree on first_name", "contact.phone is not a valid number"]
+    back = records.from_json_text(spark.createDataFrame([("k", text)], "entity_key string, json string")).first()
+    assert (back["entity_key"], back["error_message"], back["first_name"]) == ("a", None, "Jane")

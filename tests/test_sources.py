@@ -96,6 +96,15 @@ def test_files(spark, tmp_path):
     assert got == {"a.json": None, "b.json": "InvalidJSONError", "/c.txt": "FileReadError", "d.json": "FileReadError"}
 
 
+def test_a_file_that_cannot_be_read_is_a_row(spark, tmp_path):
+    """A checksum beside a file that doesn't fit it: reading fails, the others go on."""
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(NAME))
+    (tmp_path / ".b.json.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x12\x34\x56\x78")
+    got = {r["entity_key"][-6:]: (r["error_type"], r["error_message"]) for r in read_ats(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": (None, None), "b.json": ("FileReadError", "cannot be read"), "c.json": (None, None)}
+
+
 @pytest.fixture
 def docx(tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
