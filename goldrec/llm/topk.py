@@ -117,16 +117,18 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id",
     none = F.lit(float("-inf"))
     first = F.min("bucket").over(Window.partitionBy("dim"))
     dealt = asked.withColumn("batch", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-asked.count() // BATCH))))).withColumn("floor", none)
-    longest = buckets.withColumn("_first", first).where("bucket = _first").select("dim", "bucket", F.lit(0).cast("long").alias("block"))
+    longest = materialize(buckets.withColumn("_first", first).where("bucket = _first").select("dim", "bucket", F.lit(0).cast("long").alias("block")))
     best = materialize(meet(dealt, dealt.select("dim", "batch").distinct().join(longest, "dim")))
     floors = best.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), F.min("score").cast("double").alias("floor")).where(F.col("_n") >= k).drop("_n")
     needy = asked.join(floors, "_row", "left").withColumn("floor", F.coalesce("floor", none))
     # A score is whole: half a unit covers rounding. Without a positive floor, no length is too short.
     needy = materialize(needy.withColumn("need", F.when((F.col("floor") > 0) & (F.col("length") > 0), (F.col("floor") - 0.5) / F.col("length")).otherwise(0.0)))
-    batched = materialize(_bucketed(needy, "need", BUCKETS, BATCH).withColumn("batch", F.xxhash64("part", F.pmod(F.xxhash64("_row"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("dim", "part")) / BATCH)))))
+    parted = materialize(_bucketed(needy, "need", BUCKETS, BATCH))
+    batches = parted.groupBy("dim", "part").agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("_batches"))  # counted apart from the vectors
+    batched = parted.join(broadcast_if_small(materialize(batches)), ["dim", "part"]).withColumn("batch", F.xxhash64("part", F.pmod(F.xxhash64("_row"), F.col("_batches")))).drop("_batches")
     least = batched.groupBy("dim", "batch").agg(F.min("need").alias("_least"))
     cells = least.join(buckets, "dim").where("_most >= _least").withColumn("block", F.explode(F.expr("sequence(0L, _blocks - 1)"))).select(*keys)
-    rest = cells.join(F.broadcast(longest), ["dim", "bucket", "block"], "left_anti")
+    rest = cells.join(broadcast_if_small(longest), ["dim", "bucket", "block"], "left_anti")
     best = _merge(best.unionByName(meet(batched, rest)), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -300,6 +300,19 @@ def test_proofs_lead_to_the_root(spark, n):
                     assert (r["subroot"], r["root"], r["proof_sha256"]) == want[r["doc_id"]][2:5]
 
 
+def test_topk_sql_on_repeated_ids(spark, tmp_path):
+    """The query's SQL leaves out the query's own row only, as the operator does."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    data = [(i // 3 * 50, [float(x) for x in rng.normal(size=8).astype("float32")]) for i in range(90)] + [(100, None), (None, [1.0] * 8)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.QUERIES["op9_topk"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score")
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(db.execute(queries.ORACLE_SQL["op9_topk"]).fetchall())
+
+
 @pytest.mark.parametrize("name", ["op11_trie", "op13_merkle"])
 def test_against_sql(spark, name):
     import duckdb
