@@ -153,7 +153,7 @@ ORACLE_SQL = {
       count(*) FILTER (WHERE o_orderkey % 2 = 1) AS n, CASE WHEN bool_or(o_orderkey % 2 = 0) THEN 'experience:no usable start_date' ELSE '' END AS skipped,
       'first_name,last_name,email,phone,location,linkedin_url,github_url' || CASE WHEN bool_or(o_orderkey % 2 = 1) THEN ',experiences' ELSE '' END AS provenance FROM orders GROUP BY o_custkey""",
     "date_ranges": """SELECT o_orderkey, strftime(o_orderdate, '%b %Y') || '>Present|' || month(o_orderdate) || '/' || year(o_orderdate) || '>' || (year(o_orderdate) + 1) AS ranges, make_date(year(o_orderdate) + 1, 1, 1) AS last FROM orders""",
-    "gpa_scale": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN round((l_linenumber + 0.5::DOUBLE) * 0.4::DOUBLE, 2) WHEN l_linenumber = 1 THEN 1.25::DOUBLE END AS gpa FROM lineitem WHERE l_linenumber IS NOT NULL""",
+    "gpa_scale": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN round((l_linenumber + 0.5::DOUBLE) * 0.4::DOUBLE, 2) WHEN l_linenumber = 1 THEN 1.25::DOUBLE END AS gpa FROM lineitem""",
     "ats_map": f"""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT CAST(k AS VARCHAR) AS entity_key, CASE WHEN k % 8 > 1 THEN 'MappingError' END AS error_type, {_wrong} AS error_message, CASE WHEN k % 8 = 0 THEN 'Q' || k END AS external_id, CASE WHEN k % 8 = 0 THEN 'c' || k || '@x.test' END AS email,
       CASE WHEN k % 8 = 0 THEN 'https://l.test/' END AS linkedin_url, CASE k % 8 WHEN 0 THEN 'Go,js' WHEN 1 THEN '' END AS skills, CAST(CASE k % 8 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS BIGINT) AS n_certifications, CASE WHEN k % 8 = 1 THEN 'Firm ' || k || '/Clerk/2010-01-01/2012-01-01/a' END AS experience,
       CASE k % 8 WHEN 0 THEN 'first_name,last_name,external_id,email,linkedin_url,skills,languages,certifications' WHEN 1 THEN 'first_name,last_name,experiences' END AS provenance FROM c""",
