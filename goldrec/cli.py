@@ -35,18 +35,23 @@ def _files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, Dat
 
 
 def sources_of(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, DataFrame]:
-    """(records, rejects) of all files below the paths, each read by its suffix: .json, or .docx and .pdf."""
+    """(records, rejects) of all files below the paths, each read by its suffix: .json, or .docx and .pdf. Resumes are
+    read only where there are some: their plan is a large one."""
     files, rejects = _files(spark, paths)
     if files is None:
         return None, rejects
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     structured, bad = split_rejects(ats.from_files(files.where(suffix == "json")).drop("unknown_fields"))
-    blocks, unread = documents.from_files(files.where(suffix.isin("docx", "pdf")))
-    resumes, unnamed = split_rejects(to_records(extract(blocks)).drop("skipped_entries"))
+    both, told = structured, [bad]
+    lost = {r["key"] for r in rejects.collect()}  # of the arguments
+    if any(not read_files(spark, p, audit=False).where(suffix.isin("docx", "pdf")).select("path").isEmpty() for p in paths if p not in lost):
+        blocks, unread = documents.from_files(files.where(suffix.isin("docx", "pdf")))
+        resumes, unnamed = split_rejects(to_records(extract(blocks)).drop("skipped_entries"))
+        both, told = structured.unionByName(resumes), [bad, unread, unnamed]
     other = files.where(~suffix.isin("json", "docx", "pdf")).select(F.col("path").alias("key"), F.lit("UnsupportedFormatError").alias("error_type"), F.lit("expected .json, .docx or .pdf").alias("error_message"))
-    for more in (bad, unread, unnamed):
+    for more in told:
         rejects = rejects.union(more.select(F.col(more.columns[0]), "error_type", "error_message"))
-    return structured.unionByName(resumes), rejects.union(other)
+    return both, rejects.union(other)
 
 
 def paired(sources: DataFrame) -> DataFrame:
