@@ -4,10 +4,12 @@
    out again by weight). A source is dealt by hash into blocks of whole documents, in an order permuted by a keyed hash.
 2. A target of k whole passes and a rest draws every block k times, and the first blocks of the permuted order once
    more, until the rest is reached; where it is reached, one document is cut to the missing words.
-3. The sources' draw counts are exact quotas. A binary tree over the output shards divides them, summed over groups of
-   sources (at most GROUPS): at each node the left half's quotas are drawn from a multivariate hypergeometric
-   distribution, seeded by the node, and the right half gets the others. Inside a group, its sources' quotas are drawn
-   from the same distribution, shard by shard. A leaf (a shard) holds, of every source, one range of draws, so that shards draw disjoint blocks.
+3. The sources' draw counts are exact quotas. A binary tree over the output shards divides them: at each node the left
+   half's quotas are drawn from a multivariate hypergeometric distribution, seeded by the node, and the right half gets
+   the others. The tree is grown by rounds of up to FAN children a node, twice: over the sums of groups of sources (at
+   most GROUPS), then inside each group over its sources, whose draws in a node are those that the group got there. So
+   a task holds one node's groups or one group's sources in a node, whatever the number of shards and sources. A leaf
+   (a shard) holds, of every source, one range of draws, so that shards draw disjoint blocks.
 4. A shard's rows are put in order by a keyed hash: a local shuffle.
 
 A kept column that is named like an added one comes out as kept_ and its name (or in one struct, with `packed`).
@@ -17,8 +19,6 @@ Repeated rows are drawn alike. An empty table gives an empty mix. Reruns agree:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +30,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words and documents of a block, and blocks that even a small source has.
 BLOCK_WORDS, BLOCK_DOCS, BLOCKS = 65_536, 512, 64
-#: Draws of an output shard; groups of sources.
-SHARD_DRAWS, GROUPS = 32, 256
+#: Draws of an output shard; groups of sources; children of a node that a round of the splitting tree grows.
+SHARD_DRAWS, GROUPS, FAN = 32, 256, 256
 #: Columns that mix and copies add; a kept column of such a name comes out as kept_ and its name.
 OWN = {"size", "source_size", "target", "taken", "shards", "shard", "words", "_pass"}
 
@@ -70,25 +70,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def split_quotas(seed: int, quotas: list[int], shards: int, low: int = 0, high: int | None = None, node: int = 1) -> Iterator[tuple[int, list[int]]]:
-    """(shard, quotas) of the leaves of the splitting tree below a node; depends on the node and its quotas alone."""
-    high = shards if high is None else high
-    if high - low == 1:
-        yield low, quotas
-        return
-    middle = (low + high) // 2
-    total = sum(quotas)
-    # Equal shards: of all draws before shard i, i / shards lie to its left.
-    left_total = total * (middle - low) // (high - low)
-    rng = np.random.default_rng([seed, node])
-    left, pool = [], total
-    for q in quotas:
-        pool -= q
-        take = int(rng.hypergeometric(q, pool, left_total)) if left_total and q and pool else (min(q, left_total) if not pool else 0)
-        left.append(take)
-        left_total -= take
-    yield from split_quotas(seed, left, shards, low, middle, 2 * node)
-    yield from split_quotas(seed, [q - x for q, x in zip(quotas, left)], shards, middle, high, 2 * node + 1)
+def split_quotas(key: list[int], quotas: np.ndarray, totals: np.ndarray, node: int = 1) -> np.ndarray:
+    """The leaves' quotas, a row a leaf, of the splitting tree below a node; leaf i draws totals[i] in all, and the
+    quotas' sum is the totals'. It depends on the key, the node and its quotas and totals alone."""
+    if len(totals) == 1:
+        return quotas[None, :]
+    middle = len(totals) // 2
+    rng = np.random.default_rng([*key, node])
+    left = rng.multivariate_hypergeometric(quotas, totals[:middle].sum(), method="marginals") if len(quotas) > 1 else totals[:middle].sum(keepdims=True)
+    return np.concatenate([split_quotas(key, left, totals[:middle], 2 * node), split_quotas(key, quotas - left, totals[middle:], 2 * node + 1)])
+
+
+def _tree(quotas: DataFrame, seed: int, shards: int, fan: int = FAN) -> DataFrame:
+    """(_source, shard, _start, _quota): the range of a source's draws that a shard holds, from a table (_source, _group, _quota)."""
+    root = (F.lit(0).cast("long").alias("_low"), F.lit(shards).cast("long").alias("_high"))
+    groups = quotas.groupBy("_group").agg(F.sum("_quota").alias("_quota")).select(*root, "_group", "_quota")
+    sources = quotas.select(*root, "_group", "_source", F.lit(0).cast("long").alias("_start"), "_quota")
+
+    def of_node(own: pd.DataFrame) -> pd.DataFrame:
+        """The children of a node, of nearly equal widths, with what each group of sources draws there."""
+        own = own.sort_values("_group")
+        low, high, names, held = int(own["_low"].iloc[0]), int(own["_high"].iloc[0]), own["_group"].to_numpy(), own["_quota"].to_numpy()
+        edges = np.unique(low + (high - low) * np.arange(fan + 1) // fan)
+        parts = split_quotas([seed, low, high], held, np.diff(held.sum() * (edges - low) // (high - low)))
+        child, group = np.nonzero(parts)
+        return pd.DataFrame({"_from": low, "_to": high, "_low": edges[child], "_high": edges[child + 1], "_group": names[group], "_quota": parts[child, group]})
+
+    def of_group(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        """A group's sources in the children of a node: of every source, one range of its draws a child."""
+        own, given = own.sort_values("_source"), given.sort_values("_low")
+        held = own["_quota"].to_numpy()
+        parts = split_quotas([seed + 1, int(own["_group"].iloc[0]), int(own["_low"].iloc[0]), int(own["_high"].iloc[0])], held, given["_quota"].to_numpy())
+        starts = own["_start"].to_numpy() + parts.cumsum(0) - parts
+        child, at = np.nonzero(parts)
+        return pd.DataFrame({"_low": given["_low"].to_numpy()[child], "_high": given["_high"].to_numpy()[child], "_group": own["_group"].to_numpy()[at], "_source": own["_source"].to_numpy()[at], "_start": starts[child, at], "_quota": parts[child, at]})
+
+    width = shards
+    while width > 1:
+        grown = groups.groupBy("_low", "_high").applyInPandas(of_node, "_from long, _to long, _low long, _high long, _group long, _quota long")
+        last = width <= fan
+        grown = grown if last else materialize(grown)
+        drawn = sources.groupBy("_low", "_high", "_group").cogroup(grown.groupBy("_from", "_to", "_group")).applyInPandas(of_group, "_low long, _high long, _group long, _source long, _start long, _quota long")
+        groups, sources = grown.drop("_from", "_to"), drawn if last else materialize(drawn)
+        width = -(-width // fan)
+    return sources.select("_source", F.col("_low").alias("shard"), "_start", "_quota")
 
 
 def _block_plan(docs: DataFrame, seed: int, per_shard: int) -> DataFrame:
@@ -108,31 +133,8 @@ def _block_plan(docs: DataFrame, seed: int, per_shard: int) -> DataFrame:
         .select("_source", "_block", "_passes", "_rest", "_copies", "_place")
     )
     quotas = materialize(ordered.groupBy("_source").agg(F.sum("_copies").alias("_quota"), F.count(F.lit(1)).alias("_n")).where("_quota > 0").withColumn("_group", F.pmod(F.xxhash64("_source"), F.lit(GROUPS))))
-    totals = sorted((r["_group"], r["q"]) for r in quotas.groupBy("_group").agg(F.sum("_quota").alias("q")).collect())  # at most GROUPS rows
-    shards = max(1, -(-sum(q for _, q in totals) // per_shard))
-    tops = min(shards, 64)
-
-    def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = dict(split_quotas(seed, [q for _, q in totals], tops))
-        for top in (t for frame in frames for t in frame["id"]):
-            low, high = top * shards // tops, (top + 1) * shards // tops
-            rows = [(group, low + leaf, q) for leaf, own in split_quotas(seed + 1 + top, upper[top], high - low) for (group, _), q in zip(totals, own) if q]
-            yield pd.DataFrame(rows, columns=["_group", "shard", "_quota"]).astype("int64")
-
-    def inside_group(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        """A group's draws of each shard, dealt to its sources; of every source one range of its draws a shard."""
-        own, given = own.sort_values("_source"), given.sort_values("shard")
-        names, left, rows = own["_source"].to_numpy(), own["_quota"].to_numpy().copy(), []
-        starts, rng = np.zeros(len(names), np.int64), np.random.default_rng([seed, int(own["_group"].iloc[0])])
-        for shard, n in zip(given["shard"], given["_quota"]):
-            take = rng.multivariate_hypergeometric(left, n, method="marginals") if len(left) > 1 else np.array([n])
-            rows += [(names[k], shard, starts[k], take[k]) for k in np.flatnonzero(take)]
-            left, starts = left - take, starts + take
-        return pd.DataFrame(rows, columns=["_source", "shard", "_start", "_quota"]).astype("int64")
-
-    # Each of the tree's upper leaves grows its own branch in a task of its own; so does each group of sources.
-    of_groups = docs.sparkSession.range(tops, numPartitions=tops).mapInPandas(leaves, "_group long, shard long, _quota long")
-    tree = quotas.groupBy("_group").cogroup(of_groups.groupBy("_group")).applyInPandas(inside_group, "_source long, shard long, _start long, _quota long")
+    shards = max(1, -(-(quotas.agg(F.sum("_quota")).first()[0] or 0) // per_shard))
+    tree = _tree(quotas.select("_source", "_group", "_quota"), seed, shards)
     places = tree.select("_source", "shard", F.explode(F.expr("sequence(_start, _start + _quota - 1)")).alias("_draw"))
     drawn = ordered.where("_copies > 0")
     draws = (

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import re
 import time
 import tracemalloc
@@ -87,10 +88,30 @@ def test_mix_keeps_columns_of_clashing_names(spark, odd):
 
 
 def test_splitting_tree_is_exact():
-    quotas = [100, 0, 7, 1000]
-    leaves = dict(mixing.split_quotas(3, quotas, 9))
-    assert sorted(leaves) == list(range(9)) and [sum(x) for x in zip(*leaves.values())] == quotas
-    assert max(map(sum, leaves.values())) - min(map(sum, leaves.values())) <= 1
+    quotas, totals = np.array([100, 0, 7, 1000]), np.array([123] * 8 + [123])
+    leaves = mixing.split_quotas([3], quotas, totals)
+    assert leaves.min() >= 0 and leaves.sum(0).tolist() == quotas.tolist() and leaves.sum(1).tolist() == totals.tolist()
+    assert mixing.split_quotas([3], quotas, totals).tolist() == leaves.tolist() != mixing.split_quotas([4], quotas, totals).tolist()
+    draws = np.array([mixing.split_quotas([i], np.array([300, 100]), np.array([40, 160, 200]))[:, 1] for i in range(2000)])
+    assert draws.mean(0) == pytest.approx([10, 40, 50], abs=0.5)
+    assert draws.var(0) == pytest.approx([6.8, 18.0, 18.8], rel=0.15)  # n p (1 - p) (N - n) / (N - 1)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 50])
+def test_splitting_tree_in_rounds(spark, shards):
+    """A small fan makes several rounds: of every source, disjoint ranges that cover its quota; equal shards; reruns agree."""
+    quotas = {100 + i: 1 + i * i % 23 for i in range(40)} | {7: 5000}
+    table = spark.createDataFrame([(s, s % 5, q) for s, q in quotas.items()], "_source long, _group long, _quota long")
+    rows = sorted(map(tuple, mixing._tree(table, 7, shards, fan=4).collect()))
+    assert rows == sorted(map(tuple, mixing._tree(table.repartition(5), 7, shards, fan=4).collect()))
+    held = collections.Counter()
+    for s, q in quotas.items():
+        own = sorted((start, shard, n) for source, shard, start, n in rows if source == s)
+        assert [x[1] for x in own] == sorted({x[1] for x in own}) and all(n > 0 for *_, n in own)
+        assert [x[0] for x in own] == list(itertools.accumulate((n for *_, n in own[:-1]), initial=0)) and sum(n for *_, n in own) == q
+        for _, shard, n in own:
+            held[shard] += n
+    assert sorted(held) == list(range(shards)) and max(held.values()) - min(held.values()) <= 3
 
 
 def test_mix_many_sources(spark):
