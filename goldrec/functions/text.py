@@ -87,8 +87,9 @@ def identity_key(*cols: Column) -> Column:
 
 
 def bind(value: Column, use) -> Column:
-    """use(value), with the value computed once: what a lambda repeats for every item should be bound before it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value), with the value computed once: what a lambda repeats for every item should be bound before it. A fold over
+    nothing: an item taken out of a transformed array would have its type worked out anew for every row."""
+    return F.aggregate(F.array(), value, lambda kept, _: kept, use)
 
 
 def first_by(items: Column, key) -> Column:

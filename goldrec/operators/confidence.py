@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldrec.functions.rows import made_once
 from goldrec.functions.session import once_per_session
 from goldrec.functions.text import bind
 from goldrec.plans.config import ConfigError, Scoring
@@ -104,12 +105,12 @@ def score(record: DataFrame, scoring: Scoring | None = None, single: bool | None
             raise ConfigError("records without a merge_report and without a source can't be scored")
         single = "merge_report" not in record.columns
     given = F.array(*(F.struct(F.lit(n).alias("field"), F.lit(float(w)).alias("weight"), missing(record, n).alias("missing")) for n, w in scoring.fields.items()))
-    # Two steps, so that neither's work is repeated where the next reads it: facts, then all fields' steps.
-    out = record.withColumn("_facts", _facts(single, given)).withColumn("_scored", _scored(scoring))
+    # In steps, so that none's work is repeated where the next reads it: facts, all fields' steps, what is told of them.
+    out = made_once(record.withColumn("_facts", _facts(single, given)), {"_scored": _scored(scoring)})
     source = F.col("source") if single else F.coalesce(F.try_element_at("considered", F.lit(1)), F.lit("ATS"))
     fields = F.map_from_entries(F.transform("_scored", lambda s: F.struct(s.field.alias("key"), F.struct(s.score.alias("score"), source.alias("source")).alias("value"))))
     weight = F.aggregate("_scored", F.lit(0.0), lambda a, s: a + s.weight)
     total = F.aggregate("_scored", F.lit(0.0), lambda a, s: a + s.weight * s.score)
     overall = F.when(weight > 0, total / weight).otherwise(0.0)
     told = {"confidence": F.struct(overall.alias("score"), fields.alias("fields")), "confidence_trace": F.flatten(F.transform("_scored", lambda s: s.trace))}
-    return out.withColumns(told).drop("_facts", "_scored")
+    return made_once(out, told).drop("_facts", "_scored")

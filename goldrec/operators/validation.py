@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.functions.phones import e164
+from goldrec.functions.rows import made_once
 from goldrec.functions.session import once_per_session
 from goldrec.functions.text import bind, collapse, strip
 from goldrec.plans.config import Config, ConfigError
@@ -121,7 +122,10 @@ def validate(records: DataFrame, config: Config | None = None, rules: list[Rule]
         raise ConfigError(f"rule names repeat: {names}")
     config = config or Config()
     every = F.concat(*(_issues(r, config) for r in rules)) if rules else F.array()
-    out = records.withColumn("issues", every.cast(ISSUES))
+    # The rules read the scores many times, and the issues are read many times.
+    if "confidence" in records.columns:
+        records = made_once(records, {"confidence": F.col("confidence")}).select(records.columns)
+    out = made_once(records, {"issues": every.cast(ISSUES)})
     count = lambda *which: F.size(F.filter("issues", lambda x: x.severity.isin(*which)))
     valid = count(*BLOCKING) == 0
     summary = F.concat(F.when(valid, "PASS").otherwise("FAIL"), F.lit(": "), count(*BLOCKING).cast("string"), F.lit(" error(s), "), count("WARNING").cast("string"), F.lit(f" warning(s) across {len(rules)} rule(s)"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldrec.functions import dates, phones, text
+from goldrec.functions.rows import spread
 from goldrec.operators import confidence, merge as merging, normalize, projection, resume, validation
 from goldrec.plans import engine, errors, record_queries
 from goldrec.plans.config import SKILL_ALIASES, Policy, Rule
@@ -232,7 +233,7 @@ def faulty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = f"CASE {k} % 7 WHEN 2 THEN array({plain}, {job % (' a', 'date(null)', 'string(null)')}) WHEN 4 THEN array({plain}, {job % ('B', 'date ' + repr('2009-01-01'), 'string(null)')}) WHEN 5 THEN array({job % ('A', 'date(null)', 'repeat(' + repr('x') + ', 10001)')}) ELSE array() END"
     school = "named_struct('institution', '%s', 'degree', 'D', 'field_of_study', string(null), 'start_date', date '2010-01-01', 'end_date', %s, 'gpa', double(null))"
     schools = f"CASE {k} % 7 WHEN 3 THEN array({school % ('S', 'date(null)')}, {school % ('s ', 'date(null)')}) WHEN 6 THEN array({school % ('S', 'date ' + repr('2009-01-01'))}) ELSE array() END"
-    rows = _table(spark, sf_dir, "customer").selectExpr(
+    rows = spread(_table(spark, sf_dir, "customer")).selectExpr(
         f"string({k}) AS entity_key", f"if({k} % 5 = 0, ' ', if({k} % 11 = 0, repeat('x', 10001), 'Ann')) AS first_name", f"if({k} % 13 = 0, 'P\u0430ul', c_name) AS last_name", f"if({k} % 4 = 0, c_name, concat('c-', {k})) AS external_id",
         f"if({k} % 6 = 0, 'x', '12345678-1234-1234-1234-123456789012') AS id", "if(c_custkey % 10 = 3, '2.0', '1.0') AS schema_version", f"cast({jobs} AS {EMPTY['experiences']}) AS experiences", f"cast({schools} AS {EMPTY['education']}) AS education",
         f"named_struct('email', if({k} % 3 = 0, 'nobody', concat('c', {k}, '@x.com')), 'phone', if({k} % 2 = 0, '4155552671', '12'), 'location', string(NULL), 'linkedin_url', if({k} % 9 = 0, 'ftp://x', 'https://x.com/'), 'github_url', string(NULL)) AS contact", k,
