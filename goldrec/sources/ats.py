@@ -69,7 +69,7 @@ def _gate() -> tuple[Column, Column, Column]:
     message = F.coalesce(*(F.when(test, F.lit(text)) for test, text in bad))
     unreadable = F.col("_v").isNull()
     kind = F.when(unreadable, "InvalidJSONError").when(message.isNotNull(), "SchemaValidationError")
-    return kind, F.when(unreadable, "not a JSON document").otherwise(message), F.array_sort(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))
+    return kind, F.when(unreadable, "not a JSON document").otherwise(message), F.sort_array(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))
 
 
 def _mistyped(field: str, drop: tuple[str, ...] = ()) -> Column:

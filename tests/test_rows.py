@@ -47,3 +47,14 @@ def test_validation_issues_makes_each_step_once(spark):
     found = queries.validation_issues(spark, SF)
     assert len(plan(found)) < 150_000  # 780,000 before: scores and issues were made anew wherever they were read
     assert found.rdd.getNumPartitions() > 1  # one before
+
+
+def test_sources_are_dealt_over_tasks(spark):
+    sizes = queries.scalar_sources(spark, SF).rdd.glom().map(len).collect()
+    assert len(sizes) > 3 and max(sizes) < 6000  # two tasks before, one with all customers
+
+
+def test_an_items_row_holds_no_record_and_few_entities_are_counted(spark):
+    told = plan(queries.confidence_notes(spark, SF))
+    assert "ArraySort" not in told and "array_sort(" not in told  # a comparator that makes an ordering for each comparison
+    assert "LeftSemi" in told  # all items were taken apart a second time to count them
