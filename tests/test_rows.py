@@ -71,3 +71,7 @@ def test_strip_and_collapse_of_all_white_space(spark):
     assert rows.where("s = 'a b' OR k = ' a b '").count() and len(SPACES) == len(set(SPACES))
     # No pattern is tried at every character of a text for what stands at its ends.
     assert "regexp_replace" not in plan(spark.range(1).select(strip(F.col("id").cast("string")))) and re.fullmatch(r"\s+", " ")
+
+
+def test_documents_are_dealt_over_tasks(spark):
+    assert queries._documents_of(spark, SF).rdd.getNumPartitions() > 1  # one before
