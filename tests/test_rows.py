@@ -75,3 +75,30 @@ def test_strip_and_collapse_of_all_white_space(spark):
 
 def test_documents_are_dealt_over_tasks(spark):
     assert queries._documents_of(spark, SF).rdd.getNumPartitions() > 1  # one before
+
+
+def _records(spark, n, keys):
+    from goldrec.schema import CANDIDATE_DDL
+
+    name = "if(id % 2 = 0, 'Ann', 'Bo')"
+    rows = spark.range(n).selectExpr(f"string(id % {keys}) AS entity_key", "if(id % 3 = 0, 'ATS', 'RESUME') AS source", "int(id) AS input_ord", f"{name} AS first_name", "'L' AS last_name", "array(concat('s', id % 4), 'S1') AS skills", "named_struct('email', concat('e', id % 5), 'phone', string(null), 'location', string(null), 'linkedin_url', string(null), 'github_url', string(null)) AS contact")
+    given = spark.createDataFrame([], CANDIDATE_DDL).schema
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in given if f.name not in rows.columns})
+
+
+def test_merge_has_tasks_by_the_number_of_records(spark):
+    from goldrec.operators.merge import merge
+
+    told = merge(_records(spark, 45_000, 40_000))
+    assert "RepartitionByExpression [entity_key" in plan(told) and told.count() == 40_000
+    few = plan(told).split("RepartitionByExpression [entity_key")[1]
+    assert few.split("], ")[1].startswith("5")  # as many as spark.sql.shuffle.partitions before, however many records
+
+
+def test_entities_of_many_records_merge_as_others_do(spark):
+    from goldrec.operators.merge import merge
+
+    rows = _records(spark, 300, 1).unionByName(_records(spark, 20, 10).withColumn("entity_key", F.concat(F.lit("k"), "entity_key")))
+    text = lambda gather: sorted(merge(rows, gather=gather).select(F.to_json(F.struct("*")).alias("j")).toPandas().j)
+    alike = text(50)  # the first entity is of too many records to be dealt whole
+    assert len(alike) == 11 and alike == text(10_000)
