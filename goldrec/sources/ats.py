@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from goldrec.functions.dates import strict_date
 from goldrec.functions.provenance import provenance
+from goldrec.functions.rows import made_once
 from goldrec.functions.session import once_per_session
 from goldrec.functions.strict_json import one_document, shape_faults
 from goldrec.functions.text import blank_to_null, dedup_exact, first_by, normal_url, strip
@@ -46,13 +47,15 @@ def _kind_of(field: str) -> Column:
 
 def gate(rows: DataFrame) -> DataFrame:
     """Adds error_type, error_message and unknown_fields to rows with a `json` text."""
-    rows = rows.withColumns({"_v": F.expr("try_parse_json(json)"), "_keys": F.expr("json_object_keys(json)")})
-    kind, message, unknown = _gate()
-    return rows.withColumns({"error_type": kind, "error_message": message, "unknown_fields": unknown}).drop("_v", "_keys")
+    rows = made_once(rows, {"_v": F.expr("try_parse_json(json)"), "_keys": F.expr("json_object_keys(json)")})
+    shape, kind, message, unknown = _gate()
+    rows = made_once(rows, {"_shape": shape})
+    return rows.withColumns({"error_type": kind, "error_message": message, "unknown_fields": unknown}).drop("_v", "_keys", "_shape")
 
 
 @once_per_session
-def _gate() -> tuple[Column, Column, Column]:
+def _gate() -> tuple[Column, Column, Column, Column]:
+    """What is wrong with a document's shape, and the columns that tell of it, which read that as `_shape`."""
     root = F.expr("schema_of_variant(_v)").startswith("OBJECT")
     bad: list[tuple[Column, str]] = [(~F.coalesce(root, F.lit(False)), "the root is not an object")]
     for f in ("first_name", "last_name"):
@@ -66,10 +69,10 @@ def _gate() -> tuple[Column, Column, Column]:
         items = F.expr(f"transform(try_variant_get(_v, '$.{f}', 'array<variant>'), x -> schema_of_variant(x))")
         wanted, what = (lambda x: x == "STRING", "texts") if f in TEXT_LISTS else (lambda x: x.startswith("OBJECT"), "objects")
         bad += [((kind != "VOID") & ~kind.startswith("ARRAY"), f"{f} is not a list"), (kind.startswith("ARRAY") & ~F.forall(items, wanted), f"{f} has items that are not {what}")]
-    message = F.coalesce(*(F.when(test, F.lit(text)) for test, text in bad))
+    shape = F.coalesce(*(F.when(test, F.lit(text)) for test, text in bad))
     unreadable = F.col("_v").isNull()
-    kind = F.when(unreadable, "InvalidJSONError").when(message.isNotNull(), "SchemaValidationError")
-    return kind, F.when(unreadable, "not a JSON document").otherwise(message), F.sort_array(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))
+    kind = F.when(unreadable, "InvalidJSONError").when(F.col("_shape").isNotNull(), "SchemaValidationError")
+    return shape, kind, F.when(unreadable, "not a JSON document").otherwise(F.col("_shape")), F.sort_array(F.array_except("_keys", F.array(*map(F.lit, KNOWN))))
 
 
 def _mistyped(field: str, drop: tuple[str, ...] = ()) -> Column:
@@ -83,8 +86,9 @@ def map_document(rows: DataFrame, today: Column | None = None) -> DataFrame:
     """Canonical columns of gated rows. A record that breaks a constraint becomes a MappingError whose message names every
     field at fault and why; today bounds the start of an experience (the run's date if not given)."""
     lists, wrong, head, tail = _mapping(today)
-    d = rows.withColumns({"_d": F.from_json("json", ATS_DDL), "_v": F.expr("try_parse_json(json)")})
-    out = d.withColumns(lists).withColumn("_wrong", F.when(F.col("error_type").isNull(), wrong).otherwise(F.lit("")))
+    # In steps, each made once: a filter on the errors would have the documents parsed anew for every constraint.
+    d = made_once(rows, {"_d": F.from_json("json", ATS_DDL), "_v": F.expr("try_parse_json(json)")})
+    out = made_once(made_once(d, lists), {"_wrong": F.when(F.col("error_type").isNull(), wrong).otherwise(F.lit(""))})
     others = [c for c in rows.columns if c not in ("json", "entity_key", "error_type", "error_message")]
     return out.select(*head, *others, *tail)
 

@@ -102,3 +102,8 @@ def test_entities_of_many_records_merge_as_others_do(spark):
     text = lambda gather: sorted(merge(rows, gather=gather).select(F.to_json(F.struct("*")).alias("j")).toPandas().j)
     alike = text(50)  # the first entity is of too many records to be dealt whole
     assert len(alike) == 11 and alike == text(10_000)
+
+
+def test_a_filter_on_errors_has_documents_parsed_once(spark):
+    told = plan(queries.parse_end_to_end(spark, "/root/testdata/sf0.01"))
+    assert told.count("from_json(") == 1  # in the filter too before, for every field that a constraint reads
