@@ -148,13 +148,14 @@ def union_records(sources: DataFrame, name: str, rule: Rule) -> DataFrame:
     return _union(sources, name, rule)
 
 
-def merge(sources: DataFrame, policy: Policy | None = None, gather: int = GATHER) -> DataFrame:
+def merge(sources: DataFrame, policy: Policy | None = None, gather: int = GATHER, raw: DataFrame | None = None) -> DataFrame:
     """Golden records: canonical fields, provenance, `considered` and `merge_report`, a row per field of the policy.
 
     Scores for `highest_confidence` come from a `confidence` column (fields: name -> score), where there is one; without
     one that strategy is `source_priority`. Entities without a first and last name, and those of which a merged list is
     longer than a record's may be, are returned with an error_type. Lists of more than `gather` different items are
-    counted, never gathered.
+    counted, never gathered. raw: the same records before a step that makes no list longer; entities of many records and
+    items are told from these, so that the step isn't done for counting.
     """
     policy = policy or Policy()
     if "provenance" not in sources.columns:
@@ -194,7 +195,8 @@ def merge(sources: DataFrame, policy: Policy | None = None, gather: int = GATHER
     # and a list of more different items than may be gathered is left at one item that tells of it. The tables of such
     # entities and lists have a row per more than `gather` items at most.
     held = [F.count(F.lit(1)).alias("_rows"), *(F.sum(F.greatest(F.size(n), F.lit(0))).alias(n) for n in (*lists, "provenance"))]
-    many = sources.groupBy("entity_key").agg(*held).where(" OR ".join(f"{n} > {gather}" for n in ("_rows", *lists, "provenance"))).select("entity_key")
+    raw = sources if raw is None else raw if "provenance" in raw.columns else raw.withColumn("provenance", F.array())
+    many = raw.groupBy("entity_key").agg(*held).where(" OR ".join(f"{n} > {gather}" for n in ("_rows", *lists, "provenance"))).select("entity_key")
     few = dealt(sources, lambda rows: rows.join(F.broadcast(many), "entity_key", "left_anti"), "entity_key")
     large = sources.join(F.broadcast(many), "entity_key", "left_semi")
     counted = taken_apart(large, *(_items(sources, n, policy.rule(n)) for n in lists))

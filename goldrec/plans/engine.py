@@ -40,7 +40,8 @@ def parse(rows: DataFrame, config: Config | None = None) -> DataFrame:
 
 def merge(sources: DataFrame, config: Config | None = None) -> DataFrame:
     config = config or Config()
-    return merging.merge(normalize.normalize(sources.select(*CANONICAL, *(c for c in OPTIONAL if c in sources.columns)), config), config.policy)
+    raw = sources.select(*CANONICAL, *(c for c in OPTIONAL if c in sources.columns))
+    return merging.merge(normalize.normalize(raw, config), config.policy, raw=raw)
 
 
 def validate(rows: DataFrame, config: Config | None = None) -> DataFrame:

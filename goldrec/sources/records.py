@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from goldrec.functions.rows import made_once
 from goldrec.functions.strict_json import one_document, shape_faults
 from goldrec.operators.constraints import record_faults, told
 from goldrec.schema import CANDIDATE_DDL, PROVENANCE
@@ -31,24 +32,27 @@ def from_json_text(rows: DataFrame, today: Column | None = None) -> DataFrame:
     """
     record = record_type()
     entry = record["provenance"].dataType.elementType
-    read = one_document(rows.select("entity_key", "json")).withColumn("_v", F.expr("try_parse_json(json)"))
+    # In steps, each made once: what is wrong with a record is read by every column of the result.
+    read = made_once(one_document(rows.select("entity_key", "json")), {"_v": F.expr("try_parse_json(json)")})
     inside = "try_variant_get(_v, '$.candidate', 'variant')"
     root = F.expr(f"coalesce(schema_of_variant({inside}), 'VOID') <> 'VOID'")
-    read = read.withColumn("_v", F.when(root, F.expr(inside)).otherwise(F.col("_v"))).withColumn("_body", F.expr("to_json(_v)"))
+    read = made_once(read, {"_v": F.when(root, F.expr(inside)).otherwise(F.col("_v"))})
     listed = F.expr("coalesce(schema_of_variant(try_variant_get(_v, '$.provenance', 'variant')), 'VOID') NOT LIKE 'OBJECT%'")
     unnamed = StructType([f for f in entry.fields if f.name != "field"])
     shapes = [StructType([*(f for f in record.fields if f.name != "provenance"), StructField("provenance", kind)]) for kind in (ArrayType(entry), MapType(StringType(), unnamed))]
     typed = F.when(listed, shape_faults("_v", shapes[0])).otherwise(shape_faults("_v", shapes[1]))
-    read = read.withColumn("_typed", F.when(F.expr("startswith(schema_of_variant(_v), 'OBJECT')"), typed)).withColumn("_r", F.from_json("_body", record))
+    read = made_once(read, {"_body": F.expr("to_json(_v)"), "_listed": listed, "_typed": F.when(F.expr("startswith(schema_of_variant(_v), 'OBJECT')"), typed)})
+    read = made_once(read, {"_r": F.from_json("_body", record)})
     mapped = F.from_json(F.get_json_object("_body", "$.provenance"), MapType(StringType(), unnamed))
     named = F.transform(F.map_entries(mapped), lambda e: F.struct(e.key.alias("field"), e.value.source.alias("source"), e.value.raw_value.alias("raw_value"), e.value.extracted_at.alias("extracted_at")))
-    given = F.when(listed, F.col("_r.provenance")).otherwise(named).cast(f"array<{PROVENANCE}>")
+    given = F.when(F.col("_listed"), F.col("_r.provenance")).otherwise(named).cast(f"array<{PROVENANCE}>")
     kept = [F.col(f"_r.{c}") for c in record.names if c not in ("entity_key", "provenance")]
     out = read.select(F.coalesce("_r.entity_key", "entity_key").alias("entity_key"), *kept, given.alias("provenance"), "_typed", F.col("json").isNotNull().alias("_one"))
-    values = told(record_faults(today))
+    out = made_once(out, {"_values": F.when(F.size("_typed") == 0, told(record_faults(today)))})
+    values = F.col("_values")
     why = F.when(~F.col("_one"), "not a JSON document").when(F.col("_typed").isNull(), "the record is not an object").when(F.size("_typed") > 0, F.array_join("_typed", "; ")).when(values != "", values)
     kind = F.when(why.isNotNull(), F.when(F.col("_one"), "SchemaValidationError").otherwise("InvalidJSONError"))
-    return out.withColumn("error_message", why).withColumn("error_type", kind).select(*(c for c in out.columns if c not in ("_typed", "_one")), "error_type", "error_message")
+    return out.withColumn("error_message", why).withColumn("error_type", kind).select(*(c for c in out.columns if c not in ("_typed", "_one", "_values")), "error_type", "error_message")
 
 
 def to_json_text(records: DataFrame, nulls: bool = True) -> DataFrame:

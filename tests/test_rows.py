@@ -107,3 +107,12 @@ def test_entities_of_many_records_merge_as_others_do(spark):
 def test_a_filter_on_errors_has_documents_parsed_once(spark):
     told = plan(queries.parse_end_to_end(spark, "/root/testdata/sf0.01"))
     assert told.count("from_json(") == 1  # in the filter too before, for every field that a constraint reads
+
+
+def test_reloaded_records_are_judged_once(spark):
+    from goldrec.sources import records
+
+    rows = spark.range(3).selectExpr("string(id) AS entity_key", "'{}' || id AS json").withColumn("json", F.concat(F.lit('{"first_name": "Ann", "last_name": "'), "entity_key", F.lit('"}')))
+    back = records.from_json_text(rows)
+    assert plan(back.select("entity_key", "error_type", "error_message")).count("contact.location: is blank") == 1  # anew for each of them before
+    assert not back.where("error_type IS NOT NULL").count()
