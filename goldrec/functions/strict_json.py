@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, MapType, StringType, StructType, TimestampType
 
+from goldrec.functions.rows import made_once
+
 #: What stands for NaN and the infinities, which have no JSON form: a number beyond every bound.
 BEYOND = 10**400
 
@@ -28,16 +30,15 @@ def _canonical(texts: pd.Series) -> pd.Series:
 def one_document(rows: DataFrame, column: str = "json") -> DataFrame:
     """rows with the text of `column` kept where it is exactly one JSON document, else null.
 
-    A VARIANT parser stops after the first value, so a text must parse both as the only item of a list and as the value of
-    an object: no tail passes both. What fails is tried once more in Python, which takes repeated keys (the last wins),
-    NaN and infinities; Python is handed null for all other rows.
+    A VARIANT parser stops after the first value, so a text must parse as all but the last item of a list that ends with the
+    text's own digest: whatever closes the list early leaves the digest out, and a second value comes before it. What fails
+    is tried once more in Python, which takes repeated keys (the last wins), NaN and infinities; Python is handed null for
+    all other rows.
     """
     text = F.col(f"`{column}`")
-    listed = F.expr(f"size(try_variant_get(try_parse_json(concat('[', `{column}`, ']')), '$', 'array<variant>')) = 1")
-    kept = F.expr(f"try_parse_json(concat('{{\"v\":', `{column}`, '}}')) IS NOT NULL")
-    # Exploded, so that the text is made once and not again in each of the many expressions that read it.
-    made = rows.withColumn(column, F.explode(F.array(column)))
-    marked = made.withColumn("_one", F.coalesce(listed & kept, F.lit(False)))
+    one = F.expr(f"""try_variant_get(try_parse_json(concat('[', `{column}`, ',"', md5(`{column}`), '"]')), '$[1]', 'string') = md5(`{column}`)""")
+    # Made once, the text and what it is: many expressions read them.
+    marked = made_once(made_once(rows, {column: text}), {"_one": F.coalesce(one, F.lit(False))})
     return marked.withColumn(column, F.coalesce(F.when(F.col("_one"), text), _canonical(F.when(~F.col("_one"), text)))).drop("_one")
 
 
@@ -58,27 +59,37 @@ def shape_faults(value: str, kind: DataType, path: str = "", closed: bool = True
     return F.expr(_faults(value, kind, f"'{path}'", closed, 0))
 
 
+def void(value: str) -> str:
+    """Is a VARIANT missing or null? (schema_of_variant works out the type of all that a value holds.)"""
+    return f"({value} IS NULL OR is_variant_null({value}))"
+
+
 def _faults(value: str, kind: DataType, path: str, closed: bool, depth: int) -> str:
-    none, found = "CAST(array() AS array<string>)", f"coalesce(schema_of_variant({value}), 'VOID')"
+    none = "CAST(array() AS array<string>)"
     said = lambda what: f"array(concat({path}, ': {what}'))"
-    x, i, k = f"x{depth}", f"i{depth}", f"k{depth}"
+    a, x, i, k = f"a{depth}", f"x{depth}", f"i{depth}", f"k{depth}"
+
+    def held(container: str, what: str, inner: str) -> str:
+        """Faults inside what a value holds, which is taken out of it once (a), or that it is none of the container."""
+        return f"CASE WHEN {void(value)} THEN {none} ELSE flatten(transform(array(try_variant_get({value}, '$', '{container}')), {a} -> CASE WHEN {a} IS NULL THEN {said(what)} ELSE {inner} END)) END"
+
     if isinstance(kind, StructType):
         under = lambda name: f"concat({path}, '{name}')" if path == "''" else f"concat({path}, '.{name}')"
-        parts = [f"flatten(transform(array(try_variant_get({value}, '$.{f.name}', 'variant')), {x} -> {_faults(x, f.dataType, under(f.name), closed, depth + 1)}))" for f in kind.fields]
+        parts = [f"flatten(transform(array(try_element_at({a}, '{f.name}')), {x} -> {_faults(x, f.dataType, under(f.name), closed, depth + 1)}))" for f in kind.fields]
         if closed:
             names = ", ".join(f"'{f.name}'" for f in kind.fields)
             dot = f"CASE WHEN {path} = '' THEN '' ELSE concat({path}, '.') END"
-            parts.insert(0, f"transform(array_except(map_keys(try_variant_get({value}, '$', 'map<string,variant>')), array({names})), {k} -> concat({dot}, {k}, ': is unknown'))")
-        return f"CASE WHEN {found} = 'VOID' THEN {none} WHEN NOT startswith({found}, 'OBJECT') THEN {said('is not an object')} ELSE concat({', '.join(parts)}) END"
+            parts.insert(0, f"transform(array_except(map_keys({a}), array({names})), {k} -> concat({dot}, {k}, ': is unknown'))")
+        return held("map<string,variant>", "is not an object", f"concat({', '.join(parts)})")
     if isinstance(kind, ArrayType):
         place = f"concat({path}, '[', {i}, ']')"
-        lost = f"coalesce(schema_of_variant({x}), 'VOID') = 'VOID'"
-        each = f"transform(try_variant_get({value}, '$', 'array<variant>'), ({x}, {i}) -> CASE WHEN {lost} THEN array(concat({place}, ': is null')) ELSE {_faults(x, kind.elementType, place, closed, depth + 1)} END)"
-        return f"CASE WHEN {found} = 'VOID' THEN {none} WHEN NOT startswith({found}, 'ARRAY') THEN {said('is not a list')} ELSE flatten({each}) END"
+        each = f"transform({a}, ({x}, {i}) -> CASE WHEN {void(x)} THEN array(concat({place}, ': is null')) ELSE {_faults(x, kind.elementType, place, closed, depth + 1)} END)"
+        return held("array<variant>", "is not a list", f"flatten({each})")
     if isinstance(kind, MapType):
         place = f"concat({path}, '.', {x}.key)"
-        each = f"transform(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), {x} -> {_faults(f'{x}.value', kind.valueType, place, closed, depth + 1)})"
-        return f"CASE WHEN {found} = 'VOID' THEN {none} WHEN NOT startswith({found}, 'OBJECT') THEN {said('is not an object')} ELSE flatten({each}) END"
+        each = f"transform(map_entries({a}), {x} -> {_faults(f'{x}.value', kind.valueType, place, closed, depth + 1)})"
+        return held("map<string,variant>", "is not an object", f"flatten({each})")
+    found = f"coalesce(schema_of_variant({value}), 'VOID')"
     kinds, what = PLAIN[type(kind)]
     bad = f"NOT {found} RLIKE '^({kinds})'"
     if isinstance(kind, DateType):

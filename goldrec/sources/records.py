@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from goldrec.functions.rows import made_once
-from goldrec.functions.strict_json import one_document, shape_faults
+from goldrec.functions.strict_json import one_document, shape_faults, void
 from goldrec.operators.constraints import record_faults, told
 from goldrec.schema import CANDIDATE_DDL, PROVENANCE
 
@@ -22,32 +22,32 @@ def record_type() -> StructType:
 
 
 
-def from_json_text(rows: DataFrame, today: Column | None = None) -> DataFrame:
+def from_json_text(rows: DataFrame, today: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Records of rows (entity_key, json): the record itself or its envelope {"candidate": ...}.
 
     The text must be one whole JSON document. Types and keys are held against the record's schema at every depth, and
     values against the constraints of records (limits, dates, blanks; today bounds the start of an experience); a
     reject's message names each place at fault and why. provenance may be a list of entries or a map from the field; a
-    null counts as missing.
+    null counts as missing. keep: columns of rows that come out beside the record.
     """
     record = record_type()
     entry = record["provenance"].dataType.elementType
     # In steps, each made once: what is wrong with a record is read by every column of the result.
-    read = made_once(one_document(rows.select("entity_key", "json")), {"_v": F.expr("try_parse_json(json)")})
+    read = made_once(one_document(rows.select("entity_key", "json", *keep)), {"_v": F.expr("try_parse_json(json)")})
     inside = "try_variant_get(_v, '$.candidate', 'variant')"
-    root = F.expr(f"coalesce(schema_of_variant({inside}), 'VOID') <> 'VOID'")
+    root = ~F.expr(void(inside))
     read = made_once(read, {"_v": F.when(root, F.expr(inside)).otherwise(F.col("_v"))})
-    listed = F.expr("coalesce(schema_of_variant(try_variant_get(_v, '$.provenance', 'variant')), 'VOID') NOT LIKE 'OBJECT%'")
+    listed = F.expr("try_variant_get(_v, '$.provenance', 'map<string,variant>') IS NULL")
     unnamed = StructType([f for f in entry.fields if f.name != "field"])
     shapes = [StructType([*(f for f in record.fields if f.name != "provenance"), StructField("provenance", kind)]) for kind in (ArrayType(entry), MapType(StringType(), unnamed))]
     typed = F.when(listed, shape_faults("_v", shapes[0])).otherwise(shape_faults("_v", shapes[1]))
-    read = made_once(read, {"_body": F.expr("to_json(_v)"), "_listed": listed, "_typed": F.when(F.expr("startswith(schema_of_variant(_v), 'OBJECT')"), typed)})
+    read = made_once(read, {"_body": F.expr("to_json(_v)"), "_listed": listed, "_typed": F.when(F.expr("try_variant_get(_v, '$', 'map<string,variant>') IS NOT NULL"), typed)})
     read = made_once(read, {"_r": F.from_json("_body", record)})
     mapped = F.from_json(F.get_json_object("_body", "$.provenance"), MapType(StringType(), unnamed))
     named = F.transform(F.map_entries(mapped), lambda e: F.struct(e.key.alias("field"), e.value.source.alias("source"), e.value.raw_value.alias("raw_value"), e.value.extracted_at.alias("extracted_at")))
     given = F.when(F.col("_listed"), F.col("_r.provenance")).otherwise(named).cast(f"array<{PROVENANCE}>")
     kept = [F.col(f"_r.{c}") for c in record.names if c not in ("entity_key", "provenance")]
-    out = read.select(F.coalesce("_r.entity_key", "entity_key").alias("entity_key"), *kept, given.alias("provenance"), "_typed", F.col("json").isNotNull().alias("_one"))
+    out = read.select(F.coalesce("_r.entity_key", "entity_key").alias("entity_key"), *kept, given.alias("provenance"), *keep, "_typed", F.col("json").isNotNull().alias("_one"))
     out = made_once(out, {"_values": F.when(F.size("_typed") == 0, told(record_faults(today)))})
     values = F.col("_values")
     why = F.when(~F.col("_one"), "not a JSON document").when(F.col("_typed").isNull(), "the record is not an object").when(F.size("_typed") > 0, F.array_join("_typed", "; ")).when(values != "", values)

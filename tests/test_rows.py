@@ -116,3 +116,24 @@ def test_reloaded_records_are_judged_once(spark):
     back = records.from_json_text(rows)
     assert plan(back.select("entity_key", "error_type", "error_message")).count("contact.location: is blank") == 1  # anew for each of them before
     assert not back.where("error_type IS NOT NULL").count()
+
+
+def test_an_envelope_is_written_and_read_in_one_pass(spark):
+    from goldrec.plans import record_queries
+
+    told = plan(record_queries.result_envelope(spark, "/root/testdata/sf0.01"))
+    assert told.count("RepartitionByExpression [entity_key") == 1  # two before: what was read was joined to what was written
+
+
+def test_a_text_is_parsed_once_to_tell_that_it_is_one_document(spark):
+    import hashlib
+
+    from goldrec.functions.strict_json import _faults, one_document
+    from goldrec.sources.records import record_type
+
+    good = ["{}", ' {"a": [1, null]} \n', "null", "3", '"x"', "[]", '{"a": 1, "a": 2}', '{"a": NaN}']
+    bad = ["", " ", "{} {}", "{},{}", "{}]", "{}]}", '{}] "', "1,", ",1", "1]", "1}", '{}, "end"]', '"a', '{"v": 1}}', "1 // c", f'1, "{hashlib.md5(b"1").hexdigest()}"]']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)] + [(99, None)], "i int, json string")
+    assert sorted(r.i for r in one_document(rows).where("json IS NOT NULL").collect()) == list(range(len(good)))
+    assert plan(one_document(rows)).count("parseJson(") == 1  # several times before, for each reader of the test
+    assert "schema_of_variant(v)" not in _faults("v", record_type(), "''", True, 0)  # the type of all of it, before
