@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from goldrec.functions.phones import normal_phone
 from goldrec.functions.session import once_per_session
@@ -32,10 +33,14 @@ def normalize(records: DataFrame, config: Config | None = None) -> DataFrame:
     config = config or Config()
     texts = F.struct(*TEXTS, F.col("contact.location").alias("location"))
     shape = records.select(texts.alias("t")).schema["t"].dataType
-    held = records.withColumn("_texts", texts)
-    held = held.withColumn("_texts", F.coalesce(nfkc_within(F.when(F.col("_texts").cast("string").rlike(WIDE), F.col("_texts")), shape), F.col("_texts")))
+    held = records.withColumn("_texts", texts).withColumn("_wide", F.coalesce(F.col("_texts").cast("string").rlike(WIDE), F.lit(False)))
+    # A plain record is handed over with empty texts and lists: where lists are null, the size of a batch so far, which Spark
+    # asks for after each row, is told by going over all of its rows.
+    plain = F.struct(*((F.array() if isinstance(f.dataType, ArrayType) else F.lit("")).cast(f.dataType).alias(f.name) for f in shape))
+    composed = nfkc_within(F.when(F.col("_wide"), F.col("_texts")).otherwise(plain), shape)
+    held = held.withColumn("_texts", F.when(F.col("_wide"), composed).otherwise(F.col("_texts")))
     fields = tuple((n, tuple(f.name for f in records.schema[n].dataType.elementType.fields)) for n in PARTS)
-    return held.withColumns(_normal(fields, config.region, tuple(config.aliases.items()))).drop("_texts")
+    return held.withColumns(_normal(fields, config.region, tuple(config.aliases.items()))).drop("_texts", "_wide")
 
 
 @once_per_session

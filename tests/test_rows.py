@@ -137,3 +137,18 @@ def test_a_text_is_parsed_once_to_tell_that_it_is_one_document(spark):
     assert sorted(r.i for r in one_document(rows).where("json IS NOT NULL").collect()) == list(range(len(good)))
     assert plan(one_document(rows)).count("parseJson(") == 1  # two before: as a list and as an object
     assert "schema_of_variant(v)" not in _faults("v", record_type(), "''", True, 0)  # the type of all of it, before
+
+
+def test_plain_records_are_handed_to_python_without_null_lists(spark, monkeypatch):
+    from goldrec.operators import normalize
+
+    wide = "CASE WHEN id % 3 = 0 THEN 'Ａｎｎ' WHEN id % 3 = 1 THEN 'Ann' END"
+    rows = _records(spark, 9, 9).withColumn("id", F.col("input_ord")).withColumns({"first_name": F.expr(wide), "skills": F.expr(f"CASE WHEN id % 2 = 0 THEN array({wide}, 'x') END"), "languages": F.lit(None).cast("array<string>")})
+    out = normalize.normalize(rows)
+    assert out.columns == rows.columns
+    got = {r.input_ord: r for r in out.collect()}
+    assert [got[i].first_name for i in range(9)] == ["Ann", "Ann", None] * 3 and {got[i].languages for i in range(9)} == {None}
+    assert all((got[i].skills is None) == (i % 2 == 1) for i in range(9)) and got[0].skills == got[4].skills == ["Ann", "x"]
+    # Null before: Spark fills the offsets of null lists from the start of the batch, after each of its rows.
+    monkeypatch.setattr(normalize, "nfkc_within", lambda c, shape: F.when(c.isNull(), F.raise_error(F.lit("null handed over"))).otherwise(c))
+    assert len(normalize.normalize(rows).collect()) == 9
