@@ -21,10 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from goldrec.llm.common import WORD, broadcast_if_small, fresh, key_of, materialize
+from goldrec.llm.common import broadcast_if_small, fresh, key_of, materialize
+from goldrec.llm.words import count_words
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -36,6 +39,12 @@ SHARD_DRAWS, GROUPS, FAN = 32, 256, 256
 OWN = {"size", "source_size", "target", "taken", "shards", "shard", "words", "_pass"}
 
 
+@F.arrow_udf(LongType())
+def n_words(texts: pa.Array) -> pa.Array:
+    """Words of each text (null: 0); several times faster than counting matches of their pattern."""
+    return pa.array(count_words(texts), pa.int64())
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds each row's place (from 0) in an order over all rows: ranges of it, the rows before each range, places inside."""
     part, before = fresh(rows, "part", "before")
@@ -153,12 +162,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     packed: the `keep` columns come as one struct `_kept`, with the names that they have.
     """
     kept = [F.struct(*(F.col(c) for c in keep)).alias("_kept")] if keep else []
-    sized = docs.select(id_col, *kept, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source).alias("_name"), key_of(source).alias("_source"), key_of(id_col, text).alias("_row"))
-    known = materialize(targets(sized.groupBy("_source", F.col("_name").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, most, share).drop("source"))
+    sized = docs.select(id_col, *kept, n_words(F.col(text)).alias("size"), F.col(source).alias("_name"), key_of(source).alias("_source"), key_of(id_col, text).alias("_row"))
+    measured = materialize(sized.drop("_kept"))  # what all but the last step needs: texts are counted for it once
+    known = materialize(targets(measured.groupBy("_source", F.col("_name").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, most, share).drop("source"))
     blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS), F.ceil(F.col("docs") / BLOCK_DOCS))
-    dealt = sized.drop("_name").join(broadcast_if_small(known), "_source").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(seed)), F.col("_blocks")))
-    slim = materialize(dealt) if not keep else dealt
-    plan = _block_plan(slim.select("_source", "_block", "size", "_passes", "_rest", "_blocks"), seed, per_shard)
+    known = broadcast_if_small(known)
+    dealt = lambda rows: rows.drop("_name").join(known, "_source").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(seed)), F.col("_blocks")))
+    slim = dealt(sized if keep else measured)
+    plan = _block_plan(dealt(measured).select("_source", "_block", "size", "_passes", "_rest", "_blocks"), seed, per_shard)
     inside = Window.partitionBy("_source", "_block").orderBy("_row", id_col).rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.col("_passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.coalesce(F.sum("size").over(inside), F.lit(0)))), F.lit(0))
     joined = slim.drop("_passes", "_rest").join(plan, ["_source", "_block"], "left").withColumn("taken", taken)

@@ -63,8 +63,9 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np
         doc = np.repeat(np.arange(len(per_doc)), per_doc)
         begin = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc) + words.first[:-1][doc]
         grams = Sequences(hashes).of(begin, np.minimum(begin + size, words.first[1:][doc]))
-        order = np.lexsort((grams, doc))
-        doc, grams = doc[order], grams[order]
+        edges = np.concatenate([[0], np.cumsum(per_doc)])
+        for k in np.flatnonzero(per_doc > 1).tolist():  # a document at a time, in place: several times faster than by two keys
+            grams[edges[k] : edges[k + 1]].sort()
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
         doc, grams = doc[new], grams[new]
@@ -124,6 +125,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(counts.astype(np.int64)), pa.array(signed(found)), pa.nulls(len(found), pa.binary())], names=names)
 
 
+def _late_last(grams: np.ndarray, late: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of each set, sorted as they are, with those marked late behind the others; and the marks."""
+    before = np.concatenate([[0], np.cumsum(late)])
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    passed = before[:-1] - before[at[:-1]][doc]  # late ones of the set that come before
+    rest = before[at[1:]][doc] - before[:-1]  # and those that don't
+    place = np.arange(len(grams)) - passed
+    place[late] = (at[1:][doc] - rest)[late]
+    out, marks = np.empty_like(grams), np.empty_like(late)
+    out[place], marks[place] = grams, late
+    return out, marks
+
+
 def prefixes(docs: DataFrame, common: np.ndarray, text: str) -> DataFrame:
     """(token, node, n, rare, early): each class in the trees that it is routed to; rare counts its uncommon routing
     shingles; early: may this be the first shingle that it shares with a class of its size or more?"""
@@ -142,8 +156,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, text: str) -> DataFrame:
                 if len(table):
                     place = np.minimum(np.searchsorted(table, grams), len(table) - 1)
                     late = table[place] == grams
-                order = np.lexsort((grams, late, doc))
-                grams, late = grams[order], late[order]
+                grams, late = _late_last(grams, late, at)
                 length = sizes - -(-PERCENT * sizes // 100) + 1
                 place = np.arange(len(grams)) - at[:-1][doc]
                 chosen = own[doc] & (place < length[doc])
@@ -467,6 +480,6 @@ def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     """
     found = near_components(docs, text, id_col)
     kept = found.where((F.col("component_id") == F.col(id_col)) & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct()
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) > 0).alias("words"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("words"))
     one = whole.where("id IS NOT NULL AND words").join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
     return one.select("row").union(whole.where("id IS NULL OR NOT words").select("row")).select("row.*")

@@ -17,6 +17,7 @@ An empty table trains nothing and returns no rows. A column named like the score
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,41 +51,56 @@ MARK[65:91] = MARK[97:123] = MARK[128:] = MARK[48:58] = False
 
 
 class Measures:
-    """What the labellers and the scorer see of some texts."""
+    """What the labellers (values) and the scorer (feature) see of some texts, each made when it is first asked for."""
 
     def __init__(self, flat: np.ndarray, at: np.ndarray):
-        words = Words(flat, at)
-        self.n = words.counts
-        doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.words, self.at = Words(flat, at), at
+        self.n = self.words.counts
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        hashes = self.words.hashes()
+        self.same = np.zeros(len(hashes), bool)
+        self.same[1:] = (hashes[1:] == hashes[:-1]) & (self.doc[1:] == self.doc[:-1])
+
+    @cached_property
+    def values(self) -> dict[str, np.ndarray]:
+        flat, at, doc, starts, ends = self.words.flat, self.at, self.doc, self.words.starts, self.words.ends
         share = lambda which: np.bincount(doc, which, len(self.n)) / np.maximum(self.n, 1)
-        hashes, last, starts, ends = words.hashes(), words.flat[words.ends - 1], words.starts, words.ends
-        same = np.zeros(len(starts), bool)
-        same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
-        doubled = MARK[last] & (ends - starts > 1) & (words.flat[np.maximum(ends - 2, 0)] == last)
+        last = flat[ends - 1]
+        doubled = MARK[last] & (ends - starts > 1) & (flat[np.maximum(ends - 2, 0)] == last)
         sums = lambda table: np.concatenate([[0], np.cumsum(table[flat])])
         marks, capitals, small = sums(MARK), sums(CLASSES == 65), sums(CLASSES == 97)
         span = lambda total, low, high: (total[high] - total[low]).astype(float)
         letters = span(capitals, at[:-1], at[1:]) + span(small, at[:-1], at[1:])
         inside = np.bincount(doc, ends - starts, len(self.n))
-        self.values = {
+        return {
             "capitals": span(capitals, at[:-1], at[1:]) / np.maximum(letters, 1),
             "doubled_marks": share(doubled),
             "bare_marks": share(span(marks, starts, ends) == ends - starts),
-            "repeats": share(same),
+            "repeats": share(self.same),
             "few_letters": 1 - letters / np.maximum(inside, 1),
             "no_stops": 1 - share((last == 46) | (last == 44)),
         }
-        # Shapes: a polynomial over the first bytes of each run of equal classes in a word.
+
+    @cached_property
+    def feature(self) -> np.ndarray:
+        """Shapes: a polynomial over the first bytes of each run of equal classes in a word."""
+        flat, starts, ends = self.words.flat, self.words.starts, self.words.ends
         classes = CLASSES[flat]
         new = np.ones(len(flat), bool)
         new[1:] = classes[1:] != classes[:-1]
         new[starts] = True
-        place = np.cumsum(new) - 1
-        up, down = powers(0x2545F4914F6CDD1D, len(flat) + 1)
-        total = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(np.where(new, (classes.astype(np.uint64) + np.uint64(1)) * up[np.maximum(place, 0)], np.uint64(0)), out=total[1:])
-        shape = mix((total[ends] - total[starts]) * down[place[starts]]) + same.astype(np.uint64)
-        self.doc, self.feature = doc, (mix(shape) % np.uint64(FEATURES)).astype(np.int64)
+        firsts, before = np.flatnonzero(new), np.concatenate([[0], np.cumsum(new)])
+        up, down = powers(0x2545F4914F6CDD1D, len(firsts) + 1)
+        total = np.zeros(len(firsts) + 1, np.uint64)
+        np.cumsum((classes[firsts].astype(np.uint64) + np.uint64(1)) * up[: len(firsts)], out=total[1:])
+        low, high = before[starts], before[ends]  # runs that begin before the word, and before its end
+        shape = mix((total[high] - total[low]) * down[low]) + self.same.astype(np.uint64)
+        return (mix(shape) % np.uint64(FEATURES)).astype(np.int64)
+
+    def of(self, which: np.ndarray) -> Measures:
+        """The same of some of the texts alone."""
+        spans = [self.words.flat[self.at[d] : self.at[d + 1]] for d in which.tolist()]
+        return Measures(np.concatenate(spans), np.concatenate([[0], np.cumsum([len(x) for x in spans])]))
 
     def pattern(self) -> np.ndarray:
         """A bit per labeller: does it vote?"""
@@ -155,17 +171,15 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarr
             wanted = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
             for first, flat, at in runs(batch.column(0)):
                 seen = Measures(flat, at)
-                take = wanted[first : first + len(seen.n)] & (seen.n > 0)
                 features: list = [None] * len(seen.n)
                 shares: list = [None] * len(seen.n)
-                if take.any():
-                    doc, feature, value = seen.features()
-                    edges = np.searchsorted(doc, np.arange(len(seen.n) + 1))
-                    for d in np.flatnonzero(take):
-                        if key[first + d] in told:
-                            continue
-                        told.add(int(key[first + d]))
-                        features[d], shares[d] = feature[edges[d] : edges[d + 1]], value[edges[d] : edges[d + 1]]
+                take = np.flatnonzero(wanted[first : first + len(seen.n)] & (seen.n > 0))
+                take = np.array([d for d, k in zip(take.tolist(), key[first + take].tolist()) if k not in told and not told.add(k)], np.int64)
+                if len(take):
+                    doc, feature, value = seen.of(take).features()
+                    edges = np.searchsorted(doc, np.arange(len(take) + 1))
+                    for k, d in enumerate(take):
+                        features[d], shares[d] = feature[edges[k] : edges[k + 1]], value[edges[k] : edges[k + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(key[first : first + len(seen.n)]), pa.array(seen.pattern()), pa.array(features, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], names=["key", "pattern", "features", "shares"])
 
     seen = materialize(texts.mapInArrow(measure, "key long, pattern long, features array<long>, shares array<double>"))

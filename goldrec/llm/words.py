@@ -101,6 +101,11 @@ class Words:
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 
+def count_words(texts: pa.Array) -> np.ndarray:
+    """The number of words of each text."""
+    return np.concatenate([np.zeros(0, np.int64), *(Words(flat, at).counts for _, flat, at in runs(texts))])
+
+
 class Sequences:
     """Hashes of any stretches of consecutive words."""
 

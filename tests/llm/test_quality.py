@@ -105,3 +105,18 @@ def test_odd_rows(spark, odd, nothing):
     bare = quality.keep_clean(whole, out=None)
     assert bare.columns == whole.columns and all((r["quality"], r["score"]) == ("mine", "too") for r in bare.collect())
     assert quality.keep_clean(nothing).collect() == [] and quality.keep_clean(nothing).columns == [*nothing.columns, "quality"]
+
+
+def test_each_pass_makes_only_what_it_needs():
+    """Labellers look at shares, the scorer at shapes: neither pass makes the other's, and the sample's shapes are its own."""
+    texts = ["One two, two three.", "", "ABC!! 12ab éa one", "a b c d e f"]
+    (_, flat, at), = runs(pa.array(texts))
+    seen = quality.Measures(flat, at)
+    seen.pattern()
+    assert "feature" not in vars(seen)
+    doc, feature, value = seen.of(np.array([0, 2])).features()
+    assert "feature" not in vars(seen)
+    whole = [x[np.isin(seen.features()[0], [0, 2])] for x in seen.features()]
+    assert feature.tolist() == whole[1].tolist() and value.tolist() == whole[2].tolist() and (2 * doc).tolist() == whole[0].tolist()
+    scored = quality.Measures(flat, at)
+    assert len(scored.feature) and "values" not in vars(scored)
